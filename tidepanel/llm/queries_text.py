@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepanel.llm import frames
+from tidepanel.llm import frames, mixing
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -26,10 +27,42 @@ WITH split AS (
 ), marked AS (
   SELECT keyed.*, frequent.k IS NOT NULL AS gone FROM keyed LEFT JOIN frequent USING (k)
 )
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY r
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup}
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = frames.staged(mixing.sized(docs).drop("text"), "mix-rows")
+    out = mixing.decide(rows, mixing.plan(rows))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP5_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS size,
+    ('0x' || md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM doc GROUP BY source
+), weighted AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS most FROM src
+), full_first AS (
+  SELECT *, most / w AS fill, sum(source_size) OVER () * 1.5::DOUBLE AS total, sum(w) OVER () AS all_w,
+    coalesce(sum(most) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+    coalesce(sum(w) OVER (ORDER BY most / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM weighted
+), level AS (
+  SELECT arg_min((total - spent) / (all_w - closed), closed) FILTER (WHERE fill >= (total - spent) / (all_w - closed)) AS level FROM full_first
+), target AS (
+  SELECT source, source_size, least(most, w * level) AS target FROM weighted, level
+), planned AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM target
+)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN run <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM (SELECT doc.*, p.source_size, p.target, p.whole, sum(size) OVER (PARTITION BY doc.source ORDER BY h) AS run
+      FROM doc JOIN planned p ON doc.source IS NOT DISTINCT FROM p.source)
+"""
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL}
