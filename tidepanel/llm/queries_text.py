@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import frames, mixing
+from tidepanel.llm import frames, mixing, quality
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -64,5 +64,40 @@ FROM (SELECT doc.*, p.source_size, p.target, p.whole, sum(size) OVER (PARTITION
       FROM doc JOIN planned p ON doc.source IS NOT DISTINCT FROM p.source)
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix}
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    counted = quality.rule_counts(docs).drop("text").withColumn("base_failed", quality.base_failed())
+    return quality.with_verdicts(frames.staged(counted, "quality-counts")).drop("source", "host_rate")
+
+
+OP10_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT r, i, w[i:i + 4] AS k FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM win) WHERE n >= 2
+), repeated AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
+), line AS (
+  SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM doc)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r
+), counted AS (
+  SELECT doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(line.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words
+  FROM doc LEFT JOIN line USING (r) LEFT JOIN repeated USING (r)
+), failed AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+), host AS (
+  SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM failed GROUP BY source
+), prior AS (
+  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 10.0 END AS s FROM (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM host)
+), verdict AS (
+  SELECT source, (bad + m * s) / (n + s) <= 0.5 AS good FROM host, prior
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
+"""
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL}
