@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import queries_text
+from tidepanel.llm import queries_other, queries_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**queries_text.QUERIES}
+    return {**queries_other.QUERIES, **queries_text.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_text.ORACLE_SQL}
+    return {**queries_other.ORACLE_SQL, **queries_text.ORACLE_SQL}
