@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import frames, mixing, quality
+from tidepanel.llm import frames, language_id, mixing, quality
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -99,5 +99,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
 """
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix, "op10_quality_rules": op10_quality_rules}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents")
+    model = language_id.learned(docs.select("doc_id", "text", "lang"))
+    out = language_id.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (F.coalesce(language_id.fold(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL}
