@@ -50,7 +50,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str
     counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
     if not counts:
         return []
-    at = F.xxhash64("key", "text").cast("double") / 2**64 + 0.5
+    at = F.xxhash64("key", "text").cast("double") / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, most_docs / n)]), F.col("lang"))
     return [(r["lang"], r["text"].encode()) for r in fit.filter(at < share).select("lang", "text").collect()]
 
