@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import frames, language_id, mixing, quality
+from tidepanel.llm import byte_bpe, frames, language_id, mixing, quality
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -106,5 +107,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(language_id.fold(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op5_source_mix": op5_source_mix, "op9_language_id": op9_language_id, "op10_quality_rules": op10_quality_rules}
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, path).drop("text")
+    digest = F.sha2(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"), 256)
+    out = byte_bpe.decode(encoded, path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_source_mix": op5_source_mix,
+    "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL}
