@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, frames, language_id, mixing, quality
+from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, quality
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -116,10 +116,15 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(frames.table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, n=5)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_jaccard_join": op6_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
