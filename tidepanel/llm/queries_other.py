@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepanel.llm import frames, topk_search
+from tidepanel.llm import frames, topk_search, url_filter
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +26,13 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-QUERIES = {"op1_topk_search": op1_topk_search}
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = frames.table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {"op1_topk_search": op1_topk_search, "op8_url_filter": op8_url_filter}
 ORACLE_SQL = {"op1_topk_search": OP1_SQL}
