@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, quality
+from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, quality, secret_scan
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -120,11 +120,26 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(frames.table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.8, n=5)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.learn(docs)).select("doc_id", "secrets")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "format")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
