@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, quality, secret_scan
+from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, pii_feistel, quality, secret_scan
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -107,6 +107,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.coalesce(language_id.fold(F.col("doc_id")), F.lit(0)) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op2_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii_feistel.pseudonymised(docs, key="catalogue key, not a secret")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -135,6 +140,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii_feistel": op2_pii_feistel,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mix": op5_source_mix,
