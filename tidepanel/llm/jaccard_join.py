@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm import frames
@@ -26,7 +26,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 MOST_HASHES = 64
 #: Classes, and n-grams, in a block of a bucket, about.
-BLOCK_CLASSES = 1024
+BLOCK_CLASSES = 512
 BLOCK_GRAMS = 1 << 21
 SEED = 20_240_607
 
@@ -89,23 +89,28 @@ def _list_array(matrix: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
 
 
+def text_code(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, key: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
-    """id, h1, h2 (of the n-gram set), size, bands (array<long>; empty for a text without words)."""
+    """id, code (a hash of the text), h1, h2 (of the n-gram set), size, bands (array<long>; zeros for a text without words)."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in frames.pieces(whole, text, 4 << 20):
-                sets = gram_sets(frames.utf8(batch, text), n)
+            for batch in frames.pieces(whole, "text", 4 << 20):
+                sets = gram_sets(frames.utf8(batch, "text"), n)
                 halves, sizes = set_hashes(sets), np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 own = np.zeros((len(sets), bands), dtype=np.int64)
                 if len(full):
                     own[full] = band_hashes([sets[i] for i in full], bands, rows)
                 lists = _list_array(own)
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes), lists], ["id", "h1", "h2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("code"), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes), lists], ["id", "code", "h1", "h2", "size", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(signed, f"id {kind}, h1 long, h2 long, size long, bands array<long>")
+    own = docs.select(F.col(key).alias("id"), text_code(text).alias("code"), F.col(text).alias("text"))
+    return own.mapInArrow(signed, f"id {kind}, code long, h1 long, h2 long, size long, bands array<long>")
 
 
 def gram_table(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
@@ -217,31 +222,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> DataFrame:
-    """One row a document: ``key``, class_id, set_id, n_copies, n_links.
-
-    ``set_id``: the least id among documents with the same set of word n-grams, ``n_copies`` their number. ``n_links``: other n-gram sets
-    whose Jaccard similarity with this one is ``threshold`` or more. ``class_id``: the least id in the document's group, the
-    connected component of links; a document without links has its set_id. Words are runs outside ``[\\x20\\x09-\\x0D]``, case kept; a
-    text of fewer than ``n`` words has one n-gram of all of them. A null text, or one without words, is alone: its own id, one copy,
-    no links. Repeated rows count as copies. Null ids take part; they never are the least unless a group has no other. An empty table
-    gives an empty table. Each pair at the threshold is found with chance ``recall`` at least, more similar ones with more.
-    """
+def placed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """One row a document: id, code, size, class_id, set_id, n_copies, n_links, first (whether it leads its group); see ``join``."""
     bands, rows = choose_bands(threshold, recall)
     signed = frames.staged(signatures(docs, bands, rows, key, text, n), "signatures")
-    classes = signed.filter("size > 0").groupBy("h1", "h2").agg(F.min("id").alias("set_id"), F.count("*").alias("n_copies"), F.min(F.struct("size", "bands")).alias("_own"))
-    classes = frames.staged(classes.select("h1", "h2", "set_id", "n_copies", "_own.size", "_own.bands"), "classes")
+    lead = F.struct(F.col("id").isNull().alias("last"), "id", "code")
+    classes = signed.filter("size > 0").groupBy("h1", "h2").agg(F.min(lead).alias("lead"), F.count("*").alias("n_copies"), F.min(F.struct("size", "bands")).alias("_own"))
+    classes = frames.staged(classes.select("h1", "h2", "lead", "n_copies", "_own.size", "_own.bands"), "classes")
     spread = classes.select("h1", "h2", "size", F.posexplode("bands").alias("band", "bucket"))
     buckets = spread.groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum("size").alias("grams"), F.bit_xor("h1").alias("x1"), F.bit_xor("h2").alias("x2")).filter("m > 1")
     kept = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "bucket", "grams")).alias("_b")).select("m", "_b.*")
     blocks = F.greatest(F.ceil(F.col("m") / block_classes), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     kept = frames.staged(kept.select("band", "bucket", blocks.alias("blocks")), "buckets")
-    members = spread.drop("size").join(kept, ["band", "bucket"])
-    members = frames.staged(members, "members")
-    needed = members.select("h1", "h2").distinct().join(classes.select("h1", "h2", "set_id", "bands"), ["h1", "h2"])
-    needed = frames.staged(needed, "needed")
-    texts = docs.select(key, text).join(needed.select(F.col("set_id").alias("_id")).distinct(), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    grams = gram_table(texts, key, text, n).join(needed.select("h1", "h2", "bands"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    members = frames.staged(spread.drop("size").join(kept, ["band", "bucket"]), "members")
+    needed = members.select("h1", "h2").distinct().join(classes.select("h1", "h2", "lead", "bands"), ["h1", "h2"])
+    needed = frames.staged(needed.select("h1", "h2", F.col("lead.id").alias("_id"), "bands"), "needed")
+    texts = docs.select(key, text).join(needed.select("_id").distinct(), F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    grams = gram_table(texts, key, text, n).join(needed.drop("_id"), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     block = F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")
     paired = members.withColumn("block", block).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     paired = paired.select("h1", "h2", "band", "bucket", "block", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"))
@@ -250,15 +247,48 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     counts = found.groupBy("h1", "h2").agg(F.sum("links").alias("n_links"))
     edges = found.filter("h1 <> r1 OR h2 <> r2").select(F.struct("h1", "h2").alias("node"), F.struct(F.col("r1").alias("h1"), F.col("r2").alias("h2")).alias("other"))
     grouped = components(edges).select("node.h1", "node.h2", "root")
-    own = grouped.join(classes.select("h1", "h2", "set_id"), ["h1", "h2"])
-    least = own.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    placed = own.join(least, "root").select("h1", "h2", "class_id")
-    told = frames.staged(classes.drop("size", "bands").join(counts, ["h1", "h2"], "left").join(placed, ["h1", "h2"], "left").filter("n_copies > 1 OR n_links > 0"), "told")
-    out = signed.select("id", "h1", "h2", "size").join(told, ["h1", "h2"], "left")
+    own = grouped.join(classes.select("h1", "h2", "lead"), ["h1", "h2"])
+    group_lead = own.join(own.groupBy("root").agg(F.min("lead").alias("group_lead")), "root").select("h1", "h2", "group_lead")
+    told = classes.drop("size", "bands").join(counts, ["h1", "h2"], "left").join(group_lead, ["h1", "h2"], "left").filter("n_copies > 1 OR n_links > 0")
+    told = frames.staged(told.withColumn("group_lead", F.coalesce("group_lead", "lead")), "told")
+    out = signed.select("id", "code", "h1", "h2", "size").join(told, ["h1", "h2"], "left")
+    leads = F.col("group_lead").isNull() | (F.col("id").eqNullSafe(F.col("group_lead.id")) & (F.col("code") == F.col("group_lead.code")))
     return out.select(
-        F.col("id").alias(key),
-        F.coalesce("class_id", "set_id", "id").alias("class_id"),
-        F.coalesce("set_id", "id").alias("set_id"),
+        "id",
+        "code",
+        "size",
+        F.coalesce("group_lead.id", "id").alias("class_id"),
+        F.coalesce("lead.id", "id").alias("set_id"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        leads.alias("first"),
     )
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> DataFrame:
+    """One row a document: ``key``, class_id, set_id, n_copies, n_links.
+
+    ``set_id``: the least id among documents with the same set of word n-grams, ``n_copies`` their number. ``n_links``: other n-gram sets
+    whose Jaccard similarity with this one is ``threshold`` or more. ``class_id``: the least id in the document's group, the
+    connected component of links; a document without links has its set_id. Words are runs outside ``[\\x20\\x09-\\x0D]``, case kept; a
+    text of fewer than ``n`` words has one n-gram of all of them. A null text, or one without words, is alone: its own id, one copy,
+    no links. Repeated rows count as copies. Null ids take part; they never are the least unless a group has no other. An empty table
+    gives an empty table. Each pair at the threshold is found with chance ``recall`` at least, more similar ones with more. Columns of
+    ``docs`` but the two named are not looked at.
+    """
+    return placed(docs, threshold, recall, n, key, text, block_classes).select(F.col("id").alias(key), "class_id", "set_id", "n_copies", "n_links")
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that lead their groups (see ``join``): of least id, then text. Of rows with the same id and text one stays; texts without words all stay."""
+    rows = frames.staged(placed(docs, threshold, recall, n, key, text).filter("NOT first OR size > 0").select("id", "code", "first"), "group-rows")
+    keys = rows.groupBy("id", "code").agg(F.bool_and("first").alias("leads"), F.count("*").alias("rows"))
+    keys = frames.staged(keys.filter("NOT leads OR rows > 1"), "group-keys")
+
+    def of(which: DataFrame, how: str) -> DataFrame:
+        own = which.select(F.col("id").alias("_id"), F.col("code").alias("_code"))
+        return docs.join(own, docs[key].eqNullSafe(own["_id"]) & (text_code(text) == own["_code"]), how)
+
+    alone = of(keys, "left_anti")
+    repeated = keys.filter("leads")
+    return alone if repeated.isEmpty() else alone.unionByName(of(repeated, "left_semi").dropDuplicates([key, text]))
