@@ -2,8 +2,8 @@
 
 Pre-tokenisation uses no regular expression. Every code point has a class; a class is a function on the eight states that a scanner of
 the split pattern can be in; composing functions is associative, so the state before every character of a batch comes from one scan
-over function numbers, run side by side over strips. A table of state and class tells where pieces begin. Pieces are merged by rank
-through a cache, and byte offsets of tokens stay with the ids for decoding.
+over function numbers, run side by side over strips. A table of state and class tells where pieces begin. Distinct pieces are merged
+side by side, by rank, behind a cache, and byte offsets of tokens stay with the ids for decoding.
 
 The pattern, of the public vocabularies: 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 """
@@ -14,8 +14,7 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
-from itertools import chain
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,11 @@ OPEN, LETTERS, NUMBERS, OTHERS, JOINING, SPACES, ONE_MORE, TWO_MORE = range(8)
 SPACES_AT = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 STRIP = 256
 CACHED_BYTES = 64
-CACHED_PIECES = 600_000
+CACHED_PIECES = 300_000
+HASH_BASE = 0x2545F4914F6CDD1D
+NO_RANK = 1 << 40
+#: Ids that are decoded at once.
+DECODED_IDS = 1 << 19
 
 
 def _move(state: int, kind: int) -> tuple[int, bool]:
@@ -99,9 +102,8 @@ def _scan(codes: np.ndarray, compose: np.ndarray) -> np.ndarray:
     return grid.T.ravel()[:n]
 
 
-def piece_starts(joined: str, gaps: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Where pieces begin in texts that are joined by one character each, at ``gaps``; the gaps begin pieces of their own."""
-    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+def piece_starts(points: np.ndarray, gaps: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the code points of texts that are joined by one character each, at ``gaps``; the gaps begin pieces of their own."""
     kinds = classes[points]
     kinds[gaps] = GAP
     after = np.concatenate([kinds[1:], [GAP]]).astype(np.uint8)
@@ -148,21 +150,122 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(out)
 
 
-class Pieces(dict):
-    """Ids by piece, filled as pieces come; long pieces aren't kept, and a full cache starts anew."""
+class Merger:
+    """Merges many pieces side by side: each round joins the leftmost pair of lowest rank of every piece that has one left.
+
+    Pairs are looked up by their ids among all ways in which a token is made of two tokens.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
         self.ranks = ranks
+        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        own = np.array(sorted(pairs), dtype=np.int64).reshape(-1, 2)
+        self.keys, self.made = np.append(own[:, 0], np.iinfo(np.int64).max), np.append(own[:, 1], 0)
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], dtype=np.int64)
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], NO_RANK)
+
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces, one after the other, and the number of ids of each; pieces that are tokens, and long ones, are taken on their own."""
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], dtype=np.int64)
+        done_ids, done_owner = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        for i in np.flatnonzero((whole < 0) & (sizes > CACHED_BYTES)).tolist():
+            done_ids.append(np.array(merge(pieces[i], self.ranks)))
+            done_owner.append(np.full(len(done_ids[-1]), i))
+        rest = np.flatnonzero((whole < 0) & (sizes <= CACHED_BYTES) & (sizes > 0))
+        ids = self.bytes[np.frombuffer(b"".join([pieces[i] for i in rest.tolist()]), dtype=np.uint8)]
+        owner = np.repeat(rest, sizes[rest])
+        rank = np.append(self.pair_ranks(ids[:-1], ids[1:]), NO_RANK)[: len(ids)]
+        rank[:-1][owner[1:] != owner[:-1]] = NO_RANK
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            active = np.repeat(least < NO_RANK, sizes)
+            if not active.all():
+                done_ids.append(ids[~active])
+                done_owner.append(owner[~active])
+                ids, owner, rank, least, sizes = ids[active], owner[active], rank[active], least[least < NO_RANK], sizes[least < NO_RANK]
+                if not len(ids):
+                    break
+            spot = np.flatnonzero(rank == np.repeat(least, sizes))
+            spot = spot[np.append(True, owner[spot[1:]] != owner[spot[:-1]])]
+            ids[spot] = rank[spot]
+            keep = np.ones(len(ids), dtype=bool)
+            keep[spot + 1] = False
+            at = spot - np.arange(len(spot))
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            # only the pairs on both sides of a merged place are new
+            for k in (at[(at > 0)] - 1, at[at < len(ids) - 1]):
+                k = k[owner[k] == owner[k + 1]]
+                rank[k] = self.pair_ranks(ids[k], ids[k + 1])
+            end = at[(at == len(ids) - 1) | (owner[np.minimum(at + 1, len(ids) - 1)] != owner[at])]
+            rank[end] = NO_RANK
+        every, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        return every[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
+
+
+class Pieces:
+    """Ids by piece, filled as pieces come; long pieces aren't kept, and a full cache starts anew."""
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = merge(raw, self.ranks)
-        if len(raw) <= CACHED_BYTES:
-            if len(self) >= CACHED_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __init__(self, ranks: dict[bytes, int]):
+        self.merger = Merger(ranks)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(1 << 16, dtype=np.int32), np.zeros(CACHED_PIECES + 1, dtype=np.int64)
+
+    def of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each piece where its ids begin among them and how many they are."""
+        if len(self.place) + len(pieces) > CACHED_PIECES:
+            self.clear()
+        get, kept = self.place.get, len(self.place)
+        at = np.array([get(p, -1) for p in pieces], dtype=np.int64)
+        new = np.flatnonzero(at < 0)
+        names = [pieces[i] for i in new.tolist()]
+        raw = [p.encode() for p in names]
+        ids, counts = self.merger.merge_all(raw)
+        base, end = int(self.starts[kept]), int(self.starts[kept]) + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[:base], np.zeros(2 * end - base, dtype=np.int32)])
+        self.ids[base:end] = ids
+        begin = base + np.cumsum(counts) - counts
+        known = at >= 0
+        starts, sizes = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        starts[known] = self.starts[at[known]]
+        sizes[known] = self.starts[at[known] + 1] - starts[known]
+        starts[new], sizes[new] = begin, counts
+        out = self.ids
+        if len(pieces) <= CACHED_PIECES and all(len(x) <= CACHED_BYTES for x in raw):
+            self.place.update(zip(names, range(kept, kept + len(names)), strict=True))
+            self.starts[kept + 1 : kept + 1 + len(names)] = begin + counts
+        return out, starts, sizes
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash base, and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, base, dtype=np.uint64))) for base in (HASH_BASE, pow(HASH_BASE, -1, 1 << 64)))
+
+
+def _distinct(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slices of ``points``: the first of each kind, and the number of its kind for each. Slices go by a hash of their content and are compared in full."""
+    powers, back = _powers((len(points) >> 20) + 1 << 20)
+    value = (points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(29)
+    prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value * powers[: len(value)])])
+    hashes = (prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64)
+    _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes, twin = ends - starts, first[kind]
+    at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    if (sizes != sizes[twin]).any() or (points[at + np.repeat(starts, sizes)] != points[at + np.repeat(starts[twin], sizes)]).any():
+        return np.arange(len(starts)), np.arange(len(starts))
+    return first, kind
 
 
 def encode_texts(texts: list[str], pieces: Pieces, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,16 +275,21 @@ def encode_texts(texts: list[str], pieces: Pieces, classes: np.ndarray) -> tuple
     gaps = (np.cumsum(sizes + 1) - 1)[:-1]
     if not joined:
         return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-    starts = piece_starts(joined, gaps, classes)
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    starts = piece_starts(points, gaps, classes)
     ends = np.append(starts[1:], len(joined))
-    own = ~np.isin(starts, gaps, assume_unique=True)
-    starts, ends = starts[own], ends[own]
-    found = [pieces[joined[s:e]] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-    counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    ids = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(counts.sum()))
-    begin = np.concatenate([[0], gaps + 1])
-    first = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, np.append(begin, len(joined) + 1))]
-    return ids, np.diff(first)
+    gap = np.zeros(len(points), dtype=bool)
+    gap[gaps] = True
+    starts, ends = starts[~gap[starts]], ends[~gap[starts]]
+    begin = np.concatenate([[0], gaps + 1, [len(joined) + 1]])
+    if not len(starts):
+        return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
+    first, kind = _distinct(points, starts, ends)
+    every, lead, counts = pieces.of([joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+    lead, counts = lead[kind], counts[kind]
+    after = np.cumsum(counts)
+    ids = every[np.arange(int(after[-1])) + np.repeat(lead - (after - counts), counts)]
+    return ids, np.diff(np.concatenate([[0], after])[np.searchsorted(starts, begin)])
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -211,14 +319,14 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
         for token, rank in ranks.items():
             sizes[rank] = len(token)
         for whole in batches:
-            for batch in frames.pieces(whole, text, 4 << 20):
+            for batch in frames.pieces(whole, text, 2 << 20):
                 ids, counts = encode_texts([x or "" for x in batch.column(text).to_pylist()], pieces, classes)
                 ends = np.cumsum(sizes[ids], dtype=np.int64)
                 before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
                 columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "ids": _lists(ids, counts), "ends": _lists(ends - np.repeat(before, counts), counts)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(encoded, out)
+    return frames.bounded_batches(docs).mapInArrow(encoded, out)
 
 
 def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFrame:
@@ -232,17 +340,25 @@ def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFram
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = {rank: piece for piece, rank in shared.value.items()}
-        for batch in batches:
-            ids = batch.column("ids")
-            at, values = np.asarray(ids.offsets).tolist(), np.asarray(ids.values).tolist()
-            texts = [b"".join(map(token.__getitem__, values[s:e])) for s, e in zip(at, at[1:], strict=False)]
-            if checked:
-                ends, stops = np.asarray(batch.column("ends").offsets), np.asarray(batch.column("ends").values)
-                last = np.where(np.diff(ends) > 0, stops[np.maximum(ends[1:] - 1, 0)] if len(stops) else 0, 0)
-                if (last != [len(t) for t in texts]).any():
-                    raise ValueError("ids and offsets disagree")
-            whole = [None if gone else t for gone, t in zip(ids.is_null().to_pylist(), texts, strict=True)]
-            columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), to: pa.array(whole, pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return encoded.mapInArrow(decoded, out)
+        for whole in batches:
+            counts = np.diff(np.asarray(whole.column("ids").offsets))
+            group = np.cumsum(counts) // DECODED_IDS
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                yield cut(whole.slice(start, end - start), token)
+
+    def cut(batch: pa.RecordBatch, token: dict[int, bytes]) -> pa.RecordBatch:
+        ids = batch.column("ids")
+        at = np.asarray(ids.offsets)
+        values, at = np.asarray(ids.values)[at[0] : at[-1]].tolist(), (at - at[0]).tolist()
+        texts = [b"".join(map(token.__getitem__, values[s:e])) for s, e in zip(at, at[1:], strict=False)]
+        if checked:
+            ends, stops = np.asarray(batch.column("ends").offsets), np.asarray(batch.column("ends").values)
+            last = np.where(np.diff(ends) > 0, stops[np.maximum(ends[1:] - 1, 0)] if len(stops) else 0, 0)
+            if (last != [len(t) for t in texts]).any():
+                raise ValueError("ids and offsets disagree")
+        texts = [None if gone else t for gone, t in zip(ids.is_null().to_pylist(), texts, strict=True)]
+        columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), to: pa.array(texts, pa.binary())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return frames.bounded_batches(encoded).mapInArrow(decoded, out)
