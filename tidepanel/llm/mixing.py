@@ -106,7 +106,10 @@ def plan(rows: DataFrame, share: float = 1.5, most_times: float = 2.0, weights:
             (F.col("left") - F.coalesce(F.col("_first.before"), F.lit(0))).alias("left"),
         )
         state = frames.staged(state, "mix-level")
-    return frames.staged(_of_source(sources, state.select("source", "below")), "mix-plan")
+    found = _of_source(sources, state.select("source", "below"))
+    # a source that whole copies fill has nothing left, also not for documents without words
+    partial = F.col("target") > F.col("whole") * F.col("source_size")
+    return frames.staged(found.withColumn("below", F.when(partial, F.col("below")).otherwise(F.lit(0))), "mix-plan")
 
 
 def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
