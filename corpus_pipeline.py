@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (array<int>), and whether decoding the ids gives the text's bytes."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text", "lang", "source"), RANKS), RANKS)
+    decoded = byte_bpe.transcode(docs.select("doc_id", "text", "lang", "source"), RANKS)
     same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

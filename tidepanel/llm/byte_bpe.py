@@ -298,37 +298,59 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def decode_ids(ids: np.ndarray, counts: np.ndarray, token: list[bytes]) -> list[bytes]:
+    """The bytes that the ids of each text stand for; ``token`` is the bytes of each id."""
+    values, at = ids.tolist(), np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return [b"".join(map(token.__getitem__, values[s:e])) for s, e in zip(at, at[1:], strict=False)]
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    out: list = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        out[rank] = piece
+    return out
+
+
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids and ends (array<int>) added: the ids of the whole text, and the byte offset where each token ends in its UTF-8.
-
-    Ids are those of the rank file at ``ranks_path`` (read once, on the driver, and broadcast) under the pattern above, without special
-    tokens: their strings are ordinary text. A null or empty text has no ids. Very long texts and pieces take n log n. Repeated rows are
-    encoded alike; an empty table gives an empty table. Columns named ids or ends are replaced; all others pass through.
-    """
+def _encoded(docs: DataFrame, ranks_path: str, text: str, decoded: str | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    out = frames.extended(docs, ids="array<int>", ends="array<int>")
+    out = frames.extended(docs, ids="array<int>", ends="array<int>", **({decoded: "binary"} if decoded else {}))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, classes = shared.value, code_classes()
-        pieces = Pieces(ranks)
-        sizes = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int32)
-        for token, rank in ranks.items():
-            sizes[rank] = len(token)
+        pieces, token = Pieces(ranks), _tokens(ranks)
+        sizes = np.array([len(t or b"") for t in token], dtype=np.int32)
         for whole in batches:
             for batch in frames.pieces(whole, text, 2 << 20):
                 ids, counts = encode_texts([x or "" for x in batch.column(text).to_pylist()], pieces, classes)
                 ends = np.cumsum(sizes[ids], dtype=np.int64)
                 before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
                 columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "ids": _lists(ids, counts), "ends": _lists(ends - np.repeat(before, counts), counts)}
+                if decoded:
+                    columns[decoded] = pa.array(decode_ids(ids, counts, token), pa.binary())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return frames.bounded_batches(docs).mapInArrow(encoded, out)
 
 
+def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids and ends (array<int>) added: the ids of the whole text, and the byte offset where each token ends in its UTF-8.
+
+    Ids are those of the rank file at ``ranks_path`` (read once, on the driver, and broadcast) under the pattern above, without special
+    tokens: their strings are ordinary text. A null or empty text has no ids. Very long texts and pieces take n log n. Repeated rows are
+    encoded alike; an empty table gives an empty table. Columns named ids or ends are replaced; all others pass through.
+    """
+    return _encoded(docs, ranks_path, text, None)
+
+
+def transcode(docs: DataFrame, ranks_path: str, text: str = "text", to: str = "decoded") -> DataFrame:
+    """``encode``, and from the ids alone the bytes (binary) that they stand for, in one pass: ids needn't travel to another Python worker."""
+    return _encoded(docs, ranks_path, text, to)
+
+
 def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFrame:
     """Adds the bytes (binary) that the ids stand for; null where ids is null. An id that the rank file lacks is an error.
 
@@ -339,7 +361,7 @@ def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFram
     out = frames.extended(encoded, **{to: "binary"})
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: piece for piece, rank in shared.value.items()}
+        token = _tokens(shared.value)
         for whole in batches:
             counts = np.diff(np.asarray(whole.column("ids").offsets))
             group = np.cumsum(counts) // DECODED_IDS
@@ -347,11 +369,13 @@ def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFram
             for start, end in zip(cuts, cuts[1:], strict=False):
                 yield cut(whole.slice(start, end - start), token)
 
-    def cut(batch: pa.RecordBatch, token: dict[int, bytes]) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, token: list[bytes]) -> pa.RecordBatch:
         ids = batch.column("ids")
         at = np.asarray(ids.offsets)
-        values, at = np.asarray(ids.values)[at[0] : at[-1]].tolist(), (at - at[0]).tolist()
-        texts = [b"".join(map(token.__getitem__, values[s:e])) for s, e in zip(at, at[1:], strict=False)]
+        values = np.asarray(ids.values)[at[0] : at[-1]]
+        if len(values) and not (0 <= values.min() and values.max() < len(token)):
+            raise ValueError("an id that the rank file lacks")
+        texts = decode_ids(values, np.diff(at), token)
         if checked:
             ends, stops = np.asarray(batch.column("ends").offsets), np.asarray(batch.column("ends").values)
             last = np.where(np.diff(ends) > 0, stops[np.maximum(ends[1:] - 1, 0)] if len(stops) else 0, 0)

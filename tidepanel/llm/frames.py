@@ -50,7 +50,7 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece hold about ``most_bytes``; a longer text is a piece of its own."""
     if batch.num_rows == 0:
         return

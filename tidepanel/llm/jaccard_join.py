@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, key: str = "doc_id", text
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in frames.pieces(whole, "text", 4 << 20):
+            for batch in frames.pieces(whole, "text", 2 << 20):
                 sets = gram_sets(frames.utf8(batch, "text"), n)
                 halves, sizes = set_hashes(sets), np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, key: str = "doc_id", text
 
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("id"), text_code(text).alias("code"), F.col(text).alias("text"))
-    return own.mapInArrow(signed, f"id {kind}, code long, h1 long, h2 long, size long, bands array<long>")
+    return frames.bounded_batches(own).mapInArrow(signed, f"id {kind}, code long, h1 long, h2 long, size long, bands array<long>")
 
 
 def gram_table(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = NGRAM) -> DataFrame:
@@ -118,12 +118,12 @@ def gram_table(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in frames.pieces(whole, text, 4 << 20):
+            for batch in frames.pieces(whole, text, 2 << 20):
                 sets = gram_sets(frames.utf8(batch, text), n)
                 halves = set_hashes(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["h1", "h2", "grams"])
 
-    return docs.select(text).mapInArrow(made, "h1 long, h2 long, grams binary")
+    return frames.bounded_batches(docs).select(text).mapInArrow(made, "h1 long, h2 long, grams binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
                 columns = [h1[own], h2[own], links[own], h1[root[own]], h2[root[own]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "links", "r1", "r2"])
 
-    return members.mapInArrow(checked, "h1 long, h2 long, links long, r1 long, r2 long")
+    return frames.bounded_batches(members).mapInArrow(checked, "h1 long, h2 long, links long, r1 long, r2 long")
 
 
 def components(edges: DataFrame) -> DataFrame:

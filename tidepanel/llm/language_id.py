@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Automaton | None, text: str = "text") -> Da
             rate[at] = bits.min(axis=1) / sizes
         return frames.with_columns(batch, batch.schema, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(rate)})
 
-    return out.mapInArrow(scored, out.schema)
+    return frames.bounded_batches(out).mapInArrow(scored, out.schema)
 
 
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Automaton | None:

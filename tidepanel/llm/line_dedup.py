@@ -49,7 +49,7 @@ def key_hashes(keys: list[bytes]) -> np.ndarray:
 
 
 def _level_slots(halves: np.ndarray, level: int, size: int) -> np.ndarray:
-    x = halves[:, 0] + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15)
+    x = halves[:, 0] + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)
     x ^= halves[:, 1] >> np.uint64(17)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(31)
@@ -120,7 +120,7 @@ def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, text: str = "
                 halves = own.view("<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(n)], ["h1", "h2", "n"])
 
-    found = docs.select(text).mapInArrow(counted, "h1 long, h2 long, n long")
+    found = frames.bounded_batches(docs).select(text).mapInArrow(counted, "h1 long, h2 long, n long")
     return found.groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
 
 
@@ -170,7 +170,7 @@ def _probe(docs: DataFrame, index: list, shards: int, min_docs: int, text: str)
         }
         yield frames.with_columns(batch, batch.schema, new)
 
-    return docs.mapInArrow(probed, out)
+    return frames.bounded_batches(docs).mapInArrow(probed, out)
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -199,7 +199,7 @@ def _labelled(docs: DataFrame, text: str) -> DataFrame:
                         tokens.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string())], ["kind", "token"])
 
-    return docs.select(text).mapInArrow(found, "kind string, token string")
+    return frames.bounded_batches(docs).select(text).mapInArrow(found, "kind string, token string")
 
 
 def learn(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -247,4 +247,4 @@ def scan(docs: DataFrame, automata: dict[str, tuple[np.ndarray, np.ndarray]] | N
                 columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "secrets": pa.array(rows, own_type)}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return docs.mapInArrow(scanned, frames.extended(docs, secrets=kind))
+    return frames.bounded_batches(docs).mapInArrow(scanned, frames.extended(docs, secrets=kind))

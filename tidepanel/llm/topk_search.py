@@ -121,4 +121,4 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     dealt = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "part")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return dealt.mapInArrow(search, FOUND).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return frames.bounded_batches(dealt).mapInArrow(search, FOUND).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -624,3 +624,41 @@ def ticket_coverage_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.table(spark, sf_dir, "events").select(F.concat("event_type", (F.col("event_id") % 97).cast("string")).alias("key"), F.col("user_id").alias("account_id"))
     return attribution.key_stability(e, "key")
+
+
+# Models: no SQL form, so rows only; tests compare them with brute force
+
+MODEL_METRICS = ["sales_urgent", "sales_high", "orders"]
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = features.plan_features(features.state_features(customers_labelled(spark, sf_dir)))
+    own = features.temporal(features.sales_mix(own, list(SALES), ["orders"], ["sales_high"], "sales_urgent", list(SALES)), MODEL_METRICS, ["orders"])
+    return features.history(own)
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    from tidepanel.operators import learning
+
+    rows = _model_rows(spark, sf_dir).cache()
+    parts = split.temporal_split(rows)
+    wanted = features.feature_columns(rows.select("id", *MODEL_METRICS, "sales_total", "active_channels", "severity", "debt_streak", "months_since_first", "prior_pauses", "plan_rank", "plan_base", *[c for c in rows.columns if c.endswith("_1m") or c.endswith("_ratio_3m")]))
+    return learning.train(parts, [c for c in wanted if c != "plan_base"] + ["plan_base"], ["plan_base"], trees=8, depth=3), rows
+
+
+@register()
+def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One period, scored end to end with a model of the periods before its labels."""
+    from tidepanel.operators import scoring
+
+    artifact, rows = _trained(spark, sf_dir)
+    out = scoring.score_period(rows, artifact, 200006, (PLAN_PRICES, MODULE_PRICES, DEFAULT_MARKET))
+    return out.select("id", "period", "predicted_period", "churn_probability", "revenue_at_risk", "risk_category", "will_churn", F.size("factors").alias("n_factors"), "narrative", "is_seasonal")
+
+
+@register()
+def global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidepanel.operators import explain
+
+    artifact, rows = _trained(spark, sf_dir)
+    return explain.global_importance(explain.contributions(rows.filter("period = 200006"), artifact))
