@@ -488,7 +488,7 @@ def _psi_sql(names: tuple[str, ...]) -> str:
     one = """SELECT '$' AS feature, 'numeric' AS kind, round(sum((greatest(act, 1e-6) - greatest(ref, 1e-6)) * ln(greatest(act, 1e-6) / greatest(ref, 1e-6))), 6) AS psi FROM (
   SELECT bin, count(*) FILTER (WHERE is_ref) / max(nr) AS ref, count(*) FILTER (WHERE NOT is_ref) / max(na) AS act FROM (
     SELECT is_ref, nr, na, CASE WHEN $::DOUBLE IS NULL THEN -1 ELSE len(list_filter(inner_edges, lambda e: $::DOUBLE >= e)) END AS bin FROM rows_,
-      (SELECT CASE WHEN len(e) >= 3 THEN e[2:-2] ELSE [] END AS inner_edges FROM (SELECT list_sort(list_distinct(quantile_cont($::DOUBLE, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS e FROM rows_ WHERE is_ref)),
+      (SELECT CASE WHEN len(e) >= 3 AND present > 0 THEN e[2:-2] ELSE [] END AS inner_edges FROM (SELECT list_sort(list_distinct(quantile_cont($::DOUBLE, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) FILTER (WHERE is_ref))) AS e, count($) FILTER (WHERE NOT is_ref) AS present FROM rows_)),
       (SELECT count(*) FILTER (WHERE is_ref) AS nr, count(*) FILTER (WHERE NOT is_ref) AS na FROM rows_)) GROUP BY bin)"""
     return _each(one, names)
 
