@@ -7,7 +7,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +79,8 @@ def train(split: DataFrame, features: list[str], categories: list[str] = (), tre
     indexers = [StringIndexer(inputCol=c, outputCol=f"_c_{c}", handleInvalid="keep").fit(rows.filter("split = 'train'")) for c in categories]
     numbers = [f"_f_{f}" for f in features if f not in categories]
     # through an expression, so that indexes are plain numbers and not nominal attributes with a bound on their values
-    stages = [*indexers, VectorAssembler(inputCols=[*numbers, *[f"_c_{c}" for c in categories]], outputCol="_features")]
+    plain = [SQLTransformer(statement="SELECT *, " + ", ".join(f"`_c_{c}` + 0D AS `_n_{c}`" for c in categories) + " FROM __THIS__")] if categories else []
+    stages = [*indexers, *plain, VectorAssembler(inputCols=[*numbers, *[f"_n_{c}" for c in categories]], outputCol="_features")]
     for s in stages:
         rows = s.transform(rows)
     known = rows.filter("split in ('train', 'val')").cache()
