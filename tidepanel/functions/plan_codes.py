@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ def _of(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` worked out once a row however often ``of`` names it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def parse(code: Column) -> Column:
     """A struct of base, modules, market and unknown out of a code like ``adv-tbl-dv-mx``.
 
@@ -19,16 +26,24 @@ def parse(code: Column) -> Column:
     if it is one; the others are modules or unknown, in order, repeats kept. A null or empty code has nothing.
     """
     parts = F.filter(F.split(F.lower(F.trim(F.coalesce(code, F.lit("")))), "-"), lambda x: F.trim(x) != "")
-    parts = F.transform(parts, lambda x: F.trim(x))
-    last = F.try_element_at(parts, F.lit(-1))
-    market = F.when(F.array_contains(_of(MARKETS), last), last)
-    rest = F.when(market.isNotNull(), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    first = F.try_element_at(rest, F.lit(1))
-    base = F.when(F.array_contains(_of(tuple(PLAN_RANK)), first), first)
-    tail = F.when(base.isNotNull(), F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1)))).otherwise(rest)
-    known = F.filter(tail, lambda x: F.array_contains(_of(MODULES), x))
-    unknown = F.filter(tail, lambda x: ~F.array_contains(_of(MODULES), x))
-    return F.struct(base.alias("base"), known.alias("modules"), market.alias("market"), unknown.alias("unknown"))
+
+    def without_market(own: Column) -> Column:
+        last = F.try_element_at(own, F.lit(-1))
+        known = F.coalesce(F.array_contains(_of(MARKETS), last), F.lit(False))
+        return F.struct(F.when(known, last).alias("market"), F.when(known, F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0)))).otherwise(own).alias("rest"))
+
+    def without_base(own: Column) -> Column:
+        first = F.try_element_at(own["rest"], F.lit(1))
+        known = F.coalesce(F.array_contains(_of(tuple(PLAN_RANK)), first), F.lit(False))
+        tail = F.when(known, F.slice(own["rest"], 2, F.greatest(F.size(own["rest"]), F.lit(1)))).otherwise(own["rest"])
+        return F.struct(F.when(known, first).alias("base"), own["market"].alias("market"), tail.alias("tail"))
+
+    def sorted_out(own: Column) -> Column:
+        known = F.filter(own["tail"], lambda x: F.array_contains(_of(MODULES), x))
+        unknown = F.filter(own["tail"], lambda x: ~F.array_contains(_of(MODULES), x))
+        return F.struct(own["base"].alias("base"), known.alias("modules"), own["market"].alias("market"), unknown.alias("unknown"))
+
+    return once(once(once(F.transform(parts, lambda x: F.trim(x)), without_market), without_base), sorted_out)
 
 
 def rank(base: Column) -> Column:
@@ -57,12 +72,18 @@ def price(book: Column, item: Column, market: Column, default: str) -> Column:
 def revenue(plan: Column, plans: dict, modules: dict, default: str) -> Column:
     """A struct of revenue (sum of known prices, 2 decimals), missing (items without a price) and items (item, price) of a parsed plan."""
     base_book, module_book = _book(plans), _book(modules)
-    base = F.when(plan["base"].isNotNull(), F.array(F.struct(plan["base"].alias("item"), price(base_book, plan["base"], plan["market"], default).alias("price"))))
-    own = F.transform(plan["modules"], lambda m: F.struct(m.alias("item"), price(module_book, m, plan["market"], default).alias("price")))
-    items = F.when(base.isNotNull(), F.concat(base, own)).otherwise(own)
-    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + F.coalesce(x["price"], F.lit(0.0)))
-    missing = F.transform(F.filter(items, lambda x: x["price"].isNull()), lambda x: x["item"])
-    return F.struct(F.bround(total, 2).alias("revenue"), missing.alias("missing"), items.alias("items"))
+
+    def items(own: Column) -> Column:
+        base = F.when(own["base"].isNotNull(), F.array(F.struct(own["base"].alias("item"), price(base_book, own["base"], own["market"], default).alias("price"))))
+        rest = F.transform(own["modules"], lambda m: F.struct(m.alias("item"), price(module_book, m, own["market"], default).alias("price")))
+        return F.when(base.isNotNull(), F.concat(base, rest)).otherwise(rest)
+
+    def summed(own: Column) -> Column:
+        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + F.coalesce(x["price"], F.lit(0.0)))
+        missing = F.transform(F.filter(own, lambda x: x["price"].isNull()), lambda x: x["item"])
+        return F.struct(F.bround(total, 2).alias("revenue"), missing.alias("missing"), own.alias("items"))
+
+    return once(once(plan, items), summed)
 
 
 def is_filled(book: dict[str, dict[str, float | None]]) -> bool:
