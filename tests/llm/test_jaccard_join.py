@@ -63,6 +63,19 @@ def test_against_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_few_long_texts_in_many_blocks(spark, monkeypatch):
+    """Blocks by n-grams outnumber the classes of a bucket, so most are empty; each pair still counts once."""
+    monkeypatch.setattr(jj, "BLOCK_GRAMS", 40)
+    texts = []
+    for group in range(12):
+        base = " ".join(f"w{group}x{i * i % 101}" for i in range(100))
+        texts += [base, *[edited(base, 30 + k) for k in range(1 + group % 2)]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["set_id"], r["n_copies"], r["n_links"]) for r in jj.join(docs).collect()}
+    assert got == brute(rows)
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["class_id"], r["n_copies"]) for r in jj.join(docs).collect()), key=str)

@@ -145,10 +145,10 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Rec
         yield pa.concat_batches(held)
 
 
-def verify(grams: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def verify(grams: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndarray, crossed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of one group: each class's number of new links, and the root (the least place) of its component among them.
 
-    A pair is new if it shares no band before ``band``; if the group has two blocks, only pairs across them count.
+    A pair is new if it shares no band before ``band``; if the group is ``crossed``, that is of two blocks, only pairs across them count.
     """
     m = len(grams)
     links, root = np.zeros(m, dtype=np.int64), np.arange(m)
@@ -156,7 +156,6 @@ def verify(grams: list[np.ndarray], bands: np.ndarray, band: int, block: np.ndar
     starts = np.concatenate([[0], np.cumsum(sizes)])
     _, codes = np.unique(np.concatenate(grams), return_inverse=True)
     mark = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.uint8)
-    crossed = (block != block[0]).any()
     for i in range(m - 1):
         rest = np.arange(i + 1, m)
         fit = np.minimum(sizes[rest], sizes[i]) >= threshold * np.maximum(sizes[rest], sizes[i]) - 1e-9
@@ -189,12 +188,15 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ["band", "bucket", "low", "high"]):
-            if group.num_rows < 2:
+            block = np.asarray(group.column("block"))
+            crossed = group.column("low")[0] != group.column("high")[0]
+            # of two blocks one may be empty: the pairs within the other are counted in its own group
+            if group.num_rows < 2 or crossed and (block == block[0]).all():
                 continue
             grams = [np.frombuffer(x, dtype=np.uint64) for x in group.column("grams").to_pylist()]
             width = len(group.column("bands")[0])
             bands = np.asarray(group.column("bands").flatten()).reshape(-1, width)
-            links, root = verify(grams, bands, group.column("band")[0].as_py(), np.asarray(group.column("block")), threshold)
+            links, root = verify(grams, bands, group.column("band")[0].as_py(), block, crossed, threshold)
             own = np.flatnonzero(links)
             h1, h2 = np.asarray(group.column("h1")), np.asarray(group.column("h2"))
             if len(own):
