@@ -106,6 +106,26 @@ def test_pseudonyms_keep_format_and_validity(spark):
     assert all(other[i] != got[i]["text"] for i in range(len(VALUES)))
 
 
+BESIDE = ["4111 1111 1111 1111 12/26", "4111 1111 1111 1111 123", "qty 2 4111111111111111", "1234 4111 1111 1111 1111 1234", "4111-1111-1111-1111 12th", "4111 1111 1111 1111 2024-01-05 1", "4111 1111 1111 1111 123-45-6789", "4111 1111 1111 1111 4111 1111 1111 1111"]
+
+
+def test_cards_beside_other_groups_and_dates_of_timestamps(spark):
+    texts = [*BESIDE, "4111 1111 1111 1111", "at 2024-01-05T10:00:00Z", "2024-01-05", "2024-01-05Tea", "7 " * 60_000]
+    out = pii_feistel.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k1")
+    assert no_python(out)
+    got = {r["doc_id"]: r for r in out.collect()}
+    card, date = got[len(BESIDE)]["text"], got[len(BESIDE) + 2]["text"]
+    assert luhn(card) and card != "4111 1111 1111 1111"
+    for i, t in enumerate(BESIDE):
+        want = t.replace("4111 1111 1111 1111", card).replace("4111-1111-1111-1111", card.replace(" ", "-")).replace("4111111111111111", card.replace(" ", "")).replace("2024-01-05", date)
+        assert got[i]["text"] == want or t.endswith("6789") and got[i]["text"].startswith(card), t
+        assert got[i]["n_card"] == (2 if i == 7 else 1)
+        assert got[i]["n_date"] == (i == 5) and got[i]["n_ssn"] == (i == 6)
+    assert got[len(BESIDE) + 1]["text"] == f"at {date}T10:00:00Z" and date != "2024-01-05"
+    assert got[len(BESIDE) + 3]["text"] == "2024-01-05Tea"
+    assert len(got[len(texts) - 1]["text"]) == 120_000
+
+
 def test_dates_are_permuted(spark):
     days = spark.range(0, 146_097, 97).select(F.col("id").alias("doc_id"), F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     out = pii_feistel.pseudonymised(days, "k")

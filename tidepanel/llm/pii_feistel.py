@@ -24,14 +24,17 @@ PATTERNS = {
     "phone_plus": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
     "phone_area": r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
-    "date_iso": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9A-Za-z-])",
+    "date_iso": r"(?<![0-9A-Za-z-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?:(?=T[0-9])|(?![0-9A-Za-z-]))",
     "date_dots": r"(?<![0-9A-Za-z.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9A-Za-z])",
     "date_slashes": r"(?<![0-9A-Za-z/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9A-Za-z/])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone_plain": r"(?<![0-9A-Za-z-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z-])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
-CANDIDATE = "|".join(PATTERNS.values())
+#: A run of groups of digits, 13 digits or more, up to where another candidate begins; possessive, so runs of any length take no stack.
+CARD_RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[ -](?!" + "|".join(PATTERNS.values()) + r")[0-9]++(?![A-Za-z]))*+"
+CANDIDATE = "|".join([*PATTERNS.values(), CARD_RUN])
+#: Digits of a card, least and most.
+LEAST, MOST = 13, 19
 #: Days from the first date on: 400 years, which is 189 * 773 days.
 FIRST_DATE, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 189, 773
 
@@ -87,8 +90,21 @@ def _luhn(digits: str, first: int) -> str:
 
 
 def _card(m: str, key: str, back: bool) -> str:
-    own = _let("q", _number("substr(d, 1, length(d) - 1)", key, "'card'", back), _let("e", f"concat(q, cast((10 - {_luhn('q', 1)} % 10) % 10 AS string))", _in_format(m, "e")))
-    return _let("d", _digits(m), f"CASE WHEN {_luhn('d', 0)} % 10 = 0 THEN {own} END")
+    """A struct of n and text: how many cards a run of groups has, and the run with each of them permuted.
+
+    Of the sub-runs that start at a group the longest that passes Luhn counts; from left to right each is a card, or the longest that starts within it.
+    """
+    valid = _let("d", "array_join(slice(g, i + 1, x), '')", f"length(d) BETWEEN {LEAST} AND {MOST} AND {_luhn('d', 0)} % 10 = 0")
+    longest = _let("k", f"coalesce(get(filter(sequence(least({MOST}, size(g) - i), 1, -1), x -> {valid}), 0), 0)", "named_struct('k', k, 'n', length(array_join(slice(g, i + 1, k), '')))")
+    own = _let("d", _digits("u"), _let("q", _number("substr(d, 1, length(d) - 1)", key, "'card'", back), _let("e", f"concat(q, cast((10 - {_luhn('q', 1)} % 10) % 10 AS string))", _in_format("u", "e"))))
+    best = "aggregate(sequence(w, w + s[w].k - 1), w, (b, h) -> CASE WHEN s[h].n > s[b].n THEN h ELSE b END)"
+    card = _let("u", "array_join(slice(t, j + 1, s[j].k), '')", own)
+    taken = _let("j", best, f"named_struct('at', j + s[j].k, 'n', z.n + 1, 'out', concat(z.out, array(array_join(slice(t, z.at + 1, j - z.at), ''), {card})))")
+    start = "named_struct('at', 0, 'n', 0, 'out', cast(array() AS array<string>))"
+    found = f"aggregate(sequence(0, size(g) - 1), {start}, (z, w) -> CASE WHEN w < z.at OR s[w].k = 0 THEN z ELSE {taken} END)"
+    out = _let("r", found, "named_struct('n', r.n, 'text', array_join(concat(r.out, slice(t, r.at + 1, size(t))), ''))")
+    parts = _let("s", f"transform(g, (y, i) -> {longest})", _let("t", f"regexp_extract_all({m}, '[0-9]+[ -]?', 0)", out))
+    return _let("g", f"split({m}, '[ -]')", parts)
 
 
 def _phone(m: str, key: str, back: bool) -> str:
@@ -136,10 +152,10 @@ def _name(name: str, key: str, back: bool) -> str:
 
 
 def _replacement(m: str, key: str, back: bool) -> str:
-    """A struct of the kind and what stands in for a match; the kind is null and the text its own where a match isn't valid."""
+    """A struct of the kind, what stands in for a match and how many values it has; the kind is null and the text its own where a match isn't valid."""
 
     def own(kind: str, value: str) -> str:
-        return _let("v", value, f"named_struct('kind', CASE WHEN v IS NOT NULL THEN '{kind}' END, 'text', coalesce(v, {m}))")
+        return _let("v", value, f"named_struct('kind', CASE WHEN v IS NOT NULL THEN '{kind}' END, 'text', coalesce(v, {m}), 'n', 1)")
 
     cases = [
         (f"contains({m}, '@')", own("email", _let("w", f"substring_index({m}, '@', 1)", f"concat({_name('w', key, back)}, substr({m}, length(w) + 1))"))),
@@ -150,7 +166,8 @@ def _replacement(m: str, key: str, back: bool) -> str:
         (f"{m} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'", own("ssn", _ssn(m, key, back))),
         (f"{m} RLIKE '^[(+]' OR {m} RLIKE '^[0-9]{{3}}[-.][0-9]{{3}}[-.][0-9]{{4}}$'", own("phone", _phone(m, key, back))),
     ]
-    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases) + f" ELSE {own('card', _card(m, key, back))} END"
+    card = _let("v", _card(m, key, back), "named_struct('kind', CASE WHEN v.n > 0 THEN 'card' END, 'text', v.text, 'n', v.n)")
+    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases) + f" ELSE {card} END"
 
 
 def _rewritten(docs: DataFrame, key: str, text: str, back: bool) -> DataFrame:
@@ -163,7 +180,7 @@ def _rewritten(docs: DataFrame, key: str, text: str, back: bool) -> DataFrame:
     out = hits.withColumn("_text", F.when(F.exists("_hits", lambda h: h["kind"].isNotNull()), F.array_join(pieces, "")).otherwise(F.col(text)))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_hits", lambda h: h["kind"] == kind)).cast("long")
+        return F.aggregate(F.filter("_hits", lambda h: h["kind"] == kind), F.lit(0).cast("long"), lambda a, h: a + h["n"])
 
     return out.withColumns({text: F.col("_text"), **{f"n_{k}": count(k) for k in KINDS}}).drop("_found", "_hits", "_text")
 
@@ -171,9 +188,9 @@ def _rewritten(docs: DataFrame, key: str, text: str, back: bool) -> DataFrame:
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced, and n_card, n_phone, n_ssn, n_ip, n_date, n_email (long), how many were.
 
-    Card: 13 to 19 digits, single blanks or hyphens between them, that pass Luhn; phone: with +code or area in parentheses, or
+    Card: 13 to 19 digits, single blanks or hyphens between them, that pass Luhn, also beside other groups of digits (see ``_card``); phone: with +code or area in parentheses, or
     ddd-ddd-dddd, a country code stays; ssn: ddd-dd-dddd in the ranges given out; ip: four octets; date: yyyy-MM-dd, dd.MM.yyyy or
-    dd/MM/yyyy (day first) of 1800 to 2199; email: the part before the @, the domain stays. Candidates that fail their check, and all
+    dd/MM/yyyy (day first) of 1800 to 2199, the first also before the time of a timestamp; email: the part before the @, the domain stays. Candidates that fail their check, and all
     else, stay byte for byte; numbers with letters or further digits at an end are no candidates. A null text stays null with counts of
     0. Whole texts of any length are rewritten; repeated rows alike; an empty table gives an empty table. Columns of the new names are
     replaced; others pass through.
@@ -182,5 +199,9 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def restored(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Turns ``pseudonymised`` back, with the same key: each permutation takes valid values of a kind and format to such values."""
+    """Turns ``pseudonymised`` back, with the same key: each permutation takes valid values of a kind and format to such values.
+
+    A card beside other groups of digits doesn't come back where its pseudonym makes another sub-run pass Luhn that comes first: the
+    permutation depends on the card alone, so that equal cards stay linked, and can't look at its neighbours.
+    """
     return _rewritten(docs, key, text, True)
