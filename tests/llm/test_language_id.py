@@ -70,6 +70,20 @@ def test_held_out_accuracy(spark):
     assert n > 250 and right > 0.98
 
 
+def test_language_of_long_texts_only(spark):
+    """A language whose documents are all longer than a sample's slice is learned too."""
+    long = "der Hund und die Straße über dem Fluß, "
+    rows = [(i, "the cat and the hat sat on the mat. " * 8, "en") for i in range(20)] + [(100 + i, (long + f"Haus {i} ") * 2_000, "de") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = li.sample(docs)
+    assert sorted(len(t) for lang, t in own if lang == "en") == [288] * 20
+    assert [li.SAMPLE_BYTES - 6 < len(t) <= li.SAMPLE_BYTES for lang, t in own if lang == "de"] == [True] * 5
+    assert all(any(t.decode() in x[1] for x in rows) for _, t in own)
+    assert len({t[:40] for lang, t in own if lang == "de"}) > 1  # slices start at different places
+    found = li.identify(docs, li.learned(docs)).select("lang", "lang_pred").distinct().collect()
+    assert {tuple(r) for r in found} == {("en", "en"), ("de", "de")}
+
+
 def test_fold_is_the_crc():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
 

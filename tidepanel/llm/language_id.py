@@ -41,18 +41,21 @@ def fold(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """(language, text) of about ``most_docs`` labelled documents a language, each of ``SAMPLE_BYTES`` bytes at most.
+    """(language, text) of about ``most_docs`` labelled documents a language; of one above ``SAMPLE_BYTES`` bytes a slice of so many.
 
     Documents are chosen by a hash of id and text against a threshold, most_docs / documents of that language: any number of documents
-    may have one language, no task gathers them, and reruns choose alike.
+    may have one language, no task gathers them, and reruns choose alike. Another hash places the slice, so every part of a long text may serve.
     """
-    fit = docs.filter(F.col(label).isNotNull() & (F.octet_length(text) > 0) & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+    fit = docs.filter(F.col(label).isNotNull() & (F.octet_length(text) > 0)).select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
     counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
     if not counts:
         return []
     at = F.xxhash64("key", "text").cast("double") / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, most_docs / n)]), F.col("lang"))
-    return [(r["lang"], r["text"].encode()) for r in fit.filter(at < share).select("lang", "text").collect()]
+    start = F.pmod(F.xxhash64("key", "text", F.lit("slice")), F.greatest(F.octet_length("text") - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    part = F.substring(F.col("text").cast("binary"), start, F.lit(SAMPLE_BYTES))
+    # characters that a slice cuts through are left out
+    return [(r["lang"], bytes(r["text"]).decode(errors="ignore").encode()) for r in fit.filter(at < share).select("lang", part.alias("text")).collect()]
 
 
 @dataclass
