@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidepanel.operators import explain, learning
+from tidepanel.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +59,24 @@ def test_contributions_and_narrative(rows, artifact):
     assert explain.global_importance(out).count() <= 3
 
 
+def test_importance_counts_every_feature(spark, monkeypatch):
+    """The registered query against the mean over the whole matrix, with more features than a row's factors."""
+    names = [f"f{k}" for k in range(14)]
+    random.seed(5)
+    own = []
+    for i in range(900):
+        x = [random.random() for _ in names]
+        own.append((i, 200006, int(sum(x) + random.random() > 7.5), ("train", "train", "val", "test")[i % 4], *x))
+    rows = spark.createDataFrame(own, "id int, period int, churn int, split string, " + ", ".join(f"{f} double" for f in names)).repartition(3)
+    artifact = learning.train(rows, names, trees=12, depth=3)
+    phi, _ = explain.shapley(np.array([r[4:] for r in own]), explain.leaves(artifact))
+    assert ((phi != 0).sum(axis=1) > explain.TOP).any()
+    monkeypatch.setattr(catalog, "_trained", lambda spark, sf_dir: (artifact, rows))
+    got = [tuple(r) for r in catalog.global_importance(spark, "").collect()]
+    want = sorted(zip(names, np.abs(phi).mean(axis=0)), key=lambda x: (-x[1], x[0]))
+    assert [f for f, _ in got] == [f for f, _ in want] and np.allclose([v for _, v in got], [v for _, v in want])
+
+
 def test_artifacts_travel(tmp_path, rows, artifact):
     registry = learning.Registry(str(tmp_path))
     assert registry.champion() is None

@@ -661,4 +661,4 @@ def global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidepanel.operators import explain
 
     artifact, rows = _trained(spark, sf_dir)
-    return explain.global_importance(explain.contributions(rows.filter("period = 200006"), artifact))
+    return explain.mean_abs_shap(rows.filter("period = 200006"), artifact)
