@@ -42,8 +42,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH doc AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0) AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
     ('0x' || md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, ''))[1:15])::BIGINT AS h FROM documents
 ), src AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM doc GROUP BY source
