@@ -1,14 +1,18 @@
-"""Helpers shared by the operators: staged tables, Arrow batches in pieces, column handling."""
+"""Helpers shared by the operators: staged tables, Arrow batches in pieces, column handling.
+
+The one setting of the session that the operators change is ``spark.sql.execution.arrow.maxBytesPerBatch``: see ``bounded_batches``.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ``[\x20\x09-\x0D]``, the white space of all word and line rules here.
@@ -21,35 +25,86 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 #: Bytes of a batch of rows that goes to Python, about.
 BATCH_BYTES = 4 << 20
 
+#: The folders behind tables that ``staged`` has made.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, or where it is unset (as in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a session in one process (``local[n]``, as in tests) gets a temporary one, and a cluster an error: its executors
+    and driver don't share temporary folders.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="staged-"))
-        found = spark.sparkContext.getCheckpointDir()
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="staged-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
+
+    What only leads to the next table is deleted by ``discard``; tables that a returned DataFrame still reads stay until ``clear``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``staged`` that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if path := _FOLDERS.pop(t, None):
+            _delete(t.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has staged, once the results have been written."""
+    _delete(spark, _root(spark))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, whose session from now on sends Arrow batches of ``BATCH_BYTES`` at most to Python (a longer row alone), not of its default 64 MB."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    """``df``, in a session whose Arrow batches to Python hold ``BATCH_BYTES`` at most (a longer row alone) instead of Spark's default of 64 MB.
+
+    A query runs after its operator has returned, so the setting can't be undone; one that the user has made stays.
+    """
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if name not in conf.getAll:
+        conf.set(name, f"{BATCH_BYTES}b")
     return df
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
+    """A struct of all columns of ``df`` but those named (in any case): what passes through an operator can't clash with its own columns."""
+    gone = {w.lower() for w in without}
+    return F.struct(*[column(c).alias(c) for c in df.columns if c.lower() not in gone])
+
+
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a piece hold about ``most_bytes``; a longer text is a piece of its own."""
     if batch.num_rows == 0:
@@ -69,15 +124,28 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def with_columns(batch: pa.RecordBatch, schema: pa.Schema, new: dict[str, pa.Array]) -> pa.RecordBatch:
-    """``batch`` in the order and types of ``schema``, with the columns in ``new`` set or replaced."""
-    return pa.RecordBatch.from_arrays([(new[f.name] if f.name in new else batch.column(f.name)).cast(f.type) for f in schema], schema=schema)
+def replaced(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
+    """``batch`` with the columns in ``new`` set, in the order of ``extended``."""
+    out, left = {}, {k.lower(): k for k in new}
+    for name, own in zip(batch.schema.names, batch.columns, strict=True):
+        if name.lower() not in {k.lower() for k in new}:
+            out[name] = own
+        elif key := left.pop(name.lower(), None):
+            out[key] = new[key]
+    out |= {k: new[k] for k in left.values()}
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
 def extended(df: DataFrame, **types: str) -> str:
-    """The schema of ``df`` as DDL, where each named column is set to the given type: in its place if ``df`` has it, else at the end."""
-    own = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return ", ".join(f"`{k}` {v}" for k, v in {**own, **types}.items())
+    """The schema of ``df`` as DDL, where each named column is set to the given type: in its place if ``df`` has it, in any case as Spark itself does, else at the end."""
+    out, left = [], {k.lower(): k for k in types}
+    for f in df.schema.fields:
+        if f.name.lower() not in {k.lower() for k in types}:
+            out.append((f.name, f.dataType.simpleString()))
+        elif key := left.pop(f.name.lower(), None):
+            out.append((key, types[key]))
+    out += [(k, types[k]) for k in left.values()]
+    return ", ".join(f"`{k.replace('`', '``')}` {v}" for k, v in out)
 
 
 def sha256_hex(column: str):

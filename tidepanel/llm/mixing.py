@@ -19,6 +19,8 @@ from tidepanel.llm import frames
 WEIGHTS = (5, 2, 1)
 HASH_BITS = 60
 LEVEL_BITS = 10
+#: Columns that ``mixed`` adds to a document.
+ADDED = ("size", "source_size", "target", "copies")
 
 
 def words(text: Column) -> Column:
@@ -32,28 +34,31 @@ def row_hash(key: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds ``size``, the words of a document, and ``_mix_hash``."""
-    return docs.withColumns({"size": words(F.col(text)), "_mix_hash": row_hash(F.col(key), F.col(text))})
+def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """row (the columns of ``docs``, but those that ``mixed`` adds), source, size (the words of a document), hash."""
+    row = frames.packed(docs, ADDED).alias("row")
+    return docs.select(row, F.col(source).alias("source"), words(F.col(text)).alias("size"), row_hash(F.col(key), F.col(text)).alias("hash"))
 
 
 def source_ranks(rows: DataFrame) -> DataFrame:
-    """source, source_size, place: sources from 0 in code point order, null last.
+    """source, source_size, place: sources from 0 in code point order, null last; staged.
 
     The table has a row a source. It is put in order by a range partitioning and numbered by offsets of partitions, so no task holds
     it all; only the counts of partitions, bounded by their number, meet in one window.
     """
     last = F.col("source").isNull()
     own = rows.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(last, F.col("source"))
-    placed = frames.staged(own.sortWithinPartitions(last, "source").withColumn("_at", F.monotonically_increasing_id()), "source-order")
-    placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    ordered = frames.staged(own.sortWithinPartitions(last, "source").withColumn("_at", F.monotonically_increasing_id()), "source-order")
+    placed = ordered.withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return placed.join(before, "_part").select("source", "source_size", (F.col("_before") + F.col("_row")).alias("place"))
+    out = frames.staged(placed.join(before, "_part").select("source", "source_size", (F.col("_before") + F.col("_row")).alias("place")), "source-places")
+    frames.discard(ordered)
+    return out
 
 
 def with_targets(sources: DataFrame, share: float, most_times: float, weights: tuple[int, ...]) -> DataFrame:
-    """source, source_size, target: the level to which sources fill by weight, each to ``most_times`` its size at most.
+    """source, source_size, target (staged): the level to which sources fill by weight, each to ``most_times`` its size at most.
 
     Full sources hand on their excess, so the level only rises from round to round, until no more sources are full; a round is one
     sum over the table of sources.
@@ -72,7 +77,9 @@ def with_targets(sources: DataFrame, share: float, most_times: float, weights: t
             level = float("inf")
             break
         level, full = (r["words"] * share - (r["spent"] or 0.0)) / r["open"], r["full"]
-    return weighted.select("source", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
+    out = frames.staged(weighted.select("source", "source_size", F.least("most", F.col("weight") * F.lit(level)).alias("target")), "targets")
+    frames.discard(weighted)
+    return out
 
 
 def _of_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
@@ -82,51 +89,63 @@ def _of_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataF
 
 
 def plan(rows: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target, whole, below, from rows of source, size and _mix_hash.
+    """source, source_size, target, whole, below, from rows of source, size and hash.
 
     Documents of a source are taken ``whole`` times, and once more where their hash is under ``below``: the largest bound that keeps
-    the source's words within its target. Each level sums words by bucket of the next bits, inside the boundary bucket only.
+    the source's words within its target. Each level sums words by bucket of the next bits, inside the boundary bucket only; a boundary
+    bucket of one document decides as its further bits would, so levels end when no source has more than one there.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    sources = with_targets(source_ranks(rows), share, most_times, weights).withColumn("whole", whole)
-    state = sources.select("source", F.lit(1 << HASH_BITS).alias("below"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"))
-    inside = rows.select("source", "size", "_mix_hash")
+    ranks = source_ranks(rows)
+    targets = with_targets(ranks, share, most_times, weights)
+    sources = targets.withColumn("whole", whole)
+    state = sources.select("source", F.lit(1 << HASH_BITS).alias("below"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("inside"))
+    inside, old = rows.select("source", "size", "hash"), [ranks, targets]
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         if shift + LEVEL_BITS < HASH_BITS:
-            boundary = state.select("source", F.shiftright("below", shift + LEVEL_BITS).alias("_bucket"))
-            inside = _of_source(inside, boundary).filter(F.shiftright("_mix_hash", shift + LEVEL_BITS) == F.col("_bucket")).drop("_bucket")
+            boundary = state.filter("inside > 1").select("source", F.shiftright("below", shift + LEVEL_BITS).alias("_bucket"))
+            inside = _of_source(inside, boundary).filter(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_bucket")).drop("_bucket")
             inside = frames.staged(inside, "mix-boundary")
-        summed = inside.groupBy("source", F.shiftright("_mix_hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
+            old.append(inside)
+        summed = inside.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
         run = summed.withColumn("run", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
         over = _of_source(run, state.select("source", "left")).filter(F.col("run") > F.col("left"))
-        first = over.groupBy("source").agg(F.min(F.struct("bucket", (F.col("run") - F.col("words")).alias("before"))).alias("_first"))
+        first = over.groupBy("source").agg(F.min(F.struct("bucket", (F.col("run") - F.col("words")).alias("before"), "docs")).alias("_first"))
         state = _of_source(state, first, "left").select(
             "source",
             F.coalesce(F.shiftleft("_first.bucket", shift), F.col("below")).alias("below"),
             (F.col("left") - F.coalesce(F.col("_first.before"), F.lit(0))).alias("left"),
+            F.coalesce("_first.docs", F.lit(0)).alias("inside"),
         )
         state = frames.staged(state, "mix-level")
+        old.append(state)
+        if (state.agg(F.max("inside")).first()[0] or 0) <= 1:
+            break
     found = _of_source(sources, state.select("source", "below"))
     # a source that whole copies fill has nothing left, also not for documents without words
     partial = F.col("target") > F.col("whole") * F.col("source_size")
-    return frames.staged(found.withColumn("below", F.when(partial, F.col("below")).otherwise(F.lit(0))), "mix-plan")
+    out = frames.staged(found.withColumn("below", F.when(partial, F.col("below")).otherwise(F.lit(0))), "mix-plan")
+    frames.discard(*old)
+    return out
 
 
 def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds source_size, target and ``copies`` to rows of source, size and _mix_hash."""
-    out = _of_source(rows.drop("source_size", "target", "copies", "whole", "below"), found)
-    copies = F.col("whole") + (F.col("_mix_hash") < F.col("below")).cast("long")
-    return out.withColumn("copies", copies).drop("whole", "below", "_mix_hash")
+    """Adds source_size, target and ``copies`` to rows of source, size and hash."""
+    copies = F.col("whole") + (F.col("hash") < F.col("below")).cast("long")
+    return _of_source(rows, found).withColumn("copies", copies).drop("whole", "below", "hash")
 
 
-def mixed(docs: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``docs`` with size, source_size, target and copies, how often the mix takes the document (0 to ``most_times``).
 
     Sources weigh ``weights`` in turn by name, null last; together they get ``share`` of all words, none more than ``most_times`` its
     own words. A source's taken words miss its target by less than the document at its threshold. The hash is of id and text, so
     reruns agree; rows equal in both share their fate. A null text or one without words has size 0; a source without words has
-    target 0; an empty table gives an empty table. Other columns pass through; those that are added replace any of the same name.
+    target 0; an empty table gives an empty table. Columns of the added names, in any case, are replaced; others pass through, whatever
+    they are called.
     """
-    rows = sized(docs, key, text)
-    found = plan(frames.staged(rows.select("source", "size", "_mix_hash"), "mix-rows"), share, most_times, weights)
-    return decide(rows, found)
+    rows = sized(docs, key, text, source)
+    small = frames.staged(rows.select("source", "size", "hash"), "mix-rows")
+    found = plan(small, share, most_times, weights)
+    frames.discard(small)
+    return decide(rows, found).select("row.*", *ADDED)

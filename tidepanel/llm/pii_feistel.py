@@ -15,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm import frames
+
 ROUNDS = 10
 KINDS = ("card", "phone", "ssn", "ip", "date", "email")
 
-#: The patterns of candidates, in the order in which they are tried at a place.
+#: The patterns of candidates, in the order in which they are tried at a place. Repeated groups are possessive, which takes
+#: no stack, so matches may be of any length; what follows such a group can't be in it. The name part of an address has 64 characters at most.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "phone_plus": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
     "phone_area": r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
@@ -35,6 +38,14 @@ CARD_RUN = r"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])(?:[
 CANDIDATE = "|".join([*PATTERNS.values(), CARD_RUN])
 #: Digits of a card, least and most.
 LEAST, MOST = 13, 19
+#: The country codes of telephone numbers of one and of two digits; all others have three.
+CODES_1 = ("1", "7")
+CODES_2 = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54",
+    "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+#: The code of numbers that are written without one (ddd-ddd-dddd is a format of countries with this code).
+HOME_CODE = "1"
 #: Days from the first date on: 400 years, which is 189 * 773 days.
 FIRST_DATE, LEFT_DAYS, RIGHT_DAYS = "1800-01-01", 189, 773
 
@@ -108,10 +119,12 @@ def _card(m: str, key: str, back: bool) -> str:
 
 
 def _phone(m: str, key: str, back: bool) -> str:
-    """All digits but a country code's."""
-    code = f"length(regexp_extract({m}, '^[+]([0-9]+)[ .(-]', 1))"
-    body = _let("e", f"concat(substr(d, 1, z), {_number('substr(d, z + 1)', key, _quoted('phone'), back)})", _in_format(m, "e"))
-    return _let("d", _digits(m), _let("z", code, f"CASE WHEN length(d) <= 15 AND length(d) - z >= 6 THEN {body} END"))
+    """The digits after the country code, whatever punctuation is between them; the permutation depends on the code and these digits alone."""
+    listed = lambda codes: ", ".join(map(_quoted, codes))
+    size = f"CASE WHEN NOT startswith({m}, '+') THEN 0 WHEN substr(d, 1, 1) IN ({listed(CODES_1)}) THEN 1 WHEN substr(d, 1, 2) IN ({listed(CODES_2)}) THEN 2 ELSE 3 END"
+    kind = f"concat('phone', CASE WHEN z = 0 THEN {_quoted(HOME_CODE)} ELSE substr(d, 1, z) END, '/')"
+    body = _let("e", f"concat(substr(d, 1, z), {_number('substr(d, z + 1)', key, kind, back)})", _in_format(m, "e"))
+    return _let("d", _digits(m), _let("z", size, f"CASE WHEN length(d) <= 15 AND length(d) - z >= 6 THEN {body} END"))
 
 
 def _ssn(m: str, key: str, back: bool) -> str:
@@ -171,29 +184,35 @@ def _replacement(m: str, key: str, back: bool) -> str:
 
 
 def _rewritten(docs: DataFrame, key: str, text: str, back: bool) -> DataFrame:
-    pattern = F.lit(CANDIDATE)
+    counts = tuple(f"n_{k}" for k in KINDS)
     none = F.expr("cast(array() AS array<string>)")
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), pattern, F.lit(0))).otherwise(none)
-    hits = docs.withColumn("_found", found).withColumn("_hits", F.expr(f"transform(_found, m -> {_replacement('m', key, back)})"))
-    gaps = F.split(F.col(text), CANDIDATE, -1)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_hits", i)["text"], F.lit(""))))
-    out = hits.withColumn("_text", F.when(F.exists("_hits", lambda h: h["kind"].isNotNull()), F.array_join(pieces, "")).otherwise(F.col(text)))
+    # the text stays in its place; all else goes through in a struct, so no name of a column matters
+    own = docs.select(frames.packed(docs, counts).alias("row"), F.col(text).alias("text"))
+    found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0))).otherwise(none)
+    hits = own.withColumn("found", found).withColumn("hits", F.expr(f"transform(found, m -> {_replacement('m', key, back)})"))
+    gaps = F.split(F.col("text"), CANDIDATE, -1)
+    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("hits", i)["text"], F.lit(""))))
+    out = F.when(F.exists("hits", lambda h: h["kind"].isNotNull()), F.array_join(pieces, "")).otherwise(F.col("text"))
 
     def count(kind: str) -> Column:
-        return F.aggregate(F.filter("_hits", lambda h: h["kind"] == kind), F.lit(0).cast("long"), lambda a, h: a + h["n"])
+        return F.aggregate(F.filter("hits", lambda h: h["kind"] == kind), F.lit(0).cast("long"), lambda a, h: a + h["n"])
 
-    return out.withColumns({text: F.col("_text"), **{f"n_{k}": count(k) for k in KINDS}}).drop("_found", "_hits", "_text")
+    kept = [c for c in docs.columns if c.lower() not in counts]
+    return hits.select(*[(out if c.lower() == text.lower() else F.col("row").getField(c)).alias(c) for c in kept], *[count(k).alias(f"n_{k}") for k in KINDS])
 
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced, and n_card, n_phone, n_ssn, n_ip, n_date, n_email (long), how many were.
 
-    Card: 13 to 19 digits, single blanks or hyphens between them, that pass Luhn, also beside other groups of digits (see ``_card``); phone: with +code or area in parentheses, or
-    ddd-ddd-dddd, a country code stays; ssn: ddd-dd-dddd in the ranges given out; ip: four octets; date: yyyy-MM-dd, dd.MM.yyyy or
-    dd/MM/yyyy (day first) of 1800 to 2199, the first also before the time of a timestamp; email: the part before the @, the domain stays. Candidates that fail their check, and all
-    else, stay byte for byte; numbers with letters or further digits at an end are no candidates. A null text stays null with counts of
-    0. Whole texts of any length are rewritten; repeated rows alike; an empty table gives an empty table. Columns of the new names are
-    replaced; others pass through.
+    Card: 13 to 19 digits, single blanks or hyphens between them, that pass Luhn, also beside other groups of digits (see ``_card``). Phone:
+    + and digits with a country code (told by its first digits, with or without a separator), area in parentheses, or ddd-ddd-dddd; the
+    last two count as numbers of ``HOME_CODE``. The code stays and the digits after it are permuted, so one number in several formats
+    stays one. Ssn: ddd-dd-dddd in the ranges given out. Ip: four octets. Date: yyyy-MM-dd, dd.MM.yyyy or dd/MM/yyyy (day first) of 1800
+    to 2199, the first also before the time of a timestamp. Email: the part before the @, of 64 characters at most; the domain stays.
+    Candidates that fail their check, and all else, stay byte for byte; numbers with letters or further digits at an end are no candidates.
+
+    A null text stays null with counts of 0. Whole texts and matches of any length are rewritten; repeated rows alike; an empty table gives
+    an empty table. Columns of the new names, in any case, are replaced; others pass through, whatever they are called.
     """
     return _rewritten(docs, key, text, False)
 

@@ -35,7 +35,7 @@ FROM marked GROUP BY r
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rows = frames.staged(mixing.sized(docs).drop("text"), "mix-rows")
+    rows = frames.staged(mixing.sized(docs).select("row.doc_id", "source", "size", "hash"), "mix-rows")
     out = mixing.decide(rows, mixing.plan(rows))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -90,10 +90,13 @@ WITH doc AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
 ), host AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS bad FROM failed GROUP BY source
+), moment AS (
+  SELECT m, v - m * (1 - m) * e AS beyond FROM (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v, avg(1 / n) AS e FROM host)
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, m * (1 - m) / v - 1) ELSE 10.0 END AS s FROM (SELECT avg(bad / n) AS m, var_pop(bad / n) AS v FROM host)
+  SELECT m, CASE WHEN beyond > 0 THEN least(greatest(m * (1 - m) / beyond - 1, 1.0::DOUBLE), 1e6::DOUBLE) ELSE 1e6::DOUBLE END AS s FROM moment
 ), verdict AS (
-  SELECT source, (bad + m * s) / (n + s) <= 0.5 AS good FROM host, prior
+  SELECT source, r - 2.0::DOUBLE * sqrt(r * (1 - r) / (n + s + 1)) <= least(0.5::DOUBLE, 2.0::DOUBLE * m) AS good
+  FROM (SELECT source, n, m, s, (bad + m * s) / (n + s) AS r FROM host, prior)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
 FROM failed JOIN verdict ON failed.source IS NOT DISTINCT FROM verdict.source
