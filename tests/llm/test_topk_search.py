@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from tidepanel.llm import topk_search as ts
 
 
@@ -17,7 +20,7 @@ def run(spark, queries, rows, k=10):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ts, "LEAST_SHARDS", 3)
+    monkeypatch.setattr(ts, "SHARD_BYTES", 8 * 8 * 200)  # several shards, several blocks each
     random.seed(2)
     rows = [(i, [random.randint(-900, 900) for _ in range(8)]) for i in range(700)]
     rows += [(1000 + i, rows[5][1]) for i in range(40)]  # ties
@@ -38,15 +41,52 @@ def test_quantised_leaves_out_what_has_no_number(spark):
     assert sorted((r["id"], r["vec"]) for r in ts.quantised(own).collect()) == [(1, [512, -1]), (6, [])]
 
 
-def test_blocks_are_pruned():
-    import numpy as np
-
+def clustered(n, width=16, clusters=8):
     rng = np.random.default_rng(1)
-    centres = rng.integers(-1000, 1000, (8, 16))
-    rows = (centres[rng.integers(0, 8, 4000)] + rng.integers(-20, 20, (4000, 16))).astype(np.int64)
+    centres = rng.integers(-1000, 1000, (clusters, width))
+    return centres[rng.integers(0, clusters, n)] + rng.integers(-20, 20, (n, width))
+
+
+@pytest.mark.parametrize("shard_rows", [100_000, 500])
+def test_top_k_prunes_clustered_vectors(spark, monkeypatch, shard_rows):
+    """Through the whole operator, with one shard and with several: most blocks are never scored, and the result is that of brute force."""
+    monkeypatch.setattr(ts, "SHARD_BYTES", 8 * 16 * shard_rows)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(4000))]
+    queries = rows[::200]
+    make = lambda x: spark.createDataFrame(x, "id long, vec array<long>")
+    seen = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    got = sorted(tuple(r) for r in ts.top_k(make(queries), make(rows).repartition(3), 10, seen).collect())
+    assert got == brute(queries, rows, 10)
+    assert seen[1].value >= len(queries) * 4000 // ts.BLOCK_ROWS
+    assert seen[0].value < 0.35 * seen[1].value
+
+
+def test_a_floor_spares_shards_without_good_blocks(spark, monkeypatch):
+    """Blocks scored in the second pass, with floors from the first and without them."""
+    monkeypatch.setattr(ts, "SHARD_BYTES", 8 * 16 * 250)
+    rows = [(i, v.tolist()) for i, v in enumerate(clustered(4000))]
+    make = lambda x: spark.createDataFrame(x, "id long, vec array<long>")
+
+    def scored():
+        seen = (spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+        ts.top_k(make(rows[::200]), make(rows).repartition(3), 10, seen).collect()
+        return seen[0].value
+
+    with_floor = scored()
+    monkeypatch.setattr(ts, "_floors", lambda c, asked, shards, k: asked.select("id", "floor").filter("false"))
+    assert with_floor < 0.9 * scored()
+
+
+def test_bounds_hold():
+    rows = clustered(4000).astype(np.int64)
     blocks = ts.Blocks(np.arange(4000), rows)
     query = rows[7].astype(float)
-    bounds = np.maximum(query, 0) @ blocks.most.T + np.minimum(query, 0) @ blocks.least.T
-    kth = np.sort(rows @ rows[7])[-11]
-    assert (bounds < kth).mean() > 0.5
-    assert (bounds >= np.maximum.reduceat(blocks.exact @ query, blocks.starts)).all()
+    assert (blocks.bounds(query[None])[0] >= np.maximum.reduceat(blocks.rows @ query, blocks.starts)).all()
+    assert blocks.sizes.max() <= ts.BLOCK_ROWS and blocks.sizes.sum() == 4000
+
+
+def test_shards_are_bounded_by_bytes(spark, monkeypatch):
+    """Wide vectors get more shards; equal vectors, a third of all, are no hot key."""
+    monkeypatch.setattr(ts, "SHARD_BYTES", 1 << 16)
+    rows = [(i, [i % 7] * 300 if i % 3 else [5] * 300) for i in range(300)]
+    assert run(spark, rows[::60], rows, 4) == brute(rows[::60], rows, 4)
