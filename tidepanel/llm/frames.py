@@ -8,12 +8,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ``[\x20\x09-\x0D]``, the white space of all word and line rules here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -102,7 +103,7 @@ def column(name: str) -> Column:
 def packed(df: DataFrame, without: tuple[str, ...] = ()) -> Column:
     """A struct of all columns of ``df`` but those named (in any case): what passes through an operator can't clash with its own columns."""
     gone = {w.lower() for w in without}
-    return F.struct(*[column(c).alias(c) for c in df.columns if c.lower() not in gone])
+    return F.struct(*[column(c).alias(c) for c in df.columns if c.lower() not in gone] or [F.lit(None).cast("int").alias("none")])
 
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -136,16 +137,27 @@ def replaced(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
 
-def extended(df: DataFrame, **types: str) -> str:
-    """The schema of ``df`` as DDL, where each named column is set to the given type: in its place if ``df`` has it, in any case as Spark itself does, else at the end."""
+def extended(df: DataFrame, **types: str) -> T.StructType:
+    """The schema of ``df``, where each named column is set to the given type: in its place if ``df`` has it, in any case as Spark itself does, else at the end."""
     out, left = [], {k.lower(): k for k in types}
     for f in df.schema.fields:
         if f.name.lower() not in {k.lower() for k in types}:
-            out.append((f.name, f.dataType.simpleString()))
+            out.append(f)
         elif key := left.pop(f.name.lower(), None):
-            out.append((key, types[key]))
-    out += [(k, types[k]) for k in left.values()]
-    return ", ".join(f"`{k.replace('`', '``')}` {v}" for k, v in out)
+            out.append(T.StructField(key, T.DataType.fromDDL(types[key])))
+    return T.StructType([*out, *[T.StructField(k, T.DataType.fromDDL(types[k])) for k in left.values()]])
+
+
+def applied(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: dict[str, str], adds: dict[str, str], **more: Column) -> DataFrame:
+    """``df`` with the columns ``adds`` (name to type) that ``function`` sets, on batches of the columns that it ``uses`` (its name to that of ``df``) and ``more``, which it leaves out of its result.
+
+    All other columns go along in a struct, so they may have any name; those that are added replace any of the same name.
+    """
+    rows = df.select(packed(df, (*uses.values(), *adds)).alias("row"), *[column(v).alias(k) for k, v in uses.items()], *[c.alias(k) for k, c in more.items()])
+    out = bounded_batches(rows).mapInArrow(function, extended(rows.drop(*more), **adds))
+    back, gone = {v.lower(): k for k, v in uses.items()}, {k.lower() for k in adds}
+    names = [c for c in df.columns if c.lower() not in gone]
+    return out.select(*[(F.col(back[c.lower()]) if c.lower() in back else F.col("row").getField(c)).alias(c) for c in names], *adds)
 
 
 def sha256_hex(column: str):
