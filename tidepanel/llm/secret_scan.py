@@ -3,9 +3,10 @@
 The base rules find assignments, access keys and hex digests. Their matches are labelled credentials of three formats; from a bounded
 sample of them a prefix tree of character classes is built for each format, and states whose frequencies of ending and of each class
 are statistically compatible are merged, with their subtrees, into a probabilistic automaton (Hoeffding bounds, in the order that keeps
-the merged part a tree's front). A further automaton is learned from tokens that no rule matched. Every token of a text that holds a
-letter and a digit is a candidate: its format likelihood is the best log-likelihood per character under the credential automata less
-that of the ordinary tokens; where it is high enough, a span of kind ``format`` is added.
+the merged part a tree's front). A further automaton is learned from tokens that no rule matched. Candidates are what the base rules match
+and all other tokens that might be credentials (see ``CANDIDATE``). A candidate's format likelihood is the best log-likelihood per character
+under the credential automata less that of the ordinary tokens. Every candidate is scored; where the likelihood of one that no rule
+matched is high enough, a span of kind ``format`` is added.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "format")
 LEAST_VALUE = 8
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: Candidates hold a letter and a digit.
-MIXED = re.compile(r"(?=[^A-Za-z]*[A-Za-z])[^0-9]*[0-9]")
+#: Tokens are whole runs of these characters; a candidate has 8 of them or more with a letter and a digit among them, or 16 or more of any kind.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:(?=[+/_=-]*+[A-Za-z][A-Za-z+/_=-]*+[0-9]|[+/_=-]*+[0-9][0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{8,}|[A-Za-z0-9+/_=-]{16,})")
 #: Labelled credentials of a format, and ordinary tokens, that the automata learn from, about: the bound of the sample.
 SAMPLE = 2_000
-#: Characters of a token that the automata read while learning, so that one long token doesn't make a deep tree; scoring reads all.
+#: Characters of a token that the automata read while learning, so that one long token doesn't make a deep tree: a longer one counts as still
+#: running there, neither ended nor going on. Scoring reads all.
 DEPTH = 64
-#: The confidence of the compatibility test, and the score from which a token is taken for a secret.
-ALPHA = 0.05
-LEAST_SCORE = 0.35
+#: The confidence of the compatibility test; the score a character, and in all, from which a token is taken for a secret.
+ALPHA = 0.001
+LEAST_SCORE = 0.2
+LEAST_EVIDENCE = 7.0
 
 CLASSES = 5  # upper case, lower case a-f, lower case g-z, digits, others
 END = CLASSES
@@ -65,23 +67,29 @@ def classes_of(token: str) -> list[int]:
 
 @dataclass
 class Node:
-    """A state: how many strings came here, how many ended here, and the next state by class."""
+    """A state: how many strings came here, how many of them ended here, how many were cut here, and the next state by class."""
 
     came: int = 0
     ended: int = 0
+    cut: int = 0
     next: dict[int, int] = field(default_factory=dict)
     took: dict[int, int] = field(default_factory=dict)
 
+    @property
+    def known(self) -> int:
+        """Strings of which it is known what they did here."""
+        return self.came - self.cut
+
 
 class Inference:
     """Merging of compatible states of a prefix tree."""
 
-    def __init__(self, strings: list[list[int]]):
+    def __init__(self, strings: list[list[int]], depth: int = DEPTH):
         self.nodes = [Node()]
         for s in strings:
             at = 0
             self.nodes[0].came += 1
-            for c in s:
+            for c in s[:depth]:
                 node = self.nodes[at]
                 node.took[c] = node.took.get(c, 0) + 1
                 if c not in node.next:
@@ -89,7 +97,10 @@ class Inference:
                     self.nodes.append(Node())
                 at = node.next[c]
                 self.nodes[at].came += 1
-            self.nodes[at].ended += 1
+            if len(s) > depth:
+                self.nodes[at].cut += 1
+            else:
+                self.nodes[at].ended += 1
 
     @staticmethod
     def differ(a: int, n: int, b: int, m: int) -> bool:
@@ -99,10 +110,12 @@ class Inference:
         todo = [(red, blue)]
         while todo:
             p, q = (self.nodes[x] for x in todo.pop())
-            if self.differ(p.ended, p.came, q.ended, q.came):
+            if not (p.known and q.known):  # nothing is known against it
+                continue
+            if self.differ(p.ended, p.known, q.ended, q.known):
                 return False
             for c in p.took.keys() | q.took.keys():
-                if self.differ(p.took.get(c, 0), p.came, q.took.get(c, 0), q.came):
+                if self.differ(p.took.get(c, 0), p.known, q.took.get(c, 0), q.known):
                     return False
                 if c in p.next and c in q.next:
                     todo.append((p.next[c], q.next[c]))
@@ -114,7 +127,7 @@ class Inference:
         while todo:
             into, of = todo.pop()
             p, q = self.nodes[into], self.nodes[of]
-            p.came, p.ended = p.came + q.came, p.ended + q.ended
+            p.came, p.ended, p.cut = p.came + q.came, p.ended + q.ended, p.cut + q.cut
             for c, n in q.took.items():
                 p.took[c] = p.took.get(c, 0) + n
                 if c in p.next:
@@ -123,7 +136,13 @@ class Inference:
                     p.next[c] = q.next[c]
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        """``step``[state, class] and ``log``[state, class or END]: the automaton, smoothed by half a string a choice; the last state is for what was never seen."""
+        """``step``[state, class] and ``log``[state, class or END]: the automaton.
+
+        A state's frequencies are smoothed by three strings that do as all training strings do on the whole; the last state, for what was
+        never seen, does so too: what is unlike a format anywhere stays unlikely on unseen ground.
+        """
+        every = np.array([*(sum(n.took.get(c, 0) for n in self.nodes) for c in range(CLASSES)), sum(n.ended for n in self.nodes)]) + 0.5
+        every /= every.sum()
         red, rank = [0], {0: 0}
         while True:
             fringe = [(self.nodes[r].came, r, c) for r in red for c, n in self.nodes[r].next.items() if n not in rank]
@@ -140,18 +159,19 @@ class Inference:
                 self.fold(into, blue)
         n = len(red)
         step, log = np.full((n + 1, CLASSES), n, dtype=np.int32), np.zeros((n + 1, CLASSES + 1))
-        log[n] = -np.log(CLASSES + 1)
+        log[n] = np.log(every)
         for i, r in enumerate(red):
             node = self.nodes[r]
             for c in range(CLASSES):
                 step[i, c] = rank[node.next[c]] if c in node.next else n
-            counts = np.array([*(node.took.get(c, 0) for c in range(CLASSES)), node.ended]) + 0.5
+            counts = np.array([*(node.took.get(c, 0) for c in range(CLASSES)), node.ended]) + 3 * every
             log[i] = np.log(counts / counts.sum())
         return step, log
 
 
 def infer(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return Inference([classes_of(t)[:DEPTH] for t in sorted(tokens)]).merged()
+    """The automaton of some tokens; of those longer than ``DEPTH`` one character more is enough."""
+    return Inference([classes_of(t) for t in sorted(tokens)]).merged()
 
 
 def likelihoods(tokens: list[str], automaton: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -173,16 +193,29 @@ def likelihoods(tokens: list[str], automaton: tuple[np.ndarray, np.ndarray]) ->
 
 
 def tokens_of(text: str, spans: list[tuple]) -> list[tuple[int, int]]:
-    """Runs of token characters that no base span touches."""
-    out, at = [], 0
-    for m in TOKEN.finditer(text):
-        while at < len(spans) and spans[at][1] <= m.start():
-            at += 1
-        if not any(x[0] < m.end() and x[1] > m.start() for x in spans[at:]):
+    """Candidates that no base span touches; spans are sorted by their starts, so one pass over both is enough."""
+    out, at, reach = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach, at = max(reach, spans[at][1]), at + 1
+        if reach <= m.start():
             out.append((m.start(), m.end()))
     return out
 
 
+def credential(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
+    """Where the credential itself stands in a span: the value of an assignment, else the whole."""
+    return ASSIGN.match(text, start).span(1) if kind == "assign" else (start, end)
+
+
+def scores(tokens: list[str], automata: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The format likelihood of each token: per character, the best under the credential automata less that of ordinary tokens (without any, of even odds)."""
+    if not tokens:
+        return np.zeros(0)
+    plain = likelihoods(tokens, automata["token"]) if "token" in automata else np.full(len(tokens), -np.log(CLASSES + 1))
+    return np.max([likelihoods(tokens, a) for k, a in automata.items() if k != "token"], axis=0) - plain
+
+
 def _labelled(docs: DataFrame, text: str) -> DataFrame:
     """kind, token: the credentials that the base rules match, and every token (kind ``token``) that they don't."""
 
@@ -192,7 +225,7 @@ def _labelled(docs: DataFrame, text: str) -> DataFrame:
                 kinds, tokens = [], []
                 for t in batch.column(text).to_pylist():
                     spans = base_spans(t or "")
-                    own = {("assign", ASSIGN.match(t, s)[1]) if k == "assign" else (k, t[s:e]) for s, e, k in spans}
+                    own = {(k, t[slice(*credential(t, s, e, k))]) for s, e, k in spans}
                     own |= {("token", t[s:e]) for s, e in tokens_of(t or "", spans)}
                     for k, x in own:
                         kinds.append(k)
@@ -203,7 +236,10 @@ def _labelled(docs: DataFrame, text: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The automata by kind, from about ``most`` distinct tokens a kind that are chosen by a hash; a kind without tokens has none."""
+    """The automata by kind, from about ``most`` distinct tokens a kind that are chosen by a hash; a kind without tokens has none.
+
+    The driver gets ``most`` * 4 tokens of ``DEPTH`` + 1 characters, whatever the table's size.
+    """
     tokens = frames.staged(_labelled(docs, text).distinct(), "tokens")
     counts = {r["kind"]: r["count"] for r in tokens.groupBy("kind").count().collect()}
     if not counts:
@@ -211,40 +247,44 @@ def learn(docs: DataFrame, text: str = "text", most: int = SAMPLE) -> dict[str,
     at = F.xxhash64("token").cast("double") / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, most / n)]), F.col("kind"))
     by: dict[str, list[str]] = {}
-    for r in tokens.filter(at < share).select("kind", F.substring("token", 1, DEPTH).alias("token")).collect():
+    for r in tokens.filter(at < share).select("kind", F.substring("token", 1, DEPTH + 1).alias("token")).collect():
         by.setdefault(r["kind"], []).append(r["token"])
+    frames.discard(tokens)
     return {k: infer(v) for k, v in sorted(by.items())}
 
 
 def scan(docs: DataFrame, automata: dict[str, tuple[np.ndarray, np.ndarray]] | None, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with ``secrets`` added: array of (start, end, kind, score), by start and then kind as listed in ``KINDS``.
 
-    Places are code points of the whole text, end exclusive. Base spans are those of the rules, whatever the automata say, with a null
-    score. ``format`` spans are other tokens whose score is ``least_score`` or more; without automata of credentials there are none.
-    A null or empty text has no spans. Texts and tokens may be of any length; repeated rows are scanned alike; an empty table gives an
-    empty table. A column named secrets is replaced; others pass through.
+    Places are code points of the whole text, end exclusive. Base spans are those of the rules, whatever the automata say; ``score`` is the
+    format likelihood of what they hold (of an assignment its value), null without automata of credentials. ``format`` spans are other
+    candidates with a score of ``least_score`` a character or more and of ``LEAST_EVIDENCE`` or more in all, that is times the characters
+    and the end; without automata there are none. A null or empty text has no spans. Texts and tokens may be of any length; repeated rows
+    are scanned alike; an empty table gives an empty table. A column named secrets, in any case, is replaced; others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(automata or {})
     kind = "array<struct<start:int,end:int,kind:string,score:double>>"
     own_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = dict(shared.value)
-        ordinary = own.pop("token", None)
+        own = shared.value
         for whole in batches:
-            for batch in frames.pieces(whole, text):
-                texts = [t or "" for t in batch.column(text).to_pylist()]
-                spans = [[(*s, None) for s in base_spans(t)] for t in texts]
-                if own:
-                    places = [(i, s, e) for i, t in enumerate(texts) for s, e in tokens_of(t, spans[i]) if MIXED.match(t, s, e)]
-                    tokens = [texts[i][s:e] for i, s, e in places]
-                    plain = likelihoods(tokens, ordinary) if ordinary else np.full(len(tokens), -np.log(CLASSES + 1))
-                    best = np.max([likelihoods(tokens, a) for a in own.values()], axis=0) - plain if tokens else plain
-                    for j in np.flatnonzero(best >= least_score).tolist():
-                        i, s, e = places[j]
-                        spans[i].append((s, e, "format", float(best[j])))
-                rows = [[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in sorted(x, key=lambda s: (s[0], KINDS.index(s[2])))] for x in spans]
-                columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "secrets": pa.array(rows, own_type)}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    return frames.bounded_batches(docs).mapInArrow(scanned, frames.extended(docs, secrets=kind))
+            for batch in frames.pieces(whole, "text"):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                spans = [base_spans(t) for t in texts]
+                if any(k != "token" for k in own):
+                    spans = with_scores(texts, spans, own)
+                rows = [[dict(zip(("start", "end", "kind", "score"), (*s, None), strict=False)) for s in x] for x in spans]
+                yield frames.replaced(batch, {"secrets": pa.array(rows, own_type)})
+
+    def with_scores(texts: list[str], spans: list[list[tuple]], own: dict) -> list[list[tuple]]:
+        places = [(i, *s) for i, t in enumerate(texts) for s in [*spans[i], *((*x, "format") for x in tokens_of(t, spans[i]))]]
+        parts = [credential(texts[i], s, e, k) for i, s, e, k in places]
+        tokens = [texts[i][s:e] for (i, *_), (s, e) in zip(places, parts, strict=True)]
+        out: list[list[tuple]] = [[] for _ in texts]
+        for (i, s, e, k), score, token in zip(places, scores(tokens, own).tolist(), tokens, strict=True):
+            if k != "format" or score >= least_score and score * (len(token) + 1) >= LEAST_EVIDENCE:
+                out[i].append((s, e, k, score))
+        return [sorted(x, key=lambda s: (s[0], KINDS.index(s[2]))) for x in out]
+
+    return frames.applied(docs, scanned, {"text": text}, {"secrets": kind})
