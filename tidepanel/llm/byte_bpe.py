@@ -35,8 +35,9 @@ CACHED_BYTES = 64
 CACHED_PIECES = 300_000
 HASH_BASE = 0x2545F4914F6CDD1D
 NO_RANK = 1 << 40
-#: Ids that are decoded at once.
+#: Ids of texts that are decoded at once, and ids whose bytes are gathered at once.
 DECODED_IDS = 1 << 19
+GATHERED_IDS = 1 << 17
 
 
 def _move(state: int, kind: int) -> tuple[int, bool]:
@@ -298,17 +299,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def decode_ids(ids: np.ndarray, counts: np.ndarray, token: list[bytes]) -> list[bytes]:
-    """The bytes that the ids of each text stand for; ``token`` is the bytes of each id."""
-    values, at = ids.tolist(), np.concatenate([[0], np.cumsum(counts)]).tolist()
-    return [b"".join(map(token.__getitem__, values[s:e])) for s, e in zip(at, at[1:], strict=False)]
+class Tokens:
+    """The bytes of all ids in one array, ``first`` and ``sizes`` of each."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        own: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        for piece, rank in ranks.items():
+            own[rank] = piece
+        self.data = np.frombuffer(b"".join(own), dtype=np.uint8)
+        self.sizes = np.array([len(t) for t in own], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def bytes_of(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The bytes that ``ids`` stand for; ``ends`` says where each ends. Some hundred thousand ids at a time, so long texts need little besides."""
+        out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+        for at in range(0, len(ids), GATHERED_IDS):
+            own, end = ids[at : at + GATHERED_IDS], ends[at : at + GATHERED_IDS]
+            sizes, begin = self.sizes[own], int(ends[at - 1]) if at else 0
+            out[begin : end[-1]] = self.data[np.arange(begin, end[-1]) + np.repeat(self.first[own] - (end - sizes), sizes)]
+        return out
 
 
-def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
-    out: list = [None] * (max(ranks.values(), default=-1) + 1)
-    for piece, rank in ranks.items():
-        out[rank] = piece
-    return out
+def decode_ids(ids: np.ndarray, counts: np.ndarray, ends: np.ndarray, tokens: Tokens, gone: np.ndarray | None = None) -> pa.BinaryArray:
+    """The bytes of each text: its ids' bytes, cut where the offsets say. ``ends``: where each id ends in the bytes of all texts together; ``gone``: texts that are null."""
+    cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+    large = pa.py_buffer(cuts.astype(np.int64).tobytes())
+    valid = None if gone is None else pa.py_buffer(np.packbits(~gone, bitorder="little").tobytes())
+    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [valid, large, pa.py_buffer(tokens.bytes_of(ids, ends).tobytes())])
+    return own.cast(pa.binary())
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -317,23 +335,20 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 def _encoded(docs: DataFrame, ranks_path: str, text: str, decoded: str | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    out = frames.extended(docs, ids="array<int>", ends="array<int>", **({decoded: "binary"} if decoded else {}))
+    adds = {"ids": "array<int>", **({decoded: "binary"} if decoded else {"ends": "array<int>"})}
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, classes = shared.value, code_classes()
-        pieces, token = Pieces(ranks), _tokens(ranks)
-        sizes = np.array([len(t or b"") for t in token], dtype=np.int32)
+        pieces, tokens = Pieces(ranks), Tokens(ranks)
         for whole in batches:
-            for batch in frames.pieces(whole, text, 2 << 20):
-                ids, counts = encode_texts([x or "" for x in batch.column(text).to_pylist()], pieces, classes)
-                ends = np.cumsum(sizes[ids], dtype=np.int64)
+            for batch in frames.pieces(whole, "text", 2 << 20):
+                ids, counts = encode_texts([x or "" for x in batch.column("text").to_pylist()], pieces, classes)
+                ends = np.cumsum(tokens.sizes[ids])
                 before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
-                columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), "ids": _lists(ids, counts), "ends": _lists(ends - np.repeat(before, counts), counts)}
-                if decoded:
-                    columns[decoded] = pa.array(decode_ids(ids, counts, token), pa.binary())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                more = {decoded: decode_ids(ids, counts, ends, tokens)} if decoded else {"ends": _lists(ends - np.repeat(before, counts), counts)}
+                yield frames.replaced(batch, {"ids": _lists(ids, counts), **more})
 
-    return frames.bounded_batches(docs).mapInArrow(encoded, out)
+    return frames.applied(docs, encoded, {"text": text}, adds)
 
 
 def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
@@ -341,48 +356,47 @@ def encode(docs: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
 
     Ids are those of the rank file at ``ranks_path`` (read once, on the driver, and broadcast) under the pattern above, without special
     tokens: their strings are ordinary text. A null or empty text has no ids. Very long texts and pieces take n log n. Repeated rows are
-    encoded alike; an empty table gives an empty table. Columns named ids or ends are replaced; all others pass through.
+    encoded alike; an empty table gives an empty table. Columns named ids or ends, in any case, are replaced; all others pass through.
     """
     return _encoded(docs, ranks_path, text, None)
 
 
 def transcode(docs: DataFrame, ranks_path: str, text: str = "text", to: str = "decoded") -> DataFrame:
-    """``encode``, and from the ids alone the bytes (binary) that they stand for, in one pass: ids needn't travel to another Python worker."""
+    """ids as of ``encode``, and the bytes (binary) that ids and offsets stand for, in one pass: neither needs to travel to another Python worker, and offsets to none."""
     return _encoded(docs, ranks_path, text, to)
 
 
 def decode(encoded: DataFrame, ranks_path: str, to: str = "decoded") -> DataFrame:
     """Adds the bytes (binary) that the ids stand for; null where ids is null. An id that the rank file lacks is an error.
 
-    Where a column ``ends`` is there, the bytes must end where it says, or the row is an error. A column of the new name is replaced.
+    Where a column ``ends`` is there, the bytes are cut by it, and a row whose offsets aren't those of its ids is an error. A column of the
+    new name, in any case, is replaced.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     checked = "ends" in encoded.columns
-    out = frames.extended(encoded, **{to: "binary"})
+    uses = {"ids": "ids", **({"ends": "ends"} if checked else {})}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _tokens(shared.value)
+        tokens = Tokens(shared.value)
         for whole in batches:
             counts = np.diff(np.asarray(whole.column("ids").offsets))
             group = np.cumsum(counts) // DECODED_IDS
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(counts)]
             for start, end in zip(cuts, cuts[1:], strict=False):
-                yield cut(whole.slice(start, end - start), token)
+                yield cut(whole.slice(start, end - start), tokens)
 
-    def cut(batch: pa.RecordBatch, token: list[bytes]) -> pa.RecordBatch:
-        ids = batch.column("ids")
-        at = np.asarray(ids.offsets)
-        values = np.asarray(ids.values)[at[0] : at[-1]]
-        if len(values) and not (0 <= values.min() and values.max() < len(token)):
+    def cut(batch: pa.RecordBatch, tokens: Tokens) -> pa.RecordBatch:
+        gone = np.asarray(batch.column("ids").is_null())
+        lists = batch.column("ids").fill_null([])
+        counts, ids = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten())
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(tokens.sizes)):
             raise ValueError("an id that the rank file lacks")
-        texts = decode_ids(values, np.diff(at), token)
+        ends = np.cumsum(tokens.sizes[ids])
         if checked:
-            ends, stops = np.asarray(batch.column("ends").offsets), np.asarray(batch.column("ends").values)
-            last = np.where(np.diff(ends) > 0, stops[np.maximum(ends[1:] - 1, 0)] if len(stops) else 0, 0)
-            if (last != [len(t) for t in texts]).any():
+            before = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])[:-1]]
+            own = batch.column("ends").fill_null([])
+            if (np.diff(np.asarray(own.offsets)) != counts).any() or (np.asarray(own.flatten()) != ends - np.repeat(before, counts)).any():
                 raise ValueError("ids and offsets disagree")
-        texts = [None if gone else t for gone, t in zip(ids.is_null().to_pylist(), texts, strict=True)]
-        columns = {**dict(zip(batch.schema.names, batch.columns, strict=True)), to: pa.array(texts, pa.binary())}
-        return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        return frames.replaced(batch, {to: decode_ids(ids, counts, ends, tokens, gone)})
 
-    return frames.bounded_batches(encoded).mapInArrow(decoded, out)
+    return frames.applied(encoded, decoded, uses, {to: "binary"})
