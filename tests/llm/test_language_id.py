@@ -63,6 +63,15 @@ def test_states_are_bounded():
     assert li.train([]) is None
 
 
+def test_many_languages_share_the_sample_and_the_table(spark, monkeypatch):
+    monkeypatch.setattr(li, "SAMPLE_TOTAL", 40 * li.SAMPLE_BYTES)
+    monkeypatch.setattr(li, "TABLE_BYTES", 8 * 20 * 30 * 100)
+    rows = [(i, f"word{i % 20} and {i} more", f"l{i % 20}") for i in range(2000)]
+    own = li.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = li.train(own)
+    assert 19 <= len(own) <= 80 and 8 * model.step.size * len(model.languages) <= li.TABLE_BYTES
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = li.identify(docs, li.learned(docs)).filter(li.fold(F.col("doc_id")) == 1)
@@ -88,13 +97,14 @@ def test_fold_is_the_crc():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
 
 
-def test_odd_rows(spark, odd_docs, no_docs):
+def test_odd_rows(spark, odd_docs, no_docs, passed_through):
     ids = spark.range(50).select(F.col("id"), li.fold(F.col("id")).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 3 for r in ids)
     model = li.train(SAMPLES)
     got = {(r["doc_id"], r["lang_pred"]) for r in li.identify(odd_docs, model).select("doc_id", "lang_pred").collect()}
     assert {(2, "und"), (3, "und"), (5, "und"), (None, "und")} <= got and not {(1, "und"), (4, "und"), (6, "und"), (7, "und")} & got
     out = li.identify(odd_docs, model)
-    assert set(odd_docs.columns) <= set(out.columns) and all(0 <= r["score"] <= 1 for r in out.select("score").collect())
+    passed_through(out, ("lang_pred", "score", "bits_per_byte"))
+    assert all(0 <= r["score"] <= 1 for r in out.select("score").collect())
     assert li.identify(no_docs, model).count() == 0
     assert {r["lang_pred"] for r in li.identify(odd_docs, li.learned(no_docs)).collect()} == {"und"}

@@ -24,11 +24,14 @@ from tidepanel.llm import frames
 
 #: Bytes of context at most.
 ORDER = 4
-#: Training documents a language, about, and bytes of a document that may serve: the bound of the sample.
+#: Training documents a language, about, bytes of a document that may serve, and bytes of the whole sample: its bound on the driver. Many
+#: languages share the last, so each has fewer documents.
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 32_768
-#: States of the automaton at most; contexts are kept by how often they occur.
+SAMPLE_TOTAL = 128 << 20
+#: States of the automaton, and bytes of its table of code lengths while it is made, at most; contexts are kept by how often they occur.
 STATES = 12_000
+TABLE_BYTES = 256 << 20
 #: Code lengths in 1/256 bit.
 UNIT = 256
 STRIP = 512
@@ -43,6 +46,8 @@ def fold(key: Column) -> Column:
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most_docs: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """(language, text) of about ``most_docs`` labelled documents a language; of one above ``SAMPLE_BYTES`` bytes a slice of so many.
 
+    All samples together hold about ``SAMPLE_TOTAL`` bytes at most: with many languages there are fewer documents of each, one at least.
+
     Documents are chosen by a hash of id and text against a threshold, most_docs / documents of that language: any number of documents
     may have one language, no task gathers them, and reruns choose alike. Another hash places the slice, so every part of a long text may serve.
     """
@@ -50,6 +55,7 @@ def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str
     counts = {r["lang"]: r["count"] for r in fit.groupBy("lang").count().collect()}
     if not counts:
         return []
+    most_docs = max(1, min(most_docs, SAMPLE_TOTAL // (SAMPLE_BYTES * len(counts))))
     at = F.xxhash64("key", "text").cast("double") / 2.0**64 + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, most_docs / n)]), F.col("lang"))
     start = F.pmod(F.xxhash64("key", "text", F.lit("slice")), F.greatest(F.octet_length("text") - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
@@ -103,6 +109,7 @@ def train(samples: list[tuple[str, bytes]], order: int = ORDER, states: int = ST
             k, n = grams[lang, w]
             total[np.searchsorted(keys, k)] += n
         totals.append(total)
+    states = min(states, max(1, TABLE_BYTES // (8 * len(languages) * (len(used) + 1))))
     every = np.sort(np.concatenate(totals))[::-1]
     least = max(2, int(every[states - 1]) + 1) if len(every) >= states else 2
     kept += [keys[total >= least] for keys, total in zip(pool, totals, strict=True)]
@@ -179,21 +186,19 @@ def identify(docs: DataFrame, model: Automaton | None, text: str = "text") -> Da
     The language is the one that codes the whole text in the fewest bits, ties to the first by name. ``score`` is its posterior for a
     stretch of 64 bytes that codes like the whole text (a shorter text stands for itself), languages alike before. A text that is null or
     has no letter is ``und`` with score 0, and so is every text where nothing could be learned. Repeated rows are judged alike; an empty
-    table gives an empty table. Columns of these names are replaced; all others pass through.
+    table gives an empty table. Columns of these names, in any case, are replaced; all others pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "bits_per_byte": F.lit(0.0)})
-    out = out.withColumn("lang_pred", F.when(F.col(text).rlike(r"\p{L}"), F.lit("")).otherwise(F.lit(UNKNOWN)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for whole in batches:
-            for batch in frames.pieces(whole, text):
+            for batch in frames.pieces(whole, "text"):
                 yield cut(batch, own)
 
     def cut(batch: pa.RecordBatch, own: Automaton | None) -> pa.RecordBatch:
-        texts = frames.utf8(batch, text)
-        known = np.array([x == "" for x in batch.column("lang_pred").to_pylist()], dtype=bool)
+        texts = frames.utf8(batch, "text")
+        known = np.asarray(batch.column("lettered"), dtype=bool)
         langs, score, rate = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
         if own is not None and known.any():
             at = np.flatnonzero(known)
@@ -204,9 +209,10 @@ def identify(docs: DataFrame, model: Automaton | None, text: str = "text") -> Da
             langs[at] = np.array(own.languages, dtype=object)[best]
             score[at] = 1 / np.exp2(-np.minimum(over, 1000)).sum(axis=1)
             rate[at] = bits.min(axis=1) / sizes
-        return frames.with_columns(batch, batch.schema, {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(rate)})
+        return frames.replaced(batch.drop_columns(["lettered"]), {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score), "bits_per_byte": pa.array(rate)})
 
-    return frames.bounded_batches(out).mapInArrow(scored, out.schema)
+    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    return frames.applied(docs, scored, {"text": text}, {"lang_pred": "string", "score": "double", "bits_per_byte": "double"}, lettered=lettered)
 
 
 def learned(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Automaton | None:
