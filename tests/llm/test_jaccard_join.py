@@ -1,6 +1,6 @@
 """The join against brute force over all pairs."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -55,7 +55,7 @@ def sample_rows():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block", [1024, 7, 3, 2, 1])
 def test_against_brute_force(spark, block):
     rows = sample_rows()
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, size int")
@@ -89,8 +89,44 @@ def test_bands_reach_the_recall():
         assert 1 - (1 - threshold**rows) ** bands >= 0.999
 
 
+def test_blocks_of_single_classes(spark):
+    """Twelve pairs in blocks of one class: every group is of two blocks, and many blocks are empty."""
+    texts = []
+    for group in range(12):
+        base = " ".join(f"w{group}x{i * i % 101}" for i in range(100))
+        texts += [base, edited(base, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["n_links"] for r in jj.join(docs, block_classes=1).collect()} == {1}
+
+
+def test_recall_against_all_pairs(spark):
+    """Links of every document of a larger table; sets that share no n-gram can't be linked."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: grams(t) for i, t in rows}
+    distinct, holders = list({s for s in sets.values() if s}), defaultdict(list)
+    for k, s in enumerate(distinct):
+        for g in s:
+            holders[g].append(k)
+    links = {}
+    for k, s in enumerate(distinct):
+        shared = Counter(j for g in s for j in holders[g] if j != k)
+        links[s] = sum(5 * n >= 4 * (len(s) + len(distinct[j]) - n) for j, n in shared.items())
+    got = {r["doc_id"]: r["n_links"] for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    truth = {i: links.get(s, 0) for i, s in sets.items()}
+    print(f"links: {sum(got.values())} of {sum(truth.values())}")
+    assert sum(truth.values()) > 10 and all(got[i] <= n for i, n in truth.items())
+    assert sum(got.values()) >= 0.99 * sum(truth.values())
+
+
 def test_whole_table_against_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["set_id"], r["n_copies"], r["n_links"]) for r in jj.join(docs).collect()}
     assert got == brute(rows)
+
+
+def test_odd_rows(odd_docs, no_docs, passed_through):
+    assert jj.join(odd_docs).count() == odd_docs.count()
+    alone = jj.one_of_each_group(odd_docs)
+    assert alone.columns == odd_docs.columns and sorted(r["doc_id"] or 0 for r in alone.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert jj.one_of_each_group(no_docs).count() == 0

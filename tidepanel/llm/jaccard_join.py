@@ -207,25 +207,27 @@ def _linked(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root from edges of node and other (any comparable type): the least node of each connected component.
+    """node, root (staged) from edges of node and other (any comparable type): the least node of each connected component.
 
     Labels fall to the least among neighbours and then to the label of the label, until nothing changes; every round is staged.
     """
     both = frames.staged(edges.select("node", "other").union(edges.select("other", "node")).distinct(), "edges")
-    labels = frames.staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
+    held = labels = frames.staged(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("root").alias("_near")), "other").groupBy("node").agg(F.min("_near").alias("_near"))
         step = labels.join(near, "node").select("node", F.col("root").alias("_before"), F.least("root", "_near").alias("_at"))
         jump = labels.select(F.col("node").alias("_at"), F.col("root").alias("_jump"))
         after = step.join(jump, "_at").select("node", F.least("_at", "_jump").alias("root"), (F.least("_at", "_jump") != F.col("_before")).alias("moved"))
         after = frames.staged(after, "labels")
-        labels = after.select("node", "root")
+        frames.discard(held)
+        held, labels = after, after.select("node", "root")
         if not after.filter("moved").limit(1).count():
-            return labels
+            frames.discard(both)
+            return after
 
 
-def placed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> DataFrame:
-    """One row a document: id, code, size, class_id, set_id, n_copies, n_links, first (whether it leads its group); see ``join``."""
+def placed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> tuple[DataFrame, list[DataFrame]]:
+    """One row a document: id, code, size, class_id, set_id, n_copies, n_links, first (whether it leads its group); see ``join``. And the staged tables that it reads."""
     bands, rows = choose_bands(threshold, recall)
     signed = frames.staged(signatures(docs, bands, rows, key, text, n), "signatures")
     lead = F.struct(F.col("id").isNull().alias("last"), "id", "code")
@@ -248,14 +250,15 @@ def placed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     found = frames.staged(_linked(paired.join(grams, ["h1", "h2"]).repartition(*group).sortWithinPartitions(*group), threshold), "links")
     counts = found.groupBy("h1", "h2").agg(F.sum("links").alias("n_links"))
     edges = found.filter("h1 <> r1 OR h2 <> r2").select(F.struct("h1", "h2").alias("node"), F.struct(F.col("r1").alias("h1"), F.col("r2").alias("h2")).alias("other"))
-    grouped = components(edges).select("node.h1", "node.h2", "root")
-    own = grouped.join(classes.select("h1", "h2", "lead"), ["h1", "h2"])
+    labels = components(edges)
+    own = labels.select("node.h1", "node.h2", "root").join(classes.select("h1", "h2", "lead"), ["h1", "h2"])
     group_lead = own.join(own.groupBy("root").agg(F.min("lead").alias("group_lead")), "root").select("h1", "h2", "group_lead")
     told = classes.drop("size", "bands").join(counts, ["h1", "h2"], "left").join(group_lead, ["h1", "h2"], "left").filter("n_copies > 1 OR n_links > 0")
     told = frames.staged(told.withColumn("group_lead", F.coalesce("group_lead", "lead")), "told")
+    frames.discard(classes, kept, members, needed, found, labels)
     out = signed.select("id", "code", "h1", "h2", "size").join(told, ["h1", "h2"], "left")
     leads = F.col("group_lead").isNull() | (F.col("id").eqNullSafe(F.col("group_lead.id")) & (F.col("code") == F.col("group_lead.code")))
-    return out.select(
+    out = out.select(
         "id",
         "code",
         "size",
@@ -265,6 +268,7 @@ def placed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         leads.alias("first"),
     )
+    return out, [signed, told]
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text", block_classes: int = BLOCK_CLASSES) -> DataFrame:
@@ -278,14 +282,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     gives an empty table. Each pair at the threshold is found with chance ``recall`` at least, more similar ones with more. Columns of
     ``docs`` but the two named are not looked at.
     """
-    return placed(docs, threshold, recall, n, key, text, block_classes).select(F.col("id").alias(key), "class_id", "set_id", "n_copies", "n_links")
+    return placed(docs, threshold, recall, n, key, text, block_classes)[0].select(F.col("id").alias(key), "class_id", "set_id", "n_copies", "n_links")
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, n: int = NGRAM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that lead their groups (see ``join``): of least id, then text. Of rows with the same id and text one stays; texts without words all stay."""
-    rows = frames.staged(placed(docs, threshold, recall, n, key, text).filter("NOT first OR size > 0").select("id", "code", "first"), "group-rows")
-    keys = rows.groupBy("id", "code").agg(F.bool_and("first").alias("leads"), F.count("*").alias("rows"))
+    rows, read = placed(docs, threshold, recall, n, key, text)
+    keys = rows.filter("NOT first OR size > 0").groupBy("id", "code").agg(F.bool_and("first").alias("leads"), F.count("*").alias("rows"))
     keys = frames.staged(keys.filter("NOT leads OR rows > 1"), "group-keys")
+    frames.discard(*read)
 
     def of(which: DataFrame, how: str) -> DataFrame:
         own = which.select(F.col("id").alias("_id"), F.col("code").alias("_code"))
