@@ -61,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage was given is deleted once it is written. ``frames.clear`` deletes the rest when the rows have been used."""
     docs = frames.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = frames.staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, frames.staged(stage(spark, docs, sf_dir), name)
+        frames.discard(before)
     return docs
