@@ -5,8 +5,10 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidepanel.operators import explain, learning
+from tidepanel.functions import names
+from tidepanel.operators import explain, learning, promotion, risk, scoring
 from tidepanel.plans import catalog
+from tidepanel.sources.prices import PriceBook
 
 
 @pytest.fixture(scope="module")
@@ -54,9 +56,71 @@ def test_contributions_and_narrative(rows, artifact):
     for r in out.limit(40).collect():
         sizes = [abs(f["shap"]) for f in r["factors"]]
         assert len(sizes) <= 2 and sizes == sorted(sizes, reverse=True) and 0 not in sizes
-    text = out.select(explain.narrative(F.lit("alto"), F.lit(0.5), F.lit(100.0), F.col("factors")).alias("t")).first()["t"]
+    placed = explain.with_percentiles(out.drop("percentile"), rows.filter("split = 'test'"), ["a", "b", "c"])
+    text = placed.select(explain.narrative(F.lit("alto"), F.lit(0.5), F.lit(100.0), F.col("factors")).alias("t")).first()["t"]
     assert text.startswith("High risk of leaving: estimated probability 50%. Worth 100 USD a month, 50 at risk.")
-    assert explain.global_importance(out).count() <= 3
+    values = sorted(r["a"] for r in rows.filter("split = 'test'").collect())
+    for r in placed.collect():
+        for f in r["factors"]:
+            if f["feature"] == "a":
+                assert abs(f["percentile"] - 100 * (values.index(f["value"]) + 1) / len(values)) < 1e-9
+            elif f["feature"] == "c":
+                assert f["percentile"] is None
+    before = {r["id"]: [f["feature"] for f in r["factors"]] for r in out.collect()}
+    assert {r["id"]: [f["feature"] for f in r["factors"]] for r in placed.collect()} == before
+
+
+def test_phrases_by_percentile(spark):
+    kind = "array<struct<label:string,direction:string,percentile:double>>"
+    own = spark.createDataFrame([([("ACTIVE days", "up", 5.0), ("Orders", "up", 95.0), ("Plan", "up", None), ("More", "up", 1.0), ("Tenure", "down", 50.0)],)], f"f {kind}")
+    say = lambda c: own.select(explain.narrative(F.lit(c), F.lit(0.25), F.lit(None).cast("double"), F.col("f")).alias("t")).first()["t"]
+    assert say("medio") == "Medium risk of leaving: estimated probability 25%. What pushes it: aCTIVE days (far below the others, percentile 5); orders (far above the others, percentile 95); plan. What holds it: tenure (like the others, percentile 50)."
+    assert "holds" not in say("no_churn")
+
+
+def test_a_writer_never_stops_a_batch(spark):
+    own = spark.createDataFrame([(1, "alto", "rule 1"), (2, "alto", "rule 2"), (3, "bajo", "rule 3"), (4, None, "rule 4")], "id int, risk_category string, narrative string")
+
+    def writer(row):
+        if row["id"] == 2:
+            raise RuntimeError("no answer")
+        return f"written {row['id']}"
+
+    assert {r["id"]: r["narrative"] for r in explain.rewritten(own, writer).collect()} == {1: "written 1", 2: "rule 2", 3: "rule 3", 4: "rule 4"}
+
+
+def test_names_and_groups():
+    assert names.label("ad_pc_ratio_3m") == "Ad pc (level against the last three months)" and names.label("x_delta_1m", {"x": "Sales"}) == "Sales (change in a month)"
+    assert names.label("plan_module_tbl", modules={"tbl": "Tables"}) == "Module Tables" and names.label("known", {"known": "As said"}) == "As said"
+    assert [names.group(x) for x in ("plan_rank", "severity_max_3m", "debt_streak", "sales_total_slope_3m", "orders", "usuarios", "months_since_first", "zzz")] == ["plan", "billing", "billing", "sales", "daily operation", "team and access", "life cycle", "other"]
+
+
+def test_scoring_gives_the_whole_batch(spark, rows, artifact, tmp_path):
+    own = rows.withColumns({"t": F.col("period") - 202401, "plan": F.lit("adv-tbl-ar"), "country": F.lit("x"), "state": F.lit("ACTIVE")})
+    book = PriceBook({"adv": {"ar": 50.0}}, {}, "EUR", "ar")
+    out = scoring.score_period(own, artifact, book, writer=lambda row: None)
+    assert tuple(out.columns) == scoring.COLUMNS and len(scoring.COLUMNS) == 20
+    got = out.collect()
+    assert len(got) == rows.filter("period = 202406").count() and {r["predicted_period"] for r in got} == {202407}
+    assert all(r["price_incomplete"] and r["monthly_revenue"] == 50.0 and r["name"] is None and " EUR a month" in r["narrative"] for r in got)
+    meta = scoring.batch_metadata(out, artifact, book, explain.mean_abs_shap(own, artifact), risk.RiskBands(), "now")
+    assert meta["accounts"] == len(got) and sum(r["accounts"] for r in meta["summary"]) == len(got) and meta["importance"][0]["feature"] in ("a", "b")
+    with pytest.raises(ValueError):
+        scoring.score_period(own, artifact, book, 209901)
+
+
+def test_a_champion_that_lacks_features_counts_with_its_stored_metrics(rows, artifact):
+    test = rows.filter("split = 'test'")
+    decided = learning.challenge(test.drop("b"), artifact, artifact)
+    assert decided["same_test"] is False and decided["champion"] == artifact.metrics
+    again = learning.challenge(test, artifact, artifact)
+    assert again["same_test"] and not again["promote"] and abs(again["champion"]["pr_auc"] - artifact.metrics["pr_auc"]) < 1e-9
+    assert learning.challenge(test, artifact, None)["promote"]
+
+
+def test_categories_of_the_caller_stay(spark, artifact):
+    odd = spark.createDataFrame([(1, 0.9, None)], "id int, a double, c string")
+    assert artifact.score(odd).first()["c"] is None
 
 
 def test_importance_counts_every_feature(spark, monkeypatch):
@@ -80,8 +144,9 @@ def test_importance_counts_every_feature(spark, monkeypatch):
 def test_artifacts_travel(tmp_path, rows, artifact):
     registry = learning.Registry(str(tmp_path))
     assert registry.champion() is None
-    assert registry.promote(artifact, "v1", learning.decide({"pr_auc": 0.5}, None))
-    assert not registry.promote(artifact, "v2", learning.decide({"pr_auc": 0.1}, None))
+    said = lambda ap: promotion.verdict(promotion.outcomes(rows.sparkSession, {"pr_auc": ap}))
+    assert registry.promote(artifact, "v1", said(0.5)) and not registry.promote(artifact, "v2", said(0.1))
+    assert (tmp_path / "decisions" / "v2" / "decision.md").read_text().startswith("# v2: not promoted") and (tmp_path / "champion" / "release.json").exists()
     again = registry.champion()
     key = lambda a: sorted((r["id"], round(r["probability"], 9)) for r in a.score(rows.filter("split = 'test'")).collect())
     assert key(again) == key(artifact) and again.threshold == artifact.threshold

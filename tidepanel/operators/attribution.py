@@ -23,16 +23,18 @@ def _derived(rows: DataFrame, key: str) -> DataFrame:
     return own.filter("derived = _most").select(key, "derived")
 
 
-def attribute(tickets: DataFrame, companies: DataFrame | None = None, valid_ids: DataFrame | None = None) -> DataFrame:
+def attribute(tickets: DataFrame, companies: DataFrame | None = None, valid_ids: DataFrame | None = None, order: str | None = None) -> DataFrame:
     """Adds account_id and source to tickets with explicit_id, company_ref, external_id.
 
     In order: the explicit id; the companies table (company_ref, account_id) on the trimmed reference; an external id of digits that
     is a valid id (any, where no ids are given); the account to which all resolved tickets of the external id go; the same for the company
-    reference, where tickets resolved one step before count. Null keys derive nothing.
+    reference, where tickets resolved one step before count. Null keys derive nothing. Of repeated references in ``companies`` the first by
+    the column ``order`` counts, without it the least account.
     """
     out = tickets.withColumns({"account_id": F.col("explicit_id").cast("long"), "source": F.when(F.col("explicit_id").isNotNull(), F.lit("explicit")).cast("string")})
     if companies is not None:
-        first = companies.filter("account_id IS NOT NULL").groupBy(F.trim("company_ref").alias("_ref")).agg(F.first("account_id").alias("_company"))
+        place = F.col(order) if order else F.col("account_id")
+        first = companies.filter("account_id IS NOT NULL").groupBy(F.trim("company_ref").alias("_ref")).agg(F.min_by("account_id", F.struct(place, "account_id")).alias("_company"))
         out = _fill(out.join(first, F.trim("company_ref") == F.col("_ref"), "left"), F.col("_company"), "company").drop("_ref", "_company")
     own = digits_as_long(F.col("external_id"))
     if valid_ids is not None:
@@ -70,6 +72,40 @@ def key_stability(tickets: DataFrame, key: str, account: str = "account_id") ->
     return own.agg(F.count("*").alias("keys"), F.avg((F.col("a") == 1).cast("int")).alias("one_account_share"), F.avg("n").alias("tickets_a_key"))
 
 
+def key_lengths(tickets: DataFrame, key: str) -> DataFrame:
+    """length, tickets, numeric_share: how long the keys are, and how many of them are digits alone."""
+    own = tickets.filter(F.col(key).isNotNull()).groupBy(F.length(key).alias("length"))
+    return own.agg(F.count("*").alias("tickets"), F.avg(F.col(key).rlike("^[0-9]+$").cast("int")).alias("numeric_share"))
+
+
+def one_key_share(tickets: DataFrame, holder: str, key: str) -> DataFrame:
+    """One row: ``holder`` values (e-mails, say) that have a key, and the share of them with exactly one."""
+    own = tickets.filter(F.col(holder).isNotNull() & F.col(key).isNotNull()).groupBy(holder).agg(F.count_distinct(key).alias("k"))
+    return own.agg(F.count("*").alias("holders"), F.avg((F.col("k") == 1).cast("int")).alias("one_key_share"))
+
+
+def rule_agreement(tickets: DataFrame, accounts: DataFrame, most_digits: int = 7) -> DataFrame:
+    """rule, tickets, agree_share, against: how well heuristics for an external id hold where the explicit id is known.
+
+    Rules: it has at most ``most_digits`` digits; it lies between 1 and the greatest account; it is an account (``accounts``: id).
+    """
+    number = digits_as_long(F.col("external_id"))
+    known = accounts.select(F.col("id").cast("long").alias("_id")).distinct()
+    own = tickets.filter("explicit_id IS NOT NULL").withColumn("_n", number).filter("_n IS NOT NULL").join(known, F.col("_n") == F.col("_id"), "left")
+    greatest = accounts.agg(F.max(F.col("id").cast("long"))).scalar()
+    rules = {"short": F.length("external_id") <= most_digits, "in range": F.col("_n").between(1, greatest), "an account": F.col("_id").isNotNull()}
+    same = F.col("_n") == F.col("explicit_id")
+    own = own.select(same.alias("same"), *[F.when(holds, F.lit(name)).alias(name) for name, holds in rules.items()])
+    hits = own.select("same", F.explode(F.array(*rules)).alias("rule")).filter("rule IS NOT NULL")
+    return hits.groupBy("rule").agg(F.count("*").alias("tickets"), F.avg(F.col("same").cast("int")).alias("agree_share"), F.count_if(~F.col("same")).alias("against"))
+
+
+def rescued_by(attributed: DataFrame, key: str) -> DataFrame:
+    """``key``, tickets, explicit, rescued, rescued_share: of tickets without an explicit id, how many another route resolves, by reason."""
+    own = attributed.groupBy(key).agg(F.count("*").alias("tickets"), F.count_if(F.col("source") == "explicit").alias("explicit"), F.count_if(F.col("source").isNotNull() & (F.col("source") != "explicit")).alias("rescued"))
+    return own.withColumn("rescued_share", F.col("rescued") / F.nullif(F.col("tickets") - F.col("explicit"), F.lit(0)))
+
+
 def coverage_by(attributed: DataFrame, key: str, floor: int = 20) -> DataFrame:
     """``key``, tickets, covered_share for values with ``floor`` tickets or more."""
     own = attributed.groupBy(key).agg(F.count("*").alias("tickets"), F.avg(F.col("account_id").isNotNull().cast("int")).alias("covered_share"))

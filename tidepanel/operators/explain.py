@@ -1,14 +1,13 @@
 """Why a score is what it is: Shapley values of the trees, contributions, narratives.
 
 For one leaf, a row's share in its value depends on each feature on the path in one of two ways: the row satisfies the feature's splits
-or not, and the training rows that came that far satisfy them in a known share. Summing over the subsets of the (at most depth) features
-gives the path-dependent Shapley values; it is done for all rows of a batch at once.
+or not, and the training rows that came that far satisfy them in a known share. Sums over the subsets of the features give the
+path-dependent Shapley values; they are the coefficients of a product, taken for all rows of a batch at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator, Mapping
 from math import factorial
 
 import numpy as np
@@ -18,11 +17,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions import names as labels
+from tidepanel.operators import ranks
 from tidepanel.operators.learning import MISSING, Artifact
 
 TOP = 8
-LABELS = {"_delta_1m": "change in a month", "_delta_3m": "change in three months", "_ratio_3m": "level against the last months", "_slope_3m": "trend"}
-GROUPS = (("plan", "plan"), ("severity", "billing"), ("debt", "billing"), ("sales", "sales"), ("active_channels", "sales"), ("orders", "operation"), ("tenure", "life cycle"), ("months", "life cycle"), ("prior_pauses", "life cycle"))
 
 
 def leaves(artifact: Artifact) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
@@ -46,43 +45,45 @@ def leaves(artifact: Artifact) -> list[tuple[float, list[tuple[int, float, float
 
 
 def shapley(x: np.ndarray, own: list) -> tuple[np.ndarray, float]:
-    """Values (rows x features) and the expected margin: together they are each row's margin."""
+    """Values (rows x features) and the expected margin: together they are each row's margin.
+
+    For a leaf with m features on its path, the product of (share + inside * z) over the features has, as coefficients of z, the sums over
+    subsets of a size; without one feature (divided out) they are weighed by how many orders put that feature after such a subset.
+    """
     out, base = np.zeros(x.shape), 0.0
     for value, path in own:
         m = len(path)
         base += value * np.prod([p[3] for p in path])
         inside = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, low, high, _ in path]
-        for i, (f, *_, share) in enumerate(path):
-            rest = [j for j in range(m) if j != i]
+        shares = [max(p[3], 1e-12) for p in path]
+        product = [np.ones(len(x))]
+        for b, a in zip(shares, inside, strict=True):
+            product = [b * (product[k] if k < len(product) else 0.0) + a * (product[k - 1] if k else 0.0) for k in range(len(product) + 1)]
+        orders = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+        for (f, *_), b, a in zip(path, shares, inside, strict=True):
+            rest, total = np.zeros(len(x)), np.zeros(len(x))
             for k in range(m):
-                for s in combinations(rest, k):
-                    term = np.full(len(x), factorial(k) * factorial(m - k - 1) / factorial(m))
-                    for j in rest:
-                        term *= inside[j] if j in s else path[j][3]
-                    out[:, f] += value * term * (inside[i] - share)
+                rest = (product[k] - a * rest) / b
+                total += orders[k] * rest
+            out[:, f] += value * total * (a - b)
     return out, base
 
 
-def label(name: str) -> str:
-    for suffix, text in LABELS.items():
-        if name.endswith(suffix):
-            return f"{name.removesuffix(suffix).replace('_', ' ')} ({text})"
-    return name.replace("_", " ")
-
+def _row_vectors(rows: DataFrame, artifact: Artifact, *keep: str) -> DataFrame:
+    seen = PipelineModel(artifact.stages.stages[:-1]).transform(artifact.aligned(rows))
+    return seen.withColumn("_x", vector_to_array("_features")).select(*keep, "_x")
 
-def group(name: str) -> str:
-    return next((g for start, g in GROUPS if name.startswith(start)), "other")
 
-
-def contributions(rows: DataFrame, artifact: Artifact, top: int = TOP) -> DataFrame:
+def contributions(rows: DataFrame, artifact: Artifact, top: int = TOP, known: Mapping[str, str] | None = None) -> DataFrame:
     """Adds base_margin and ``factors``: array of (feature, label, group, value, shap, direction), the ``top`` largest by absolute Shapley value, zeros left out.
 
-    The trees are broadcast (their size is the model's); rows stream through as vectors, nothing is shuffled.
+    ``known``: labels of features, see ``names.label``. The trees are broadcast (their size is the model's); rows stream through as vectors,
+    nothing is shuffled.
     """
     names = [f for f in artifact.features if f not in artifact.categories] + list(artifact.categories)
     trees = rows.sparkSession.sparkContext.broadcast(leaves(artifact))
-    seen = PipelineModel(artifact.stages.stages[:-1]).transform(artifact.aligned(rows)).withColumn("_x", vector_to_array("_features")).select(*rows.columns, "_x")
-    info = {n: (label(n), group(n)) for n in names}
+    seen = _row_vectors(rows, artifact, *rows.columns)
+    info = {n: (labels.label(n, known), labels.group(n)) for n in names}
     kind = "array<struct<feature:string,label:string,group:string,value:double,shap:double,direction:string>>"
 
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,18 +101,11 @@ def contributions(rows: DataFrame, artifact: Artifact, top: int = TOP) -> DataFr
     return seen.mapInPandas(explained, f"{fields}, base_margin double, factors {kind}")
 
 
-def global_importance(explained: DataFrame, top: int = 25) -> DataFrame:
-    """feature, mean_abs_shap over the rows, from their factors: what ``contributions`` cut off counts as 0 (``mean_abs_shap`` cuts nothing)."""
-    n = explained.agg(F.count("*")).scalar()
-    own = explained.select(F.explode("factors").alias("f")).groupBy("f.feature").agg((F.sum(F.abs("f.shap"))).alias("_s"))
-    return own.select("feature", (F.col("_s") / n).alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), "feature").limit(top)
-
-
 def mean_abs_shap(rows: DataFrame, artifact: Artifact, top: int = 25) -> DataFrame:
     """feature, mean_abs_shap: the mean absolute Shapley value over all ``rows``, of the ``top`` features. Each task sums its rows; the sums are shuffled."""
     names = [f for f in artifact.features if f not in artifact.categories] + list(artifact.categories)
     trees = rows.sparkSession.sparkContext.broadcast(leaves(artifact))
-    seen = PipelineModel(artifact.stages.stages[:-1]).transform(artifact.aligned(rows)).select(vector_to_array("_features").alias("_x"))
+    seen = _row_vectors(rows, artifact)
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(len(names)), 0
@@ -126,17 +120,63 @@ def mean_abs_shap(rows: DataFrame, artifact: Artifact, top: int = 25) -> DataFra
     return sums.select("feature", (F.col("s") / F.col("n")).alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), "feature").limit(top)
 
 
+def with_percentiles(explained: DataFrame, rows: DataFrame, features: list[str], key: str = "id") -> DataFrame:
+    """``explained`` with a percentile in every factor: where the account's value stands among all ``rows`` (ties at their mean rank), null without a value.
+
+    Values are counted by feature, ranked (see ``ranks``) and joined to the factors that need them; factors keep their order.
+    """
+    numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}
+    own = [f for f in features if dict(rows.dtypes).get(f) in numeric]
+    counts = ranks.unpivoted(rows, own, "double").filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    placed = ranks.percentiles(counts, "value", ("feature",)).select("feature", "value", "percentile")
+    single = explained.select(key, F.posexplode("factors").alias("place", "f")).select(key, "place", "f", F.col("f.feature").alias("feature"), F.col("f.value").alias("value"))
+    joined = single.join(placed, ["feature", "value"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", F.col("f").withField("percentile", F.col("percentile")).alias("f")))).alias("_f"))
+    kind = dict(explained.dtypes)["factors"].removesuffix(">>") + ",percentile:double>>"
+    out = explained.drop("factors").join(joined, key, "left")
+    return out.withColumn("factors", F.coalesce(F.transform("_f", lambda x: x["f"]), F.array().cast(kind))).drop("_f")
+
+
 INTRO = {"alto": "High risk of leaving", "medio": "Medium risk of leaving", "bajo": "Low risk of leaving", "no_churn": "No marked signs of leaving"}
+#: The percentiles from which a value is called far below, below, above and far above the others.
+PLACES = (10, 30, 70, 90)
+
+
+def _said(factor: Column) -> Column:
+    """A factor's label with a small first letter, and its place among all accounts where that is known."""
+    p = factor["percentile"]
+    place = F.when(p <= PLACES[0], "far below the others").when(p <= PLACES[1], "below the others").when(p >= PLACES[3], "far above the others").when(p >= PLACES[2], "above the others").otherwise("like the others")
+    name = F.concat(F.lower(F.substring(factor["label"], 1, 1)), F.substring(factor["label"], F.lit(2), F.length(factor["label"])))
+    return F.concat(name, F.when(p.isNull(), F.lit("")).otherwise(F.concat(F.lit(" ("), place, F.lit(", percentile "), F.format_number(p, 0), F.lit(")"))))
 
 
 def narrative(category: Column, probability: Column, revenue: Column, factors: Column, currency: str = "USD") -> Column:
-    """A sentence or more in SQL: category and probability, revenue at stake, up to three factors that push and two that hold."""
-    head = F.concat(F.create_map(*[F.lit(x) for kv in INTRO.items() for x in kv])[category], F.lit(": estimated probability "), F.format_number(probability * 100, 0), F.lit("%."))
+    """Sentences in SQL: category and probability, revenue at stake, up to three factors that push and two that hold, each with its percentile."""
+    head = F.concat(F.coalesce(F.create_map(*[F.lit(x) for kv in INTRO.items() for x in kv])[category], F.lit("Risk of leaving")), F.lit(": estimated probability "), F.format_number(probability * 100, 0), F.lit("%."))
     stake = F.when(revenue > 0, F.concat(F.lit(" Worth "), F.format_number(revenue, 0), F.lit(f" {currency} a month, "), F.format_number(probability * revenue, 0), F.lit(" at risk.")))
 
     def named(direction: str, most: int, lead: str) -> Column:
         own = F.slice(F.filter(factors, lambda f: f["direction"] == direction), 1, most)
-        return F.when(F.size(own) > 0, F.concat(F.lit(lead), F.array_join(F.transform(own, lambda f: f["label"]), "; "), F.lit(".")))
+        return F.when(F.size(own) > 0, F.concat(F.lit(lead), F.array_join(F.transform(own, _said), "; "), F.lit(".")))
 
     parts = [stake, named("up", 3, " What pushes it: "), F.when(category != "no_churn", named("down", 2, " What holds it: "))]
     return F.concat(head, *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def rewritten(scored: DataFrame, writer: Callable[[dict], str | None], text: str = "narrative", category: str = "alto") -> DataFrame:
+    """``scored`` where a caller's function writes the text of one category's rows, from the row as a dictionary; where it fails or gives nothing, the text stays.
+
+    The function runs in tasks, for the few rows of that category alone.
+    """
+    few = scored.filter(F.col("risk_category") == category)
+
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for row in pdf.to_dict("records"):
+                try:
+                    texts.append(writer(row) or row[text])
+                except Exception:  # a writer never stops a batch
+                    texts.append(row[text])
+            yield pdf.assign(**{text: texts})
+
+    return few.mapInPandas(written, scored.schema).unionByName(scored.filter(~F.col("risk_category").eqNullSafe(category)))

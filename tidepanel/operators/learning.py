@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -13,12 +12,14 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators import metrics
-from tidepanel.sources.sinks import write_json
+from tidepanel.operators import metrics, promotion
+from tidepanel.sources import files
 
 #: Stands for null: trees take no missing values, so they get a side of their own.
 MISSING = -1e9
-EPS = 1e-9
+#: Trees at most (they stop where the loss on val rises), their depth, and the weight of a tree. Spark fits one tree after another, in a job or
+#: two a level, so the number is bounded by time: see the README for what they take.
+TREES, DEPTH, STEP = 40, 6, 0.1
 
 
 @dataclass
@@ -34,12 +35,13 @@ class Artifact:
     periods: list[int]
 
     def aligned(self, rows: DataFrame) -> DataFrame:
-        """Every feature of the contract is there: absent ones as null, nulls as ``MISSING`` or an empty category; unseen categories get an index of their own."""
+        """Every feature of the contract is there, under names of its own, so the columns of ``rows`` stay as they are: absent ones as null, nulls as
+        ``MISSING`` or an empty category; unseen categories get an index of their own."""
         have = set(rows.columns)
         own = {}
         for f in self.features:
             if f in self.categories:
-                own[f] = F.coalesce(F.col(f).cast("string"), F.lit("")) if f in have else F.lit("")
+                own[f"_k_{f}"] = F.coalesce(F.col(f).cast("string"), F.lit("")) if f in have else F.lit("")
             else:
                 own[f"_f_{f}"] = F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) if f in have else F.lit(MISSING)
         return rows.withColumns(own)
@@ -54,29 +56,31 @@ class Artifact:
         self.stages.write().overwrite().save(f"{folder}/stages")
         self.calibrator.write().overwrite().save(f"{folder}/calibrator")
         data = {k: getattr(self, k) for k in ("features", "categories", "threshold", "metrics", "periods")}
-        write_json(SparkSession.active(), f"{folder}/metadata.json", data)
+        files.write_json(SparkSession.active(), f"{folder}/metadata.json", data)
 
     @classmethod
     def load(cls, folder: str) -> Artifact:
-        text = SparkSession.active().read.text(f"{folder}/metadata.json", wholetext=True).first()[0]
-        return cls(PipelineModel.load(f"{folder}/stages"), IsotonicRegressionModel.load(f"{folder}/calibrator"), **json.loads(text))
+        data = files.read_json(SparkSession.active(), f"{folder}/metadata.json")
+        return cls(PipelineModel.load(f"{folder}/stages"), IsotonicRegressionModel.load(f"{folder}/calibrator"), **data)
 
 
 def evaluate(scored: DataFrame, label: str = "churn", score: str = "probability") -> dict[str, float]:
-    own = scored.select(label, score)
-    ap = metrics.average_precision(own, label, score, decimals=6).first().asDict()
-    f1 = metrics.best_f1(own, label, score, decimals=6).first().asDict()
-    return {**ap, "roc_auc": metrics.roc_auc(own, label, score, decimals=6).first()[0], "brier": metrics.brier(own, label, score).first()[0], "best_f1": f1["f1"], "threshold": f1["threshold"]}
+    return metrics.evaluation(scored.select(label, score), label, score).first().asDict()
 
 
-def train(split: DataFrame, features: list[str], categories: list[str] = (), trees: int = 40, depth: int = 4, step: float = 0.1, seed: int = 7) -> Artifact:
+def isotonic(rows: DataFrame, label: str = "label", raw: str = "_raw", to: str = "_calibrated") -> IsotonicRegressionModel:
+    """The least-squares step function of a score that never falls; between its points it is linear, beyond them level."""
+    return IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol=to).fit(rows)
+
+
+def train(split: DataFrame, features: list[str], categories: list[str] = (), trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = 7) -> Artifact:
     """From rows with ``churn`` and ``split``: trees on train (positives weighed up to the negatives, stopped by the loss on val), isotonic calibration and the threshold on val, metrics on test."""
     counts = split.filter("split = 'train'").agg(F.count_if(F.col("churn") == 1), F.count_if(F.col("churn") == 0)).first()
     if not counts[0] or not counts[1]:
         raise ValueError("the training periods have one class only")
     shell = Artifact(None, None, list(features), list(categories), 0.5, {}, [])
     rows = shell.aligned(split).withColumns({"_weight": F.when(F.col("churn") == 1, counts[1] / counts[0]).otherwise(1.0), "_val": F.col("split") == "val", "label": F.col("churn").cast("double")})
-    indexers = [StringIndexer(inputCol=c, outputCol=f"_c_{c}", handleInvalid="keep").fit(rows.filter("split = 'train'")) for c in categories]
+    indexers = [StringIndexer(inputCol=f"_k_{c}", outputCol=f"_c_{c}", handleInvalid="keep").fit(rows.filter("split = 'train'")) for c in categories]
     numbers = [f"_f_{f}" for f in features if f not in categories]
     # through an expression, so that indexes are plain numbers and not nominal attributes with a bound on their values
     plain = [SQLTransformer(statement="SELECT *, " + ", ".join(f"`_c_{c}` + 0D AS `_n_{c}`" for c in categories) + " FROM __THIS__")] if categories else []
@@ -88,7 +92,7 @@ def train(split: DataFrame, features: list[str], categories: list[str] = (), tre
         featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_val", validationTol=0.0, maxBins=64, predictionCol="_prediction"
     ).fit(known)
     scored = model.transform(known.filter("split = 'val'")).withColumn("_raw", vector_to_array("probability")[1]).drop("probability")
-    calibrator = IsotonicRegression(featuresCol="_raw", labelCol="label", predictionCol="_calibrated").fit(scored)
+    calibrator = isotonic(scored)
     known.unpersist()
     periods = sorted(r["period"] for r in split.filter("split = 'train'").select("period").distinct().collect())
     out = Artifact(PipelineModel([*stages, model]), calibrator, list(features), list(categories), 0.5, {}, periods)
@@ -106,79 +110,46 @@ def gain_importance(artifact: Artifact, top: int = 30) -> list[tuple[str, float,
     return [(n, g, g * 100 / total) for n, g in own]
 
 
-@dataclass(frozen=True)
-class Policy:
-    metric: str = "pr_auc"
-    least: float = 0.20
-    improvement: float = 0.005
-    regressions: dict[str, float] = field(default_factory=lambda: {"roc_auc": 0.01})
-
-
-@dataclass(frozen=True)
-class Check:
-    name: str
-    passed: bool
-    detail: str
-
-
-@dataclass(frozen=True)
-class Decision:
-    promote: bool
-    checks: tuple[Check, ...]
-    forced: bool = False
-
-    @property
-    def reason(self) -> str:
-        failed = [c.detail for c in self.checks if not c.passed]
-        return "; ".join(failed) if failed else "all criteria met"
-
-    def to_dict(self) -> dict:
-        return {**asdict(self), "reason": self.reason}
-
-
-def decide(candidate: dict[str, float], champion: dict[str, float] | None, policy: Policy = Policy(), force: bool = False) -> Decision:  # noqa: B008
-    """Whether a candidate replaces the champion. ``force`` passes over the comparison, never over the least ``pr_auc``."""
-    floor = Check("floor", candidate["pr_auc"] >= policy.least - EPS, f"pr_auc {candidate['pr_auc']:.4f}, at least {policy.least:.4f}")
-    against = []
-    if champion is not None:
-        gain = candidate[policy.metric] - champion[policy.metric]
-        against.append(Check("improvement", gain >= policy.improvement - EPS, f"{policy.metric} changes by {gain:+.4f}, at least {policy.improvement:+.4f}"))
-        for name, most in policy.regressions.items():
-            drop = champion[name] - candidate[name]
-            against.append(Check(f"regression {name}", drop <= most + EPS, f"{name} drops by {drop:.4f}, at most {most:.4f}"))
-    return Decision(floor.passed and (force or all(c.passed for c in against)), (floor, *against), force)
+def comparable(test: DataFrame, champion: Artifact | None) -> tuple[dict[str, float] | None, bool]:
+    """A champion's metrics on these rows, and whether they are of these rows: if any feature of its contract is missing, its stored ones stand in."""
+    if champion is None:
+        return None, True
+    if set(champion.features) <= set(test.columns):
+        return evaluate(champion.score(test)), True
+    return champion.metrics, False
 
 
-def challenge(test: DataFrame, candidate: Artifact, champion: Artifact | None, policy: Policy = Policy(), force: bool = False) -> Decision:  # noqa: B008
-    """Both models on the same test rows; a champion that can't score them counts with its stored metrics."""
-    if champion is None:
-        return decide(evaluate(candidate.score(test)), None, policy, force)
-    try:
-        other = evaluate(champion.score(test))
-    except ValueError:
-        other = champion.metrics
-    return decide(evaluate(candidate.score(test)), other, policy, force)
+def challenge(test: DataFrame, candidate: Artifact, champion: Artifact | None, rules: tuple = promotion.RULES, forced: bool = False) -> dict:
+    """The verdict on a candidate, both models on the same rows where the champion can score them: see ``promotion.verdict``, with same_test added."""
+    other, same = comparable(test, champion)
+    return {**promotion.verdict(promotion.outcomes(test.sparkSession, evaluate(candidate.score(test)), other, rules), forced), "champion": other, "same_test": same}
 
 
 class Registry:
-    """Champion and releases below a folder, with a log; promotion copies, rollback promotes an older release."""
+    """Champion and releases below a folder on any file system, with a log; promotion copies, rollback promotes an older release."""
 
     def __init__(self, folder: str):
         self.folder = folder
 
     def _log(self) -> list[dict]:
+        path = f"{self.folder}/registry.json"
         spark = SparkSession.active()
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/registry.json")
-        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            return []
-        return json.loads(spark.read.text(f"{self.folder}/registry.json", wholetext=True).first()[0])
+        return files.read_json(spark, path) if files.exists(spark, path) else []
+
+    def _note(self, entry: dict) -> None:
+        files.write_json(SparkSession.active(), f"{self.folder}/registry.json", [*self._log(), entry])
 
-    def promote(self, artifact: Artifact, version: str, decision: Decision) -> bool:
-        if not decision.promote:
+    def promote(self, artifact: Artifact, version: str, decided: dict) -> bool:
+        """Writes the decision (JSON and Markdown) in any case, and if it is for promotion the release and the champion."""
+        spark, at = SparkSession.active(), f"{self.folder}/decisions/{version}"
+        files.write_json(spark, f"{at}/decision.json", decided)
+        files.write_text(spark, f"{at}/decision.md", promotion.as_markdown(decided, artifact.metrics, decided.get("champion"), version, decided.get("same_test", True)))
+        if not decided["promote"]:
             return False
         artifact.save(f"{self.folder}/releases/{version}")
         artifact.save(f"{self.folder}/champion")
-        write_json(SparkSession.active(), f"{self.folder}/registry.json", [*self._log(), {"version": version, "metrics": artifact.metrics, "decision": decision.to_dict()}])
+        files.write_json(spark, f"{self.folder}/champion/release.json", {"version": version, "metrics": artifact.metrics})
+        self._note({"version": version, "metrics": artifact.metrics, "decision": decided})
         return True
 
     def champion(self) -> Artifact | None:
@@ -187,5 +158,6 @@ class Registry:
     def rollback(self, version: str) -> Artifact:
         own = Artifact.load(f"{self.folder}/releases/{version}")
         own.save(f"{self.folder}/champion")
-        write_json(SparkSession.active(), f"{self.folder}/registry.json", [*self._log(), {"version": version, "rollback": True}])
+        files.write_json(SparkSession.active(), f"{self.folder}/champion/release.json", {"version": version, "metrics": own.metrics})
+        self._note({"version": version, "rollback": True})
         return own

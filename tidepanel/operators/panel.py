@@ -47,10 +47,24 @@ def calendar(panel: DataFrame) -> DataFrame:
     return every.withColumn("_l", last).select("t", F.coalesce("period", next_period(F.col("_l.period"), F.col("t") - F.col("_l.t"))).alias("period"))
 
 
+def epoch_seconds(at: Column) -> Column:
+    """Whole seconds since the epoch, whatever the session's zone; a date, or a time without a zone, counts as UTC."""
+    epoch = F.lit("1970-01-01").cast("date")
+    local = F.datediff(at.cast("date"), epoch).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(F.second(at))
+    return F.when(F.typeof(at) == "timestamp", F.unix_seconds(at.cast("timestamp"))).otherwise(local)
+
+
+def period_of(seconds: Column) -> Column:
+    """The YYYYMM, in UTC, of seconds since the epoch."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    return (F.year(day) * 100 + F.month(day)).cast("int")
+
+
 def tenure_months(period: Column, created: Column) -> Column:
     """Whole days from creation to the first of the month (UTC) over 30.44; null below 0, from 400 on, or without a date."""
-    month = F.make_date(F.floor(period / 100).cast("int"), month_of(period), F.lit(1)).cast("timestamp")
-    months = F.floor((F.unix_timestamp(month) - F.unix_timestamp(created)) / 86400) / 30.44
+    # days since the epoch know no time zone; dates and local times count as UTC
+    first = F.datediff(F.make_date(F.floor(period / 100).cast("int"), month_of(period), F.lit(1)), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    months = F.floor((first - epoch_seconds(created)) / 86400) / 30.44
     return F.when((months >= 0) & (months < 400), months)
 
 

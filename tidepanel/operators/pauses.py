@@ -21,18 +21,33 @@ class SeasonRules:
     signature_suffices: bool = True
 
 
-def episodes(panel: DataFrame) -> DataFrame:
+def month_table(panel: DataFrame) -> DataFrame:
+    """t, period of ``calendar``, as a local table: the panel is asked for its periods once, however often the months are joined. It has a row a period."""
+    rows = [(r["t"], r["period"]) for r in calendar(panel).collect()]
+    return panel.sparkSession.createDataFrame(rows, "t int, period int")
+
+
+def _presence(panel: DataFrame) -> DataFrame:
+    """id, seen: the sorted distinct t of each account; one shuffle, and an array as long as the panel has periods at most."""
+    return panel.groupBy("id").agg(F.sort_array(F.collect_set(F.col("t").cast("int"))).alias("seen"))
+
+
+def _gaps(seen: str) -> Column:
+    """The absences between neighbours in a sorted array: structs of t_left and t_back."""
+    pairs = F.transform(F.slice(seen, F.lit(2), F.greatest(F.size(seen) - 1, F.lit(0))), lambda back, i: F.struct(F.get(seen, i).alias("t_left"), back.alias("t_back")))
+    return F.filter(pairs, lambda g: g["t_back"] > g["t_left"] + 1)
+
+
+def episodes(panel: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """id, t_left (last seen), t_back, duration, period_left (first month away), period_back, month_left, month_back.
 
-    The last disappearance of an account is none: it may be for good.
+    The last disappearance of an account is none: it may be for good. ``months``: a ``month_table`` of the panel, if there is one already.
     """
-    seen = panel.select("id", "t").distinct()
-    after = F.lead("t").over(Window.partitionBy("id").orderBy("t"))
-    gaps = seen.withColumn("t_back", after).filter(F.col("t_back") > F.col("t") + 1).withColumnRenamed("t", "t_left")
-    months = calendar(panel)
-    gaps = gaps.withColumn("t_away", F.col("t_left") + 1)
-    left = months.select(F.col("t").alias("t_away"), F.col("period").alias("period_left"))
-    back = months.select(F.col("t").alias("t_back"), F.col("period").alias("period_back"))
+    months = month_table(panel) if months is None else months
+    gaps = _presence(panel).select("id", F.explode(_gaps("seen")).alias("g")).select("id", "g.t_left", "g.t_back").withColumn("t_away", F.col("t_left") + 1)
+    # a row a period on the other side
+    left = F.broadcast(months.select(F.col("t").alias("t_away"), F.col("period").alias("period_left")))
+    back = F.broadcast(months.select(F.col("t").alias("t_back"), F.col("period").alias("period_back")))
     out = gaps.join(left, "t_away", "left").join(back, "t_back", "left")
     return out.select(
         "id", "t_left", "t_back", (F.col("t_back") - F.col("t_left") - 1).alias("duration"), "period_left", "period_back", month_of(F.col("period_left")).alias("month_left"), month_of(F.col("period_back")).alias("month_back")
@@ -67,36 +82,53 @@ def seasonal_ids(pauses: DataFrame, rules: SeasonRules = SeasonRules()) -> DataF
     return account_seasonality(pauses, rules).filter("is_seasonal").select("id")
 
 
+EVENTS = ("churn", "pause", "return", "new")
+#: The names of the months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def month_name(month: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in MONTHS]), month - 1)
+
+
 def monthly_profile(panel: DataFrame, min_future: int = 3) -> DataFrame:
-    """event, month, n, pct, index: churn, pause, return and new accounts by calendar month, all 48 cells.
+    """event, month, n, coverage, pct, index: churn, pause, return and new accounts by calendar month, all 48 cells.
 
-    ``index`` is the rate per chance to see the event in that month over the overall rate: a panel rarely covers whole years.
+    ``index`` is the rate per chance to see the event in that month over the overall rate: a panel rarely covers whole years. The panel is
+    read for its periods, and once more for all events of an account from the sorted months in which it was seen.
     """
-    months = calendar(panel).select("t", month_of(F.col("period")).alias("month"))
-    last = panel.agg(F.max("t")).scalar()
-    pauses = episodes(panel)
-    ends = panel.groupBy("id").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    seen = (
-        ends.filter(F.col("last") <= last - min_future).select(F.lit("churn").alias("event"), (F.col("last") + 1).alias("t"))
-        .unionByName(pauses.select(F.lit("pause").alias("event"), (F.col("t_left") + 1).alias("t")))
-        .unionByName(pauses.select(F.lit("return").alias("event"), F.col("t_back").alias("t")))
-        .unionByName(ends.filter("first > 0").select(F.lit("new").alias("event"), F.col("first").alias("t")))
-    )
-    counts = seen.groupBy("event", "t").agg(F.count("*").alias("c")).join(months, "t").groupBy("event", "month").agg(F.sum("c").alias("n"))
-    chances = (
-        months.filter(F.col("t").between(1, last - min_future + 1)).select(F.lit("churn").alias("event"), "month")
-        .unionByName(months.filter((F.col("t") >= 1) & (F.col("t") < last)).select(F.lit("pause").alias("event"), "month"))
-        .unionByName(months.filter(F.col("t").between(2, last)).select(F.lit("return").alias("event"), "month"))
-        .unionByName(months.filter(F.col("t").between(1, last)).select(F.lit("new").alias("event"), "month"))
-    ).groupBy("event", "month").agg(F.count("*").alias("coverage"))
     spark = panel.sparkSession
-    cells = spark.range(48).select(F.element_at(F.array(*[F.lit(x) for x in ("churn", "pause", "return", "new")]), (F.col("id") / 12).cast("int") + 1).alias("event"), (F.col("id") % 12 + 1).cast("int").alias("month"))
-    full = cells.join(counts, ["event", "month"], "left").join(chances, ["event", "month"], "left").fillna(0, ["n", "coverage"])
-    event = Window.partitionBy("event")
-    expected = F.col("coverage") * (F.sum("n").over(event) / F.sum("coverage").over(event))
-    return full.select(
-        "event", "month", "n", F.col("coverage"), (F.col("n") * 100.0 / F.greatest(F.sum("n").over(event), F.lit(1))).alias("pct"), F.when(expected > 0, F.col("n") / expected).alias("index")
-    )
+    months = {r["t"]: r["period"] % 100 for r in month_table(panel).collect()}
+    last = max(months, default=0) - 1
+    first, end = F.get("seen", F.lit(0)), F.get("seen", F.size("seen") - 1)
+    event = lambda name, t: F.struct(F.lit(name).alias("event"), t.cast("int").alias("t"))
+    found = F.flatten(F.array(
+        F.transform(_gaps("seen"), lambda g: event("pause", g["t_left"] + 1)),
+        F.transform(_gaps("seen"), lambda g: event("return", g["t_back"])),
+        F.when(end <= last - min_future, F.array(event("churn", end + 1))).otherwise(F.array().cast("array<struct<event:string,t:int>>")),
+        F.when(first > 0, F.array(event("new", first))).otherwise(F.array().cast("array<struct<event:string,t:int>>")),
+    ))
+    counts = _presence(panel).select(F.explode(found).alias("e")).groupBy("e.event", "e.t").agg(F.count("*").alias("c"))
+    chances = {"churn": (1, last - min_future + 1), "pause": (1, last - 1), "return": (2, last), "new": (1, last)}
+    # a row an event and period
+    grid = spark.createDataFrame([(e, t, m, int(low <= t <= high)) for e, (low, high) in chances.items() for t, m in months.items()], "event string, t int, month int, chance int")
+    cells = spark.createDataFrame([(e, m) for e in EVENTS for m in range(1, 13)], "event string, month int")
+    seen = grid.join(counts, ["event", "t"], "left").groupBy("event", "month").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.sum("chance").alias("coverage"))
+    full = cells.join(seen, ["event", "month"], "left").fillna(0, ["n", "coverage"])
+    by = Window.partitionBy("event")
+    expected = F.col("coverage") * (F.sum("n").over(by) / F.nullif(F.sum("coverage").over(by), F.lit(0)))
+    return full.select("event", "month", "n", "coverage", (F.col("n") * 100.0 / F.greatest(F.sum("n").over(by), F.lit(1))).alias("pct"), F.when(expected > 0, F.col("n") / expected).alias("index"))
+
+
+def leading_months(profile: DataFrame, top: int = 3) -> DataFrame:
+    """event, place, month, name, n: of each event the months with the most, ties to the earlier month."""
+    place = F.row_number().over(Window.partitionBy("event").orderBy(F.desc("n"), "month"))
+    return profile.withColumn("place", place).filter(F.col("place") <= top).select("event", "place", "month", month_name(F.col("month")).alias("name"), "n")
+
+
+def longest_pausers(profile: DataFrame, top: int = 20) -> DataFrame:
+    """The ``top`` rows of ``account_seasonality`` by signature, pauses and time away, most first, ties by id."""
+    return profile.orderBy(F.desc("signature"), F.desc("n_pauses"), F.desc("total_duration"), "id").limit(top)
 
 
 def by_country(panel: DataFrame, min_accounts: int = 300) -> DataFrame:
@@ -118,8 +150,8 @@ def recurrence(panel: DataFrame) -> DataFrame:
 
 
 def causal_flags(panel: DataFrame, period: int, rules: SeasonRules = SeasonRules()) -> DataFrame:  # noqa: B008
-    """id, n_pauses, mean_duration, is_seasonal for the accounts of one period, from what was known by then: no later row is looked at."""
+    """id, n_pauses, mean_duration, usual_month, is_seasonal for the accounts of one period, from what was known by then: no later row is looked at."""
     known = panel.filter(F.col("period") <= period)
-    own = account_seasonality(episodes(known), rules).select("id", "n_pauses", "mean_duration", "is_seasonal")
+    own = account_seasonality(episodes(known), rules).select("id", "n_pauses", "mean_duration", F.col("modal_left").alias("usual_month"), "is_seasonal")
     out = panel.filter(F.col("period") == period).select("id").join(own, "id", "left")
-    return out.select("id", F.coalesce("n_pauses", F.lit(0)).alias("n_pauses"), "mean_duration", F.coalesce("is_seasonal", F.lit(False)).alias("is_seasonal"))
+    return out.select("id", F.coalesce("n_pauses", F.lit(0)).alias("n_pauses"), "mean_duration", "usual_month", F.coalesce("is_seasonal", F.lit(False)).alias("is_seasonal"))

@@ -8,16 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions import plan_codes
-from tidepanel.operators import attribution, drift, features, labels, metrics, panel, pauses, report, risk, serving, split
+from tidepanel.operators import attribution, drift, explain, features, labels, learning, metrics, panel, pauses, prepare, promotion, ranks, report, risk, scoring, serving, split
 from tidepanel.plans.sql_parts import CALENDAR, CM, EPISODES, LAB, PLAN, SCORE, SEASONALITY, SEVERITY, SM, UD, labelled, query
 from tidepanel.sources import adapters
 from tidepanel.sources.adapters import SALES
+from tidepanel.sources.prices import PriceBook, unpriced
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 PLAN_PRICES = {"ini": {"ar": 10.0, "mx": 12.5}, "st": {"ar": 20.0, "mx": None, "br": 22.25}, "adv": {"ar": 31.4}, "fu": {"ar": 99.0}}
 MODULE_PRICES = {"tbl": {"ar": 3.25, "cl": 3.5}, "dv": {"ar": 4.1}, "kds": {"mx": 5.0}}
 DEFAULT_MARKET = "ar"
+BOOK = PriceBook(PLAN_PRICES, MODULE_PRICES, "USD", DEFAULT_MARKET)
 PRICE_SQL = (
     "CASE k WHEN 'ini' THEN CASE m WHEN 'mx' THEN 12.5 ELSE 10.0 END WHEN 'st' THEN CASE m WHEN 'br' THEN 22.25 ELSE 20.0 END WHEN 'adv' THEN 31.4 WHEN 'fu' THEN 99.0 END",
     "CASE k WHEN 'tbl' THEN CASE m WHEN 'cl' THEN 3.5 ELSE 3.25 END WHEN 'dv' THEN 4.1 WHEN 'kds' THEN CASE m WHEN 'mx' THEN 5.0 END END",
@@ -78,13 +80,16 @@ def dense_period_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).groupBy("period", "t").agg(F.count("*").alias("rows"))
 
 
-@register(query(CM, body="SELECT (y * 100 + m)::INTEGER AS period FROM range(1995, 2002) a(y), range(1, 13) b(m) WHERE y * 100 + m BETWEEN (SELECT min(period) FROM cm) AND (SELECT max(period) FROM cm) AND y * 100 + m NOT IN (SELECT period FROM cm WHERE id % 50 = 0 AND period % 3 <> 0)"))
+@register(query(CM, body="SELECT (y * 100 + m)::INTEGER AS period FROM range(1900, 2100) a(y), range(1, 13) b(m) WHERE y * 100 + m BETWEEN (SELECT min(period) FROM cm) AND (SELECT max(period) FROM cm) AND y * 100 + m NOT IN (SELECT period FROM cm)"))
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Periods that a thinned panel (some customers, two of three months, and both ends) lacks."""
-    own = adapters.customer_months(spark, sf_dir)
-    ends = own.agg(F.min("period").alias("period")).unionByName(own.agg(F.max("period").alias("period")))
-    thin = own.filter("id % 50 = 0 AND period % 3 <> 0").select("period")
-    return panel.missing_periods(thin.unionByName(ends)).unionByName(ends.distinct().join(thin, "period", "left_anti"))
+    return panel.missing_periods(adapters.customer_months(spark, sf_dir))
+
+
+@register("""SELECT y AS period FROM range(1900, 2100) a(h), range(1, 13) b(m), (SELECT (h * 100 + m)::INTEGER AS y) WHERE y BETWEEN (SELECT min(period) FROM big) AND (SELECT max(period) FROM big) AND y NOT IN (SELECT period FROM big)""".replace("SELECT y AS period", "WITH big AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INTEGER AS period FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') SELECT y AS period", 1))
+def missing_periods_of_pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months without any urgent order that is still pending: a panel with real holes."""
+    own = adapters.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+    return panel.missing_periods(own.select(adapters.month_period(F.col("o_orderdate")).alias("period")))
 
 
 @register(query(CM, body="SELECT id, period, CASE WHEN d >= 0 AND d < 400 THEN d END AS tenure_months FROM (SELECT id, period, floor(date_diff('second', created, make_date(period // 100, period % 100, 1)::TIMESTAMP) / 86400) / 30.44::DOUBLE AS d FROM cm)"))
@@ -211,7 +216,7 @@ def pause_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.recurrence(customers(spark, sf_dir))
 
 
-@register(query(CM.replace("FROM orders GROUP BY 1, 2", "FROM orders WHERE year(o_orderdate) * 100 + month(o_orderdate) <= 199806 GROUP BY 1, 2"), EPISODES, SEASONALITY, body="SELECT cm.id, coalesce(n_pauses, 0) AS n_pauses, mean_duration, coalesce(is_seasonal, false) AS is_seasonal FROM cm LEFT JOIN prof USING (id) WHERE period = 199806"))
+@register(query(CM.replace("FROM orders GROUP BY 1, 2", "FROM orders WHERE year(o_orderdate) * 100 + month(o_orderdate) <= 199806 GROUP BY 1, 2"), EPISODES, SEASONALITY, body="SELECT cm.id, coalesce(n_pauses, 0) AS n_pauses, mean_duration, modal_left AS usual_month, coalesce(is_seasonal, false) AS is_seasonal FROM cm LEFT JOIN prof USING (id) WHERE period = 199806"))
 def causal_pause_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pauses.causal_flags(customers(spark, sf_dir), 199806)
 
@@ -391,10 +396,10 @@ def volume_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("metric", *[F.round(c, 4).alias(c) for c in ("p25", "median", "p75", "p95")])
 
 
-@register(query(LAB, body=_each("SELECT '$' AS metric, stay * 100 AS stay_pct, gone * 100 AS churn_pct, gone / nullif(stay, 0) AS lift, stay_median, churn_median FROM (SELECT avg(CASE WHEN churn = 0 THEN (coalesce($, 0) > 0)::INT END) AS stay, avg(CASE WHEN churn = 1 THEN (coalesce($, 0) > 0)::INT END) AS gone, round(median($) FILTER (WHERE churn = 0), 4) AS stay_median, round(median($) FILTER (WHERE churn = 1), 4) AS churn_median FROM lab)")))
+@register(query(LAB, body=_each("SELECT '$' AS metric, stay * 100 AS stay_pct, gone * 100 AS churn_pct, gone / nullif(stay, 0) AS lift, stay_median, churn_median, round(ratio, 4) AS median_ratio FROM (SELECT median($) FILTER (WHERE churn = 1) / nullif(median($) FILTER (WHERE churn = 0), 0) AS ratio, avg(CASE WHEN churn = 0 THEN (coalesce($, 0) > 0)::INT END) AS stay, avg(CASE WHEN churn = 1 THEN (coalesce($, 0) > 0)::INT END) AS gone, round(median($) FILTER (WHERE churn = 0), 4) AS stay_median, round(median($) FILTER (WHERE churn = 1), 4) AS churn_median FROM lab)")))
 def usage_vs_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = report.usage_vs_churn(customers_labelled(spark, sf_dir), list(SALES))
-    return out.withColumns({c: F.round(c, 4) for c in ("stay_median", "churn_median")})
+    return out.withColumns({c: F.round(c, 4) for c in ("stay_median", "churn_median", "median_ratio")})
 
 
 @register(query(LAB, body="SELECT coalesce(state, 'unknown') AS state, count(*) AS accounts, avg(churn) * 100 AS churn_rate FROM lab WHERE churn IS NOT NULL GROUP BY 1 HAVING count(*) >= 100"))
@@ -480,7 +485,8 @@ def top_k_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(query(CM, body="SELECT id, period, CASE WHEN sales_urgent IS NOT NULL THEN round((rank() OVER (PARTITION BY period ORDER BY sales_urgent NULLS LAST) + (count(sales_urgent) OVER (PARTITION BY period, sales_urgent) - 1) / 2) / count(sales_urgent) OVER (PARTITION BY period) * 100, 6) END AS percentile FROM cm"))
 def percentile_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.customer_months(spark, sf_dir).select("id", "period", six(metrics.percentile_rank("sales_urgent", ["period"])).alias("percentile"))
+    own = ranks.with_percentile(adapters.customer_months(spark, sf_dir).select("id", "period", "sales_urgent"), "sales_urgent", ("period",))
+    return own.select("id", "period", six(F.col("percentile")).alias("percentile"))
 
 
 def _psi_sql(names: tuple[str, ...]) -> str:
@@ -554,7 +560,7 @@ tk AS (
     CASE WHEN event_type = 'error' THEN user_id END AS explicit_id, CASE WHEN event_id % 4 <> 0 THEN 'c' || (user_id % 40)::VARCHAR END AS company_ref,
     CASE WHEN event_type = 'view' THEN (user_id * 3)::VARCHAR WHEN event_type = 'click' THEN 'u' || user_id::VARCHAR END AS external_id,
     (props::JSON->>'$.k')::BIGINT AS k FROM events
-), comp AS (SELECT 'c' || (c_custkey % 40)::VARCHAR AS company_ref, min(c_custkey) AS account_id FROM customer WHERE c_custkey % 40 < 8 GROUP BY 1)"""
+), comp AS (SELECT 'c' || (c_custkey % 40)::VARCHAR AS company_ref, min(c_custkey) AS account_id FROM customer GROUP BY 1)"""
 
 
 def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,10 +577,14 @@ def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+
+
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = adapters.table(spark, sf_dir, "customer")
-    companies = c.filter("c_custkey % 40 < 8").groupBy(F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string")).alias("company_ref")).agg(F.min("c_custkey").alias("account_id"))
-    return attribution.attribute(_tickets(spark, sf_dir), companies, c.select(F.col("c_custkey").alias("id")).filter("id % 2 = 0"))
+    companies = c.select(F.concat(F.lit("c"), (F.col("c_custkey") % 40).cast("string")).alias("company_ref"), F.col("c_custkey").alias("account_id"))
+    return attribution.attribute(_tickets(spark, sf_dir), companies, _accounts(spark, sf_dir), order="account_id")
 
 
 ATTRIBUTION = (
@@ -582,7 +592,7 @@ ATTRIBUTION = (
     + """,
 s3 AS (
   SELECT *, CASE WHEN explicit_id IS NOT NULL THEN 'explicit' WHEN via IS NOT NULL THEN 'company' WHEN ext IS NOT NULL THEN 'external_id' END AS source3, coalesce(explicit_id, via, ext) AS a3 FROM (
-    SELECT tk.*, comp.account_id AS via, v.c_custkey AS ext FROM tk LEFT JOIN comp USING (company_ref) LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) v ON try_cast(external_id AS BIGINT) = v.c_custkey)
+    SELECT tk.*, comp.account_id AS via, v.c_custkey AS ext FROM tk LEFT JOIN comp USING (company_ref) LEFT JOIN (SELECT c_custkey FROM customer) v ON try_cast(external_id AS BIGINT) = v.c_custkey)
 ), d1 AS (SELECT external_id, min(a3) AS d FROM s3 WHERE external_id IS NOT NULL AND a3 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT a3) = 1
 ), s4 AS (SELECT s3.*, coalesce(a3, d) AS a4, CASE WHEN a3 IS NULL AND d IS NOT NULL THEN 'user_map' ELSE source3 END AS source4 FROM s3 LEFT JOIN d1 USING (external_id)
 ), d2 AS (SELECT company_ref, min(a4) AS d2 FROM s4 WHERE company_ref IS NOT NULL AND a4 IS NOT NULL GROUP BY 1 HAVING count(DISTINCT a4) = 1
@@ -626,39 +636,162 @@ def key_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.key_stability(e, "key")
 
 
-# Models: no SQL form, so rows only; tests compare them with brute force
+@register(query(TICKETS, body="SELECT length(external_id) AS length, count(*) AS tickets, avg(regexp_matches(external_id, '^[0-9]+$')::INT) AS numeric_share FROM tk WHERE external_id IS NOT NULL GROUP BY 1"))
+def key_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.key_lengths(_tickets(spark, sf_dir), "external_id")
+
+
+@register(query(TICKETS, body="SELECT count(*) AS holders, avg((k = 1)::INT) AS one_key_share FROM (SELECT company_ref, count(DISTINCT external_id) AS k FROM tk WHERE company_ref IS NOT NULL AND external_id IS NOT NULL GROUP BY 1)"))
+def one_key_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.one_key_share(_tickets(spark, sf_dir), "company_ref", "external_id")
+
+
+@register("""WITH both_ids AS (SELECT user_id AS explicit_id, CASE WHEN event_type IN ('view', 'click') THEN (user_id * 3)::VARCHAR ELSE user_id::VARCHAR END AS ext FROM events),
+n AS (SELECT *, ext::BIGINT AS n FROM both_ids), r AS (SELECT 'short' AS rule, * FROM n WHERE length(ext) <= 2 UNION ALL
+  SELECT 'in range', * FROM n WHERE n BETWEEN 1 AND (SELECT max(c_custkey) FROM customer) UNION ALL SELECT 'an account', * FROM n WHERE n IN (SELECT c_custkey FROM customer))
+SELECT rule, count(*) AS tickets, avg((n = explicit_id)::INT) AS agree_share, count(*) FILTER (WHERE n <> explicit_id) AS against FROM r GROUP BY rule""")
+def id_rule_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose external id is the user's or three times it, against the user as the explicit id."""
+    e = adapters.table(spark, sf_dir, "events")
+    ext = F.when(F.col("event_type").isin("view", "click"), F.col("user_id") * 3).otherwise(F.col("user_id"))
+    return attribution.rule_agreement(e.select(F.col("user_id").alias("explicit_id"), ext.cast("string").alias("external_id")), _accounts(spark, sf_dir), most_digits=2)
+
+
+@register(query(ATTRIBUTION, body="SELECT category, count(*) AS tickets, count(*) FILTER (WHERE source = 'explicit') AS explicit, count(*) FILTER (WHERE source <> 'explicit') AS rescued, count(*) FILTER (WHERE source <> 'explicit') / nullif(count(*) - count(*) FILTER (WHERE source = 'explicit'), 0) AS rescued_share FROM att GROUP BY category"))
+def tickets_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.rescued_by(_attributed(spark, sf_dir), "category")
+
+
+# Prices
+
+
+_MARKET_LIST = "['ar', 'cl', 'co', 'br', 'mx', 'uy', 'int']"
+
+
+@register(f"""WITH item AS (SELECT kind, k, unnest({_MARKET_LIST}) AS m FROM (VALUES ('plan', 'ini'), ('plan', 'st'), ('plan', 'adv'), ('plan', 'fu'), ('module', 'tbl'), ('module', 'dv'), ('module', 'kds')) v(kind, k)),
+own AS (SELECT *, CASE k || '|' || m WHEN 'ini|ar' THEN 10.0::DOUBLE WHEN 'ini|mx' THEN 12.5::DOUBLE WHEN 'st|ar' THEN 20.0::DOUBLE WHEN 'st|br' THEN 22.25::DOUBLE WHEN 'adv|ar' THEN 31.4::DOUBLE WHEN 'fu|ar' THEN 99.0::DOUBLE
+  WHEN 'tbl|ar' THEN 3.25::DOUBLE WHEN 'tbl|cl' THEN 3.5::DOUBLE WHEN 'dv|ar' THEN 4.1::DOUBLE WHEN 'kds|mx' THEN 5.0::DOUBLE END AS p FROM item)
+SELECT a.kind, a.k AS item, a.m AS market, a.p AS own, coalesce(a.p, b.p) AS price FROM own a LEFT JOIN own b ON b.k = a.k AND b.m = 'ar'""")
+def price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return BOOK.rows(spark)
+
+
+@register(query(CM, PLAN, body=f"""SELECT kind, item, market, sum(n)::BIGINT AS accounts FROM (
+  SELECT DISTINCT plan, kind, item, coalesce(market, 'ar') AS market, n FROM (
+    SELECT plan, 'plan' AS kind, base AS item, market, n FROM (SELECT plan, any_value(base) AS base, any_value(market) AS market, count(*) AS n FROM plans WHERE plan IS NOT NULL GROUP BY plan)
+    UNION ALL SELECT plan, 'module', unnest(modules), market, n FROM (SELECT plan, any_value(modules) AS modules, any_value(market) AS market, count(*) AS n FROM plans WHERE plan IS NOT NULL GROUP BY plan)))
+WHERE item IS NOT NULL AND coalesce(CASE kind WHEN 'plan' THEN (SELECT {PRICE_SQL[0]} FROM (SELECT item AS k, market AS m)) ELSE (SELECT {PRICE_SQL[1]} FROM (SELECT item AS k, market AS m)) END, -1) < 0 GROUP BY 1, 2, 3"""))
+def unpriced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpriced(adapters.customer_months(spark, sf_dir), BOOK)
+
+
+# The report as a whole
+
+CATALOGUE = {"fast": ("sales_urgent", "sales_high"), "slow": ("sales_medium", "sales_other", "sales_low"), "all": ("orders", "not there")}
+_ADOPTED = " UNION ALL ".join(
+    f"SELECT '{g}' AS g, '{m}' AS metric, count(*) FILTER (WHERE {m} > 0) AS accounts, count(*) FILTER (WHERE {m} > 0) * 100.0 / count(*) AS pct, median({m}) FILTER (WHERE {m} > 0)::DOUBLE AS median_of_users FROM cm WHERE period = (SELECT max(period) FROM cm)"
+    for g, own in CATALOGUE.items() for m in own if m != "not there"
+)
+
+
+@register(query(CM, body=f'SELECT g AS "group", row_number() OVER (PARTITION BY g ORDER BY pct DESC, metric)::INTEGER AS place, metric, accounts, pct, median_of_users FROM ({_ADOPTED})'))
+def capability_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.capability_adoption(adapters.customer_months(spark, sf_dir), CATALOGUE)
+
+
+@register(query(LAB, body="SELECT metric, lift, row_number() OVER (ORDER BY coalesce(lift, 1.0), metric)::INTEGER AS place FROM (" + _each("SELECT '$' AS metric, avg(CASE WHEN churn = 1 THEN (coalesce($, 0) > 0)::INT END) / nullif(avg(CASE WHEN churn = 0 THEN (coalesce($, 0) > 0)::INT END), 0) AS lift FROM lab WHERE churn IS NOT NULL") + ")"))
+def usage_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.usage_signals(customers_labelled(spark, sf_dir), [*SALES, "not there"]).select("metric", "lift", "place")
 
-MODEL_METRICS = ["sales_urgent", "sales_high", "orders"]
+
+@register(query(CM, EPISODES, body="""SELECT event, place::INTEGER AS place, month, name, n FROM (SELECT *, row_number() OVER (PARTITION BY event ORDER BY n DESC, month) AS place, ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][month] AS name FROM (
+  SELECT e AS event, m::INTEGER AS month, count(t) AS n FROM (VALUES ('pause'), ('return')) v(e) CROSS JOIN range(1, 13) r(m) LEFT JOIN (
+    SELECT 'pause' AS k, month_left AS mm, t_left AS t FROM ep UNION ALL SELECT 'return', month_back, t_back FROM ep) x ON k = e AND mm = m GROUP BY 1, 2)) WHERE place <= 3"""))
+def leading_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pauses.leading_months(pauses.monthly_profile(customers(spark, sf_dir)).filter("event in ('pause', 'return')"))
+
+
+@register(query(CM, EPISODES, SEASONALITY, body="SELECT id, n_pauses, total_duration, signature FROM prof ORDER BY signature DESC, n_pauses DESC, total_duration DESC, id LIMIT 20"))
+def longest_pausers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pauses.account_seasonality(pauses.episodes(customers(spark, sf_dir)))
+    return pauses.longest_pausers(own).select("id", "n_pauses", "total_duration", "signature")
+
+
+@register(query(LAB, CURVE, body=f"""SELECT round(ap, 8) AS pr_auc, round(base, 8) AS baseline, round(ap / base, 8) AS lift, round(roc, 8) AS roc_auc, round(brier, 8) AS brier, round(f1, 8) AS best_f1, low AS threshold FROM (
+  SELECT sum(pos / positives * hits / seen) AS ap, max(positives) / max(total) AS base, sum((n - pos) * (hits - pos + pos / 2)) / (max(positives) * (max(total) - max(positives))) AS roc FROM curve),
+  (SELECT avg(pow({SCORE} - churn, 2)) AS brier FROM lab WHERE churn IS NOT NULL), (SELECT score AS low, (2 * hits / (seen + positives))::DOUBLE AS f1 FROM curve ORDER BY f1 DESC, score LIMIT 1)"""))
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.evaluation(_with_labels(spark, sf_dir))
+    return out.select(*[F.round(c, 8).alias(c) if c != "threshold" else F.col(c) for c in out.columns])
+
+
+# Models. What is deterministic has SQL; trees have none, and tests compare them with brute force
+
+
+@register(query(LAB, body=f"""
+, b AS (SELECT floor({SCORE} * 20)::INTEGER AS x, sum(churn)::DOUBLE AS s, count(*) AS w FROM lab WHERE churn IS NOT NULL GROUP BY 1),
+part AS (SELECT lo.x AS a, hi.x AS z, sum(m.s) / sum(m.w) AS mean FROM b lo JOIN b hi ON hi.x >= lo.x JOIN b m ON m.x BETWEEN lo.x AND hi.x GROUP BY 1, 2)
+SELECT x / 20.0::DOUBLE AS score, w AS accounts, round(max(least_), 8) AS calibrated FROM (SELECT b.x, b.w, p.a, min(p.mean) AS least_ FROM b JOIN part p ON p.a <= b.x AND p.z >= b.x GROUP BY 1, 2, 3) GROUP BY 1, 2""".replace("\n, b AS", ", b AS", 1)))
+def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibration of scores cut to twentieths; SQL takes the largest of the least means around each."""
+    own = _with_labels(spark, sf_dir).filter("churn IS NOT NULL").select((F.floor(F.col("score") * 20) / 20.0).alias("_raw"), F.col("churn").cast("double").alias("label"))
+    rows = own.groupBy("_raw").agg(F.count("*").alias("accounts"))
+    out = learning.isotonic(own).transform(rows)
+    return out.select(F.col("_raw").alias("score"), "accounts", F.round("_calibrated", 8).alias("calibrated"))
+
+
+@register("""SELECT * FROM (VALUES ('pr_auc', 'least', 0.2::DOUBLE, 0.51::DOUBLE, 0.5::DOUBLE, 0.31::DOUBLE, true), ('pr_auc', 'gain', 0.005::DOUBLE, 0.51::DOUBLE, 0.5::DOUBLE, 0.005::DOUBLE, true), ('roc_auc', 'loss', 0.01::DOUBLE, 0.88::DOUBLE, 0.9::DOUBLE, -0.01::DOUBLE, false)) v(metric, kind, "limit", candidate, champion, margin, met)""")
+def promotion_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = promotion.outcomes(spark, {"pr_auc": 0.51, "roc_auc": 0.88}, {"pr_auc": 0.5, "roc_auc": 0.9})
+    return found.withColumn("margin", F.round("margin", 8))
+
+
+BUILD = prepare.Build(sales=SALES, additions=("orders",), delivery=("sales_high", "sales_medium"), salon="sales_urgent", usage=(*SALES, "orders"), ratios=(("high_to_urgent", "sales_high", "sales_urgent"),), core=("orders",))
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = features.plan_features(features.state_features(customers_labelled(spark, sf_dir)))
-    own = features.temporal(features.sales_mix(own, list(SALES), ["orders"], ["sales_high"], "sales_urgent", list(SALES)), MODEL_METRICS, ["orders"])
-    return features.history(own)
+    return prepare.feature_matrix(customers_labelled(spark, sf_dir), BUILD)
 
 
-def _trained(spark: SparkSession, sf_dir: str):
-    from tidepanel.operators import learning
+@register()
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of all customer months."""
+    return _model_rows(spark, sf_dir)
+
+
+#: The model of a folder of tables, for as long as the application runs: five queries ask for it.
+_MODELS: dict[tuple[str, str], learning.Artifact] = {}
+
 
-    rows = _model_rows(spark, sf_dir).cache()
-    parts = split.temporal_split(rows)
-    wanted = features.feature_columns(rows.select("id", *MODEL_METRICS, "sales_total", "active_channels", "severity", "debt_streak", "months_since_first", "prior_pauses", "plan_rank", "plan_base", *[c for c in rows.columns if c.endswith("_1m") or c.endswith("_ratio_3m")]))
-    return learning.train(parts, [c for c in wanted if c != "plan_base"] + ["plan_base"], ["plan_base"], trees=8, depth=3), rows
+def _trained(spark: SparkSession, sf_dir: str) -> tuple[learning.Artifact, DataFrame]:
+    rows, key = _model_rows(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        columns = [c for c in features.feature_columns(rows) if not c.startswith("plan_market") and "_lag_" not in c]
+        _MODELS[key] = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"])
+    return _MODELS[key], rows
 
 
 @register()
 def train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One period, scored end to end with a model of the periods before its labels."""
-    from tidepanel.operators import scoring
-
+    """One period, scored end to end with a model of the periods before its labels: the 20 columns of a batch."""
     artifact, rows = _trained(spark, sf_dir)
-    out = scoring.score_period(rows, artifact, 200006, (PLAN_PRICES, MODULE_PRICES, DEFAULT_MARKET))
-    return out.select("id", "period", "predicted_period", "churn_probability", "revenue_at_risk", "risk_category", "will_churn", F.size("factors").alias("n_factors"), "narrative", "is_seasonal")
+    return scoring.score_period(rows, artifact, BOOK, 200006)
 
 
 @register()
 def global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidepanel.operators import explain
-
     artifact, rows = _trained(spark, sf_dir)
     return explain.mean_abs_shap(rows.filter("period = 200006"), artifact)
+
+
+@register()
+def tree_shap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, place, feature, value, shap of what weighs most in each account's score."""
+    artifact, rows = _trained(spark, sf_dir)
+    found = explain.contributions(rows.filter("period = 200006"), artifact).select("id", F.posexplode("factors").alias("place", "f"))
+    return found.select("id", (F.col("place") + 1).alias("place"), "f.feature", "f.value", "f.shap", "f.direction")
+
+
+@register()
+def narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train_and_score(spark, sf_dir).select("id", "risk_category", "narrative")

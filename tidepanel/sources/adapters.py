@@ -63,7 +63,7 @@ def supplier_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a user and day (yyyymmdd) with events: events, purchases."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
-    day = F.date_format("ts", "yyyyMMdd").cast("int")
+    day = (month_period(F.col("ts")) * 100 + F.day("ts")).cast("int")
     return events.groupBy(F.col("user_id").alias("id"), day.alias("period")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "purchase").alias("purchases"))
 
 

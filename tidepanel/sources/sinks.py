@@ -1,15 +1,14 @@
-"""What is written: batches by period, JSON reports, price templates."""
+"""What is written for people and services: report tables, price templates."""
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
 from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.sources import files
 from tidepanel.spec import MARKETS, MODULES, PLAN_RANK
 
 
@@ -27,22 +26,6 @@ def write_json(df_session, path: str, data: Any) -> None:
     write_text(df_session, path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
 
 
-def write_predictions(scored: DataFrame, folder: str, metadata: dict | None = None, formats: tuple[str, ...] = ("parquet",)) -> None:
-    """Batches below ``folder``, a partition a period; only the periods in ``scored`` are replaced. ``latest.json`` names the greatest."""
-    for kind in formats:
-        rows = scored if kind == "parquet" else scored.withColumns({c: F.to_json(c) for c, t in scored.dtypes if t.startswith("array<struct")})
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period").format(kind).save(f"{folder}/{kind}")
-    latest = scored.agg(F.max("period")).first()[0]
-    write_json(scored.sparkSession, f"{folder}/latest.json", {"period": latest, **(metadata or {})})
-
-
-def read_predictions(spark, folder: str, period: int | None = None) -> DataFrame:
-    """A batch, the latest by default; only its partition is read."""
-    rows = spark.read.parquet(f"{folder}/parquet")
-    wanted = rows.agg(F.max("period")).first()[0] if period is None else period
-    return rows.filter(F.col("period") == wanted)
-
-
 def report_rows(frames: dict[str, DataFrame], limit: int = 10_000) -> dict[str, list[dict]]:
     """Small result tables as lists of records; a table above ``limit`` rows is refused rather than cut."""
     out = {}
@@ -56,12 +39,12 @@ def report_rows(frames: dict[str, DataFrame], limit: int = 10_000) -> dict[str,
 
 def price_template(tokens: DataFrame, path: str, currency: str = "USD") -> dict:
     """A YAML of all base plans and modules by market, null where no price is known; prices in an existing file stay. Returns what was written."""
+    spark = tokens.sparkSession
     counts = {r["token"]: r["accounts"] for r in tokens.filter(F.col("token").isin(*PLAN_RANK, *MODULES)).collect()}
-    own = Path(path)
-    old = yaml.safe_load(own.read_text()) if own.exists() else {}
-    body: dict[str, Any] = {"currency": (old or {}).get("currency", currency)}
+    old = (yaml.safe_load(files.read_text(spark, path)) if files.exists(spark, path) else None) or {}
+    body: dict[str, Any] = {"currency": old.get("currency", currency)}
     for part, items in (("plans", PLAN_RANK), ("modules", MODULES)):
-        known = (old or {}).get(part) or {}
+        known = old.get(part) or {}
         body[part] = {i: {m: (known.get(i) or {}).get(m) for m in MARKETS} for i in items if i in counts or i in known}
-    own.write_text("".join(f"# {i}: {n} accounts\n" for i, n in sorted(counts.items())) + yaml.safe_dump(body, sort_keys=False))
+    files.write_text(spark, path, "".join(f"# {i}: {n} accounts\n" for i, n in sorted(counts.items())) + yaml.safe_dump(body, sort_keys=False))
     return body

@@ -12,25 +12,25 @@ from pyspark.sql import types as T
 
 from tidepanel.functions.arithmetic import not_nan
 from tidepanel.operators.panel import dense_index, last_wins, missing_periods, severity, tenure_months
+from tidepanel.sources import files
 
 log = logging.getLogger(__name__)
 SUFFIXES = (".csv", ".csv.gz", ".parquet")
 
 
-def normalised(name: str) -> str:
-    """Lower case, ``($)`` dropped, runs of other characters than letters and digits one underscore, none at the ends."""
-    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower().replace("($)", "")).strip("_")
+#: What is dropped from a header, and the characters that its words are made of; words are joined by one underscore.
+DROPPED, WORD = "($)", "[a-z0-9]+"
 
 
-def _status(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs, jvm_path
+def normalised(name: str) -> str:
+    """A header as a column name: its words in lower case."""
+    return "_".join(re.findall(WORD, "".join(name.split(DROPPED)).lower()))
 
 
 def resolve(spark: SparkSession, path: str) -> list[str]:
     """The snapshot files of a file, folder (known suffixes) or pattern, in order of their names; on any file system that Spark reads. None is an error."""
-    fs, own = _status(spark, path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.globStatus(own) or []
     if len(found) == 1 and found[0].isDirectory() and not found[0].getPath().getName().endswith(".parquet"):
         found = [s for s in fs.listStatus(found[0].getPath()) if s.getPath().getName().endswith(SUFFIXES)]
@@ -39,48 +39,70 @@ def resolve(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found)
 
 
-def modified(spark: SparkSession, path: str) -> int | None:
-    fs, own = _status(spark, path)
-    return fs.getFileStatus(own).getModificationTime() if fs.exists(own) else None
+def _clean(df: DataFrame, extra: dict | None = None) -> DataFrame:
+    """Normalised headers, no NaN, and ``extra`` columns."""
+    names = [normalised(c) for c in df.columns]
+    own = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], *[c.alias(k) for k, c in (extra or {}).items()])
+    return own.withColumns({f.name: not_nan(F.col(f.name)) for f in own.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+
+
+def _reader(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
+    if paths[0].endswith(".parquet"):
+        return spark.read.parquet(*paths)
+    reader = spark.read.option("header", True).option("multiLine", False)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
 
 
 def read_one(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """One file with normalised headers and no NaN. Without a schema the types of a CSV are inferred, which reads it twice; names and types of Parquet are its own."""
-    if path.endswith(".parquet"):
-        df = spark.read.parquet(path)
-    else:
-        reader = spark.read.option("header", True).option("multiLine", False)
-        df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
-    df = df.toDF(*[normalised(c) for c in df.columns])
-    return df.withColumns({f.name: not_nan(F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+    return _clean(_reader(spark, [path], schema))
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple]:
+    """The header of each file: for Parquet its names and types, for a CSV the names in its first line. No more of a file is read."""
+    out: dict[str, tuple] = {}
+    for p in paths:
+        if p.endswith(".parquet"):
+            out[p] = ("parquet", *((f.name, f.dataType.simpleString()) for f in spark.read.parquet(p).schema.fields))
+        else:
+            out[p] = ("csv", *((c, "") for c in spark.read.option("header", True).csv(p).columns))
+    return out
 
 
-def schema_drift(parts: list[DataFrame]) -> dict[int, tuple[set[str], set[str]]]:
-    """By place: columns that a file lacks, and that it has besides those of the first file; files that agree are left out."""
-    first = set(parts[0].columns)
-    found = {i: (first - set(p.columns), set(p.columns) - first) for i, p in enumerate(parts)}
-    return {i: x for i, x in found.items() if any(x)}
+def header_drift(found: dict[str, tuple]) -> dict[str, tuple[set[str], set[str]]]:
+    """By file: columns that it lacks, and that it has besides those of the first file; files that agree are left out."""
+    names = {p: {normalised(c) for c, _ in h[1:]} for p, h in found.items()}
+    first = next(iter(names.values()))
+    return {p: (first - own, own - first) for p, own in names.items() if own != first}
 
 
 def load_raw(spark: SparkSession, path: str, id_name: str = "id", period_name: str = "periodo", schema: T.StructType | None = None) -> DataFrame:
-    """All files of ``path``, each read for itself (CSV headers may differ) and put together by name; of rows with one id and period the last file's last stays."""
-    parts = [read_one(spark, p, schema) for p in resolve(spark, path)]
-    for i, (missing, extra) in schema_drift(parts).items():
-        log.warning("file %d: lacks %s, adds %s", i, sorted(missing), sorted(extra))
-    placed = [p.withColumns({"_file": F.lit(i), "_place": F.monotonically_increasing_id()}) for i, p in enumerate(parts)]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), placed)
+    """All files of ``path``, put together by name; of rows with one id and period the last file's last stays.
+
+    Files with the same header are one scan (a CSV reader goes by position, so those with another are another), and each scan infers types
+    once: as many scans as there are headers, however many files. Files are in order of their paths; a file's rows in order of its blocks.
+    """
+    found = headers(spark, resolve(spark, path))
+    for p, (missing, extra) in header_drift(found).items():
+        log.warning("%s: lacks %s, adds %s", p, sorted(missing), sorted(extra))
+    alike: dict[tuple, list[str]] = {}
+    for p, h in found.items():
+        alike.setdefault(h, []).append(p)
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_place": F.monotonically_increasing_id()}
+    parts = [_clean(_reader(spark, own, schema), place) for own in alike.values()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     for name in (id_name, period_name):
         if name not in rows.columns:
             raise ValueError(f"required column {name!r} is missing")
     rows = rows.withColumnsRenamed({id_name: "id", period_name: "period"})
-    return last_wins(rows, ["_file", "_place"]).drop("_file", "_place")
+    return last_wins(rows, ["_file", "_block", "_place"]).drop("_file", "_block", "_place")
 
 
 def load_panel(spark: SparkSession, path: str, id_name: str = "id", period_name: str = "periodo", created: str | None = "fecha_ts", state: str | None = "estado", schema: T.StructType | None = None) -> DataFrame:
     """``load_raw`` with t, tenure_months and severity where their columns are there; months without rows are warned of."""
     rows = dense_index(load_raw(spark, path, id_name, period_name, schema))
     if created and created in rows.columns:
-        at = F.try_to_timestamp(F.regexp_replace(F.col(created).cast("string"), r"\s*\+0000$", ""))
+        at = F.regexp_replace(F.col(created).cast("string"), r"\s*\+0000$", "").try_cast("timestamp_ntz")
         rows = rows.withColumn("tenure_months", tenure_months(F.col("period"), at))
     if state and state in rows.columns:
         rows = rows.withColumn("severity", severity(F.col(state)))
@@ -97,9 +119,9 @@ def downcast(df: DataFrame, keep: tuple[str, ...] = ("id", "period")) -> DataFra
 
 def is_stale(spark: SparkSession, raw: str, cached: str) -> bool:
     """Whether the cache is missing, or older than a raw file; remote raw files never make it stale."""
-    at = modified(spark, cached)
+    at = files.modified(spark, cached)
     if at is None:
         return True
     if "://" in raw and not raw.startswith("file:"):
         return False
-    return any((modified(spark, p) or 0) > at for p in resolve(spark, raw))
+    return any((files.modified(spark, p) or 0) > at for p in resolve(spark, raw))

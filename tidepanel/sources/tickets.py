@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.operators.panel import period_of
+
 HEX24 = "^[0-9a-fA-F]{24}$"
-#: Names under which an account id is looked for in a companies export, in this order.
+#: Names under which an account id is looked for in a companies export, in this order.
 ID_NAMES = ("company_id", "external_id", "id_de_dash", "dash_id", "account_id")
 SAMPLE = 50
 
@@ -19,11 +21,11 @@ def flattened(rows: DataFrame, attributes: dict[str, str]) -> DataFrame:
     have = set(rows.columns)
     col = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
     field = lambda c, path: F.get_json_object(col(c), path)
-    created = F.timestamp_seconds(col("Created At").try_cast("double"))
+    seconds = col("Created At").try_cast("double")
     return rows.select(
         col("Ticket ID").alias("ticket_id"),
-        created.alias("created_at"),
-        F.date_format(created, "yyyyMM").cast("int").alias("period"),
+        F.timestamp_seconds(seconds).alias("created_at"),
+        period_of(seconds).alias("period"),
         col("Company ID").alias("company_ref"),
         col("Category").alias("category"),
         col("Channel").alias("channel"),
@@ -36,7 +38,10 @@ def flattened(rows: DataFrame, attributes: dict[str, str]) -> DataFrame:
 
 
 def load_tickets(spark: SparkSession, path: str, attributes: dict[str, str] | None = None) -> DataFrame:
-    """The export at ``path``: quoted multi-line CSV, a byte order mark in the header allowed; columns that nobody asks for are never parsed."""
+    """The export at ``path``: quoted multi-line CSV, a byte order mark in the header allowed; columns that nobody asks for are never parsed.
+
+    Quoted line ends can't be told from the middle of a file, so a file is read by one task: a large export should come in several files.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
     return flattened(rows, attributes or {"ID de dash": "explicit_id"})
@@ -79,7 +84,7 @@ def guess_id(df: DataFrame, exclude: set[str]) -> str | None:
 
 
 def load_companies(spark: SparkSession, path: str) -> DataFrame:
-    """company_ref, account_id: found by name or by content; rows without an id go, of repeated references one stays."""
+    """company_ref, account_id: found by name or by content; rows without an id go, of repeated references the first in the files stays."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
     ref = find_reference(df)
     if ref is None:
@@ -88,5 +93,6 @@ def load_companies(spark: SparkSession, path: str) -> DataFrame:
     own = next((named[n] for n in ID_NAMES if n in named and named[n] != ref), None) or guess_id(df, {ref})
     if own is None:
         raise ValueError("no column of account ids")
-    rows = df.select(F.trim(F.col(f"`{ref}`")).alias("company_ref"), F.col(f"`{own}`").cast("string").try_cast("double").cast("long").alias("account_id"))
-    return rows.filter("account_id IS NOT NULL").groupBy("company_ref").agg(F.min("account_id").alias("account_id"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = df.select(F.trim(F.col(f"`{ref}`")).alias("company_ref"), F.col(f"`{own}`").cast("string").try_cast("double").cast("long").alias("account_id"), place.alias("place"))
+    return rows.filter("account_id IS NOT NULL").groupBy("company_ref").agg(F.min_by("account_id", "place").alias("account_id"))
