@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions import plan_codes
 from tidepanel.operators import attribution, drift, explain, features, labels, learning, metrics, panel, pauses, prepare, promotion, ranks, report, risk, scoring, serving, split
 from tidepanel.plans.sql_parts import CALENDAR, CM, EPISODES, LAB, PLAN, SCORE, SEASONALITY, SEVERITY, SM, UD, labelled, query
-from tidepanel.sources import adapters
+from tidepanel.sources import adapters, files
 from tidepanel.sources.adapters import SALES
 from tidepanel.sources.prices import PriceBook, unpriced
 
@@ -759,16 +759,17 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_rows(spark, sf_dir)
 
 
-#: The model of a folder of tables, for as long as the application runs: five queries ask for it.
-_MODELS: dict[tuple[str, str], learning.Artifact] = {}
+#: The model of a folder of tables and the feature matrix that it was learned from, for as long as the application runs: four queries ask for them.
+_MODELS: dict[tuple[str, str], tuple[learning.Artifact, DataFrame]] = {}
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[learning.Artifact, DataFrame]:
-    rows, key = _model_rows(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
+        rows = files.kept(_model_rows(spark, sf_dir), "matrix", "period")
         columns = [c for c in features.feature_columns(rows) if not c.startswith("plan_market") and "_lag_" not in c]
-        _MODELS[key] = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"])
-    return _MODELS[key], rows
+        _MODELS[key] = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"]), rows
+    return _MODELS[key]
 
 
 @register()

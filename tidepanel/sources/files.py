@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _of(spark: SparkSession, path: str):
@@ -59,3 +61,23 @@ def read_json(spark: SparkSession, path: str) -> Any:
 
 def write_json(spark: SparkSession, path: str, data: Any) -> None:
     write_text(spark, path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir`` or the context's; only a session in one process may do with a temporary one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kept-"))
+        found = context.getCheckpointDir()
+    if not found:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found.rstrip("/")
+
+
+def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet (by some columns) and read back: what several queries read is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}/{name}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)

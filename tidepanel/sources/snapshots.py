@@ -49,7 +49,8 @@ def _clean(df: DataFrame, extra: dict | None = None) -> DataFrame:
 def _reader(spark: SparkSession, paths: list[str], schema: T.StructType | None) -> DataFrame:
     if paths[0].endswith(".parquet"):
         return spark.read.parquet(*paths)
-    reader = spark.read.option("header", True).option("multiLine", False)
+    # times without a zone are in UTC
+    reader = spark.read.option("header", True).option("multiLine", False).option("timeZone", "UTC")
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(paths)
 
 
@@ -102,7 +103,8 @@ def load_panel(spark: SparkSession, path: str, id_name: str = "id", period_name:
     """``load_raw`` with t, tenure_months and severity where their columns are there; months without rows are warned of."""
     rows = dense_index(load_raw(spark, path, id_name, period_name, schema))
     if created and created in rows.columns:
-        at = F.regexp_replace(F.col(created).cast("string"), r"\s*\+0000$", "").try_cast("timestamp_ntz")
+        text = F.regexp_replace(F.col(created).cast("string"), r"\s*\+0000$", "").try_cast("timestamp_ntz")
+        at = F.col(created) if dict(rows.dtypes)[created].startswith(("timestamp", "date")) else text
         rows = rows.withColumn("tenure_months", tenure_months(F.col("period"), at))
     if state and state in rows.columns:
         rows = rows.withColumn("severity", severity(F.col(state)))
