@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import byte_bpe, frames, jaccard_join, language_id, mixing, pii_feistel, quality, secret_scan
+from tidepanel.llm import byte_bpe, fill_middle, frames, jaccard_join, language_id, mixing, pii_feistel, quality, secret_scan
 from tidepanel.llm.line_dedup import drop_frequent_lines
 
 
@@ -140,6 +140,30 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.transformed(frames.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = F.sha2(F.encode(fill_middle.restored(F.col("form"), F.col("output")), "UTF-8"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", frames.sha256_hex("output").alias("output_sha256"), back.alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+    sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n, ('0x' || hash[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || hash[9:16])::BIGINT % (len(units) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || hash[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || hash[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM doc
+), cut AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(units[greatest(a, b) + 1:n], '') AS suffix FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
 QUERIES = {
     "op2_pii_feistel": op2_pii_feistel,
     "op3_byte_bpe": op3_byte_bpe,
@@ -149,5 +173,6 @@ QUERIES = {
     "op7_secret_scan": op7_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op12_fill_middle": op12_fill_middle,
 }
-ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op4_line_dedup": OP4_SQL, "op5_source_mix": OP5_SQL, "op10_quality_rules": OP10_SQL, "op12_fill_middle": OP12_SQL}
