@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.llm import frames
@@ -33,14 +33,15 @@ LEADERS = 256
 FOUND = "query_id long, vec_id long, score long"
 
 
-def quantised(vectors: DataFrame, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, vec: floor(scale * x) of every component as long. Rows with a null id, or a vector that is null or holds a null or non-finite component, go."""
-    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec")).filter("id IS NOT NULL AND vec IS NOT NULL")
+def quantised(vectors: DataFrame, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", more: dict[str, Column] | None = None) -> DataFrame:
+    """id, vec: floor(scale * x) of every component as long; and ``more``. Rows with a null id, or a vector that is null or holds a null or non-finite component, go."""
+    extra = [c.alias(k) for k, c in (more or {}).items()]
+    own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), *extra).filter("id IS NOT NULL AND vec IS NOT NULL")
     own = own.filter(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    return own.select("id", F.transform("vec", lambda x: F.floor(x * scale)).alias("vec"))
+    return own.withColumn("vec", F.transform("vec", lambda x: F.floor(x * scale)))
 
 
-def _matrix(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
+def matrix(vectors: pa.ListArray, width: int | None = None) -> np.ndarray:
     """One row a vector, short ones filled with zeros, long ones cut to ``width``: what is cut has no partner to be multiplied with."""
     ends = np.asarray(vectors.offsets)
     sizes, values = np.diff(ends), np.asarray(vectors.values)
@@ -141,12 +142,12 @@ def _shard_runs(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[tupl
                 held.append((ids, vectors))
                 continue
             if held:
-                blocks, held = Blocks(np.concatenate([x for x, _ in held]), _matrix(pa.concat_arrays([x for _, x in held])), exact), []
+                blocks, held = Blocks(np.concatenate([x for x, _ in held]), matrix(pa.concat_arrays([x for _, x in held])), exact), []
             if blocks:
                 floors = np.asarray(own.column("floor").fill_null(-np.inf))
                 for first in range(0, len(ids), 256):
                     part = slice(first, first + 256)
-                    asked = _matrix(vectors.slice(first, 256), blocks.rows.shape[1])
+                    asked = matrix(vectors.slice(first, 256), blocks.rows.shape[1])
                     yield blocks, ids[part], asked.astype(np.float64) if exact else asked, floors[part]
 
 
