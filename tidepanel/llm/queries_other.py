@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import frames, hard_negatives, topk_search, url_filter
+from tidepanel.llm import frames, hard_negatives, html_extract, topk_search, url_filter
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +61,10 @@ SELECT * FROM mined WHERE rank <= 3
 """
 
 
-QUERIES = {"op1_topk_search": op1_topk_search, "op8_url_filter": op8_url_filter, "op11_hard_negatives": op11_hard_negatives}
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = frames.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, html_extract.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {"op1_topk_search": op1_topk_search, "op8_url_filter": op8_url_filter, "op11_hard_negatives": op11_hard_negatives, "op13_html_extract": op13_html_extract}
 ORACLE_SQL = {"op1_topk_search": OP1_SQL, "op11_hard_negatives": OP11_SQL}
