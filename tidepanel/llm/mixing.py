@@ -88,21 +88,18 @@ def _of_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataF
     return rows.join(own, F.col("source").eqNullSafe(F.col("_source")), how).drop("_source")
 
 
-def plan(rows: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """source, source_size, target, whole, below, from rows of source, size and hash.
+def _bounds(inside: DataFrame, left: DataFrame, bits: int) -> DataFrame:
+    """source, below, left, inside, from rows of source, size and hash (of so many bits), and the words left by source: staged.
 
-    Documents of a source are taken ``whole`` times, and once more where their hash is under ``below``: the largest bound that keeps
-    the source's words within its target. Each level sums words by bucket of the next bits, inside the boundary bucket only; a boundary
-    bucket of one document decides as its further bits would, so levels end when no source has more than one there.
+    ``below`` is the largest bound for which the words of hashes under it are no more than ``left``. Each level sums words by bucket of the
+    next bits, inside the boundary bucket only; ``left`` becomes what is left for the boundary bucket, and ``inside`` the documents in it. A
+    boundary bucket of one document decides as its further bits would, so levels end when no source has more than one there.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    ranks = source_ranks(rows)
-    targets = with_targets(ranks, share, most_times, weights)
-    sources = targets.withColumn("whole", whole)
-    state = sources.select("source", F.lit(1 << HASH_BITS).alias("below"), (F.col("target") - F.col("whole") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("inside"))
-    inside, old = rows.select("source", "size", "hash"), [ranks, targets]
-    for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
-        if shift + LEVEL_BITS < HASH_BITS:
+    state = left.select("source", F.lit((1 << bits) - 1).alias("below"), "left", F.lit(0).cast("long").alias("inside"))
+    old: list[DataFrame] = []
+    top = bits - (bits % LEVEL_BITS or LEVEL_BITS)
+    for shift in range(top, -1, -LEVEL_BITS):
+        if shift < top:
             boundary = state.filter("inside > 1").select("source", F.shiftright("below", shift + LEVEL_BITS).alias("_bucket"))
             inside = _of_source(inside, boundary).filter(F.shiftright("hash", shift + LEVEL_BITS) == F.col("_bucket")).drop("_bucket")
             inside = frames.staged(inside, "mix-boundary")
@@ -121,18 +118,46 @@ def plan(rows: DataFrame, share: float = 1.5, most_times: float = 2.0, weights:
         old.append(state)
         if (state.agg(F.max("inside")).first()[0] or 0) <= 1:
             break
-    found = _of_source(sources, state.select("source", "below"))
+    frames.discard(*old[:-1])
+    return state
+
+
+def plan(rows: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """source, source_size, target, whole, below, left, tied, from rows of source, size and hash.
+
+    Documents of a source are taken ``whole`` times, and once more where their hash is under ``below``: the largest bound that keeps
+    the source's words within its target. ``tied`` documents share the hash ``below``, if it is more than one, with ``left`` words for them.
+    """
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    ranks = source_ranks(rows)
+    targets = with_targets(ranks, share, most_times, weights)
+    sources = targets.withColumn("whole", whole)
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    state = _bounds(rows.select("source", "size", "hash"), sources.select("source", rest.alias("left")), HASH_BITS)
+    found = _of_source(sources, state.select("source", "below", "left", F.col("inside").alias("tied")))
     # a source that whole copies fill has nothing left, also not for documents without words
-    partial = F.col("target") > F.col("whole") * F.col("source_size")
-    out = frames.staged(found.withColumn("below", F.when(partial, F.col("below")).otherwise(F.lit(0))), "mix-plan")
-    frames.discard(*old)
+    partial = rest > 0
+    found = found.withColumns({"below": F.when(partial, F.col("below")).otherwise(F.lit(0)), "tied": F.when(partial, F.col("tied")).otherwise(F.lit(0))})
+    out = frames.staged(found, "mix-plan")
+    frames.discard(ranks, targets, state)
     return out
 
 
 def decide(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """Adds source_size, target and ``copies`` to rows of source, size and hash."""
-    copies = F.col("whole") + (F.col("hash") < F.col("below")).cast("long")
-    return _of_source(rows, found).withColumn("copies", copies).drop("whole", "below", "hash")
+    """Adds source_size, target and ``copies`` to rows of source, size and hash.
+
+    Rows that share the hash at a source's bound (repeated rows) are numbered as they are staged, by partition and place, and a bound on
+    that number is found in the same way: as many of them are taken as have room. They are alike, so which ones is no matter.
+    """
+    own, gone = _of_source(rows, found), ("whole", "below", "left", "tied", "hash")
+    at_bound = (F.col("tied") > 1) & (F.col("hash") == F.col("below"))
+    sure = own.withColumn("copies", F.col("whole") + (F.col("hash") < F.col("below")).cast("long"))
+    if found.filter("tied > 1").isEmpty():
+        return sure.drop(*gone)
+    tied = frames.staged(own.filter(at_bound).withColumn("_at", F.monotonically_increasing_id()), "mix-tied")
+    cut = _bounds(tied.select("source", "size", F.col("_at").alias("hash")), found.filter("tied > 1").select("source", "left"), 63)
+    shared = _of_source(tied, cut.select("source", F.col("below").alias("_cut"))).withColumn("copies", F.col("whole") + (F.col("_at") < F.col("_cut")).cast("long"))
+    return sure.filter(~at_bound).drop(*gone).unionByName(shared.drop(*gone, "_at", "_cut"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, most_times: float = 2.0, weights: tuple[int, ...] = WEIGHTS, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -140,7 +165,7 @@ def mixed(docs: DataFrame, share: float = 1.5, most_times: float = 2.0, weights:
 
     Sources weigh ``weights`` in turn by name, null last; together they get ``share`` of all words, none more than ``most_times`` its
     own words. A source's taken words miss its target by less than the document at its threshold. The hash is of id and text, so
-    reruns agree; rows equal in both share their fate. A null text or one without words has size 0; a source without words has
+    reruns agree; of rows equal in both, at the threshold, as many are taken as have room. A null text or one without words has size 0; a source without words has
     target 0; an empty table gives an empty table. Columns of the added names, in any case, are replaced; others pass through, whatever
     they are called.
     """

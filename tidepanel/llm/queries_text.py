@@ -60,7 +60,7 @@ WITH doc AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM target
 )
 SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN run <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM (SELECT doc.*, p.source_size, p.target, p.whole, sum(size) OVER (PARTITION BY doc.source ORDER BY h) AS run
+FROM (SELECT doc.*, p.source_size, p.target, p.whole, sum(size) OVER (PARTITION BY doc.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS run
       FROM doc JOIN planned p ON doc.source IS NOT DISTINCT FROM p.source)
 """
 
