@@ -206,8 +206,16 @@ def learn(pages: DataFrame, key: str = "page_id", html: str = "html") -> Model:
     """
     own = frames.column(html)
     tells = own.rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(own) <= SAMPLE_BYTES)
-    drawn = pages.filter(tells).select(own.alias("html"), F.xxhash64(frames.column(key), own).alias("hash")).orderBy("hash", "html").limit(SAMPLE_PAGES)
-    trees = [(t, m) for t in (dom.parsed(r["html"]) for r in drawn.collect()) if (m := marked_main(t))]
+    hashed = pages.filter(tells).select(own.alias("html"), F.xxhash64(frames.column(key), own).alias("hash"))
+    share, drawn = min(1.0, 8 * SAMPLE_PAGES / max(1, pages.count())), []
+    while True:
+        # a share of all hashes first: each task sends its own candidates to the driver, so these must not grow with the tasks
+        within = hashed.filter(F.shiftrightunsigned("hash", 40) < int(share * (1 << 24)))
+        drawn = within.orderBy(F.shiftrightunsigned("hash", 40), "hash", "html").limit(SAMPLE_PAGES).collect()
+        if len(drawn) == SAMPLE_PAGES or share == 1.0:
+            break
+        share = min(1.0, share * 16)
+    trees = [(t, m) for t in (dom.parsed(r["html"]) for r in drawn) if (m := marked_main(t))]
     pool = [text for _, blocks in trees for _, text in blocks]
     made = Layouts("layouts", pool)
     examples = [(t, {text for _, text in m}) for t, m in trees]
