@@ -1,12 +1,12 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidepanel.functions import names
-from tidepanel.operators import explain, learning, promotion, risk, scoring
+from tidepanel.operators import boosting, explain, learning, promotion, risk, scoring
 from tidepanel.plans import catalog
 from tidepanel.sources.prices import PriceBook
 
@@ -24,7 +24,7 @@ def rows(spark):
 
 @pytest.fixture(scope="module")
 def artifact(rows):
-    return learning.train(rows, ["a", "b", "c"], ["c"], trees=6, depth=3)
+    return learning.train(rows, ["a", "b", "c"], ["c"], boosting.Settings(trees=6, depth=3, least_hessian=5.0))
 
 
 def test_model_separates_and_is_calibrated(rows, artifact):
@@ -40,15 +40,32 @@ def test_absent_and_unseen_features_are_scored(spark, artifact):
     assert artifact.score(odd).count() == 1
 
 
+def binned(artifact, rows):
+    own = rows.select(*artifact.model.columns(rows)).toPandas()
+    return artifact.model.binned([own[c].to_numpy() for c in own.columns])
+
+
 def test_shapley_values_add_up(rows, artifact):
-    own = rows.filter("split = 'test'").limit(60)
-    seen = artifact.stages.transform(artifact.aligned(own)).select(vector_to_array("_features").alias("x"), vector_to_array("rawPrediction").alias("m")).collect()
-    x = np.array([r["x"] for r in seen])
-    leaves = explain.leaves(artifact)
-    phi, base = explain.shapley(x, leaves)
-    margin = np.array([sum(v for v, path in leaves if all(low < r[f] <= high for f, low, high, _ in path)) for r in x])
-    assert np.allclose(phi.sum(axis=1) + base, margin)
-    assert np.allclose(2 * margin, [2 * r["m"][1] for r in seen]) or np.allclose(margin, [r["m"][1] for r in seen]) or np.allclose(2 * margin, [r["m"][1] for r in seen])
+    """To each row's margin; and each is the mean over all orders of what a feature adds, for absent features over the shares of the training rows."""
+    bins = binned(artifact, rows.filter("split = 'test'").limit(60))
+    phi, base = explain.shapley(bins, explain.leaves(artifact))
+    assert np.allclose(phi.sum(axis=1) + base, artifact.model.margins(bins))
+
+    def expected(tree, node, row, known):
+        if not tree.left[node]:
+            return tree.value[node]
+        left, right = tree.left[node], tree.right[node]
+        if tree.feature[node] in known:
+            return expected(tree, left if tree.table[node][row[tree.feature[node]]] else right, row, known)
+        return sum(tree.cover[k] / tree.cover[node] * expected(tree, k, row, known) for k in (left, right))
+
+    for i in range(5):
+        want = np.zeros(len(bins))
+        for order in itertools.permutations(range(len(bins))):
+            for k, f in enumerate(order):
+                with_f, without = set(order[: k + 1]), set(order[:k])
+                want[f] += sum(expected(t, 0, bins[:, i], with_f) - expected(t, 0, bins[:, i], without) for t in artifact.model.trees)
+        assert np.allclose(phi[i], want / 6)
 
 
 def test_contributions_and_narrative(rows, artifact):
@@ -132,8 +149,8 @@ def test_importance_counts_every_feature(spark, monkeypatch):
         x = [random.random() for _ in names]
         own.append((i, 200006, int(sum(x) + random.random() > 7.5), ("train", "train", "val", "test")[i % 4], *x))
     rows = spark.createDataFrame(own, "id int, period int, churn int, split string, " + ", ".join(f"{f} double" for f in names)).repartition(3)
-    artifact = learning.train(rows, names, trees=12, depth=3)
-    phi, _ = explain.shapley(np.array([r[4:] for r in own]), explain.leaves(artifact))
+    artifact = learning.train(rows, names, [], boosting.Settings(trees=12, depth=3, least_hessian=5.0))
+    phi, _ = explain.shapley(binned(artifact, spark.createDataFrame(own, rows.schema)), explain.leaves(artifact))
     assert ((phi != 0).sum(axis=1) > explain.TOP).any()
     monkeypatch.setattr(catalog, "_trained", lambda spark, sf_dir: (artifact, rows))
     got = [tuple(r) for r in catalog.global_importance(spark, "").collect()]

@@ -12,56 +12,56 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import names as labels
 from tidepanel.operators import ranks
-from tidepanel.operators.learning import MISSING, Artifact
+from tidepanel.operators.learning import Artifact
 
 TOP = 8
 
 
-def leaves(artifact: Artifact) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
-    """Of each tree's leaves: the weighted value, and per feature on its path the bounds (low, high] and the share of rows that keep within."""
-    model = artifact.stages.stages[-1]
-    out = []
-    for weight, tree in zip(model.treeWeights, model.trees, strict=True):
-        todo = [(tree._call_java("rootNode"), {})]
+#: A leaf: its value, and of each feature on its path the number, the bins that lead there (from all), and the share of training rows that keep to them.
+Leaf = tuple[float, list[tuple[int, np.ndarray, float]]]
+
+
+def leaves(artifact: Artifact) -> list[Leaf]:
+    """The leaves of all trees; shares are of Hessians, as the trees weigh rows."""
+    out: list[Leaf] = []
+    for tree in artifact.model.trees:
+        todo: list[tuple[int, dict[int, tuple[np.ndarray, float]]]] = [(0, {})]
         while todo:
             node, path = todo.pop()
-            if not node.getClass().getSimpleName().startswith("Internal"):
-                out.append((weight * node.prediction(), [(f, *bounds) for f, bounds in path.items()]))
+            if not tree.left[node]:
+                out.append((tree.value[node], [(f, *own) for f, own in path.items()]))
                 continue
-            split, n = node.split(), node.impurityStats().count()
-            f, at = split.featureIndex(), split.threshold()
-            for child, left in ((node.leftChild(), True), (node.rightChild(), False)):
-                low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-                part = child.impurityStats().count() / n if n else 0.0
-                todo.append((child, {**path, f: (low, min(high, at), share * part) if left else (max(low, at), high, share * part)}))
+            f = tree.feature[node]
+            within, share = path.get(f, (np.ones(len(tree.table[node]), dtype=bool), 1.0))
+            for child, goes in ((tree.left[node], tree.table[node]), (tree.right[node], ~tree.table[node])):
+                todo.append((child, {**path, f: (within & goes, share * tree.cover[child] / max(tree.cover[node], 1e-300))}))
     return out
 
 
-def shapley(x: np.ndarray, own: list) -> tuple[np.ndarray, float]:
-    """Values (rows x features) and the expected margin: together they are each row's margin.
+def shapley(bins: np.ndarray, own: list[Leaf]) -> tuple[np.ndarray, float]:
+    """Values (rows x features) and the expected margin, from ``bins`` (features x rows): together they are each row's margin.
 
     For a leaf with m features on its path, the product of (share + inside * z) over the features has, as coefficients of z, the sums over
     subsets of a size; without one feature (divided out) they are weighed by how many orders put that feature after such a subset.
     """
-    out, base = np.zeros(x.shape), 0.0
+    n = bins.shape[1]
+    out, base = np.zeros((n, bins.shape[0])), 0.0
     for value, path in own:
         m = len(path)
-        base += value * np.prod([p[3] for p in path])
-        inside = [((x[:, f] > low) & (x[:, f] <= high)).astype(float) for f, low, high, _ in path]
-        shares = [max(p[3], 1e-12) for p in path]
-        product = [np.ones(len(x))]
+        base += value * np.prod([p[2] for p in path])
+        inside = [within[bins[f]].astype(float) for f, within, _ in path]
+        shares = [max(p[2], 1e-12) for p in path]
+        product = [np.ones(n)]
         for b, a in zip(shares, inside, strict=True):
             product = [b * (product[k] if k < len(product) else 0.0) + a * (product[k - 1] if k else 0.0) for k in range(len(product) + 1)]
         orders = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
         for (f, *_), b, a in zip(path, shares, inside, strict=True):
-            rest, total = np.zeros(len(x)), np.zeros(len(x))
+            rest, total = np.zeros(n), np.zeros(n)
             for k in range(m):
                 rest = (product[k] - a * rest) / b
                 total += orders[k] * rest
@@ -69,53 +69,52 @@ def shapley(x: np.ndarray, own: list) -> tuple[np.ndarray, float]:
     return out, base
 
 
-def _row_vectors(rows: DataFrame, artifact: Artifact, *keep: str) -> DataFrame:
-    seen = PipelineModel(artifact.stages.stages[:-1]).transform(artifact.aligned(rows))
-    return seen.withColumn("_x", vector_to_array("_features")).select(*keep, "_x")
-
-
 def contributions(rows: DataFrame, artifact: Artifact, top: int = TOP, known: Mapping[str, str] | None = None) -> DataFrame:
-    """Adds base_margin and ``factors``: array of (feature, label, group, value, shap, direction), the ``top`` largest by absolute Shapley value, zeros left out.
+    """Adds base_margin and ``factors``: array of (feature, label, group, value, text, shap, direction), the ``top`` largest by absolute Shapley value, zeros left out.
 
-    ``known``: labels of features, see ``names.label``. The trees are broadcast (their size is the model's); rows stream through as vectors,
-    nothing is shuffled.
+    A number stands in ``value``, a category in ``text``. ``known``: labels of features, see ``names.label``. The trees are broadcast (their
+    size is the model's); rows stream through with their features, nothing is shuffled.
     """
-    names = [f for f in artifact.features if f not in artifact.categories] + list(artifact.categories)
-    trees = rows.sparkSession.sparkContext.broadcast(leaves(artifact))
-    seen = _row_vectors(rows, artifact, *rows.columns)
+    names = artifact.model.features
+    shared = rows.sparkSession.sparkContext.broadcast((artifact.model, leaves(artifact)))
     info = {n: (labels.label(n, known), labels.group(n)) for n in names}
-    kind = "array<struct<feature:string,label:string,group:string,value:double,shap:double,direction:string>>"
+    kind = "array<struct<feature:string,label:string,group:string,value:double,text:string,shap:double,direction:string>>"
+    columns = [f"_x{i}" for i in range(len(names))]
 
     def explained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, own = shared.value
         for pdf in batches:
-            x = np.stack(pdf["_x"].to_numpy()) if len(pdf) else np.zeros((0, len(names)))
-            phi, base = shapley(x, trees.value)
+            values = [pdf[c].to_numpy() for c in columns]
+            phi, base = shapley(model.binned(values), own)
             order = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :top]
-            factors = [
-                [{"feature": names[j], "label": info[names[j]][0], "group": info[names[j]][1], "value": None if x[i, j] == MISSING else float(x[i, j]), "shap": float(phi[i, j]), "direction": "up" if phi[i, j] > 0 else "down"} for j in order[i] if phi[i, j] != 0]
-                for i in range(len(x))
-            ]
-            yield pdf.drop(columns="_x").assign(base_margin=base, factors=factors)
+            factors = [[_factor(names[j], info[names[j]], values[j][i], j < len(model.edges), float(phi[i, j])) for j in order[i] if phi[i, j] != 0] for i in range(len(pdf))]
+            yield pdf.drop(columns=columns).assign(base_margin=base, factors=factors)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return seen.mapInPandas(explained, f"{fields}, base_margin double, factors {kind}")
+    return rows.select("*", *artifact.model.columns(rows)).mapInPandas(explained, f"{fields}, base_margin double, factors {kind}")
+
+
+def _factor(name: str, info: tuple[str, str], value: object, number: bool, phi: float) -> dict:
+    given = value is not None and value == value
+    return {"feature": name, "label": info[0], "group": info[1], "value": float(value) if number and given else None, "text": str(value) if given and not number else None, "shap": phi, "direction": "up" if phi > 0 else "down"}
 
 
 def mean_abs_shap(rows: DataFrame, artifact: Artifact, top: int = 25) -> DataFrame:
     """feature, mean_abs_shap: the mean absolute Shapley value over all ``rows``, of the ``top`` features. Each task sums its rows; the sums are shuffled."""
-    names = [f for f in artifact.features if f not in artifact.categories] + list(artifact.categories)
-    trees = rows.sparkSession.sparkContext.broadcast(leaves(artifact))
-    seen = _row_vectors(rows, artifact)
+    names = artifact.model.features
+    shared = rows.sparkSession.sparkContext.broadcast((artifact.model, leaves(artifact)))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, own = shared.value
         total, n = np.zeros(len(names)), 0
         for pdf in batches:
             if len(pdf):
-                total += np.abs(shapley(np.stack(pdf["_x"].to_numpy()), trees.value)[0]).sum(axis=0)
+                total += np.abs(shapley(model.binned([pdf[c].to_numpy() for c in pdf.columns]), own)[0]).sum(axis=0)
                 n += len(pdf)
         if n:
             yield pd.DataFrame({"feature": names, "s": total, "n": n})
 
+    seen = rows.select(*artifact.model.columns(rows))
     sums = seen.mapInPandas(summed, "feature string, s double, n long").groupBy("feature").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     return sums.select("feature", (F.col("s") / F.col("n")).alias("mean_abs_shap")).orderBy(F.desc("mean_abs_shap"), "feature").limit(top)
 

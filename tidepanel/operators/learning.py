@@ -4,29 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.operators import metrics, promotion
+from tidepanel.operators import boosting, metrics, promotion
 from tidepanel.sources import files
 
-#: Stands for null: trees take no missing values, so they get a side of their own.
-MISSING = -1e9
-#: Trees at most (they stop where the loss on val rises), their depth, and the weight of a tree. Spark fits one tree after another, in a job or
-#: two a level, so the number is bounded by time: see the README for what they take.
-TREES, DEPTH, STEP = 40, 6, 0.1
-
 
 @dataclass
 class Artifact:
-    """A model with its feature contract; ``stages`` index categories, assemble and classify, ``calibrator`` maps its probability."""
+    """Trees with their feature contract, and the ``calibrator`` that maps their probability."""
 
-    stages: PipelineModel
+    model: boosting.Boosted
     calibrator: IsotonicRegressionModel
     features: list[str]
     categories: list[str]
@@ -34,34 +24,24 @@ class Artifact:
     metrics: dict[str, float]
     periods: list[int]
 
-    def aligned(self, rows: DataFrame) -> DataFrame:
-        """Every feature of the contract is there, under names of its own, so the columns of ``rows`` stay as they are: absent ones as null, nulls as
-        ``MISSING`` or an empty category; unseen categories get an index of their own."""
-        have = set(rows.columns)
-        own = {}
-        for f in self.features:
-            if f in self.categories:
-                own[f"_k_{f}"] = F.coalesce(F.col(f).cast("string"), F.lit("")) if f in have else F.lit("")
-            else:
-                own[f"_f_{f}"] = F.coalesce(F.col(f).cast("double"), F.lit(MISSING)) if f in have else F.lit(MISSING)
-        return rows.withColumns(own)
-
     def score(self, rows: DataFrame) -> DataFrame:
-        """Adds ``probability``, calibrated."""
-        raw = self.stages.transform(self.aligned(rows)).withColumn("_raw", vector_to_array("probability")[1]).drop("probability")
-        return self.calibrator.transform(raw).withColumn("probability", F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0)))
+        """Adds ``probability``, calibrated. Features that ``rows`` lacks, nulls and categories that weren't there in training go the way that trees have for nulls."""
+        out = self.calibrator.transform(self.model.score(rows)).drop("_raw")
+        return out.withColumn("probability", F.least(F.greatest("_calibrated", F.lit(0.0)), F.lit(1.0))).drop("_calibrated")
 
     def save(self, folder: str) -> None:
-        """The models, and last the metadata, without which a folder holds no artifact."""
-        self.stages.write().overwrite().save(f"{folder}/stages")
+        """Calibrator and trees, and last the metadata, without which a folder holds no artifact."""
+        spark = SparkSession.active()
         self.calibrator.write().overwrite().save(f"{folder}/calibrator")
+        files.write_json(spark, f"{folder}/trees.json", self.model.as_json())
         data = {k: getattr(self, k) for k in ("features", "categories", "threshold", "metrics", "periods")}
-        files.write_json(SparkSession.active(), f"{folder}/metadata.json", data)
+        files.write_json(spark, f"{folder}/metadata.json", data)
 
     @classmethod
     def load(cls, folder: str) -> Artifact:
-        data = files.read_json(SparkSession.active(), f"{folder}/metadata.json")
-        return cls(PipelineModel.load(f"{folder}/stages"), IsotonicRegressionModel.load(f"{folder}/calibrator"), **data)
+        spark = SparkSession.active()
+        data = files.read_json(spark, f"{folder}/metadata.json")
+        return cls(boosting.Boosted.of_json(files.read_json(spark, f"{folder}/trees.json")), IsotonicRegressionModel.load(f"{folder}/calibrator"), **data)
 
 
 def evaluate(scored: DataFrame, label: str = "churn", score: str = "probability") -> dict[str, float]:
@@ -73,29 +53,18 @@ def isotonic(rows: DataFrame, label: str = "label", raw: str = "_raw", to: str =
     return IsotonicRegression(featuresCol=raw, labelCol=label, predictionCol=to).fit(rows)
 
 
-def train(split: DataFrame, features: list[str], categories: list[str] = (), trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = 7) -> Artifact:
-    """From rows with ``churn`` and ``split``: trees on train (positives weighed up to the negatives, stopped by the loss on val), isotonic calibration and the threshold on val, metrics on test."""
+def train(split: DataFrame, features: list[str], categories: list[str] = (), settings: boosting.Settings | None = None) -> Artifact:
+    """From rows with ``churn`` and ``split``: trees on train (positives weighed up to the negatives, stopped by average precision on val), isotonic calibration and the threshold on val, metrics on test."""
     counts = split.filter("split = 'train'").agg(F.count_if(F.col("churn") == 1), F.count_if(F.col("churn") == 0)).first()
     if not counts[0] or not counts[1]:
         raise ValueError("the training periods have one class only")
-    shell = Artifact(None, None, list(features), list(categories), 0.5, {}, [])
-    rows = shell.aligned(split).withColumns({"_weight": F.when(F.col("churn") == 1, counts[1] / counts[0]).otherwise(1.0), "_val": F.col("split") == "val", "label": F.col("churn").cast("double")})
-    indexers = [StringIndexer(inputCol=f"_k_{c}", outputCol=f"_c_{c}", handleInvalid="keep").fit(rows.filter("split = 'train'")) for c in categories]
-    numbers = [f"_f_{f}" for f in features if f not in categories]
-    # through an expression, so that indexes are plain numbers and not nominal attributes with a bound on their values
-    plain = [SQLTransformer(statement="SELECT *, " + ", ".join(f"`_c_{c}` + 0D AS `_n_{c}`" for c in categories) + " FROM __THIS__")] if categories else []
-    stages = [*indexers, *plain, VectorAssembler(inputCols=[*numbers, *[f"_n_{c}" for c in categories]], outputCol="_features")]
-    for s in stages:
-        rows = s.transform(rows)
-    known = rows.filter("split in ('train', 'val')").cache()
-    model = GBTClassifier(
-        featuresCol="_features", labelCol="label", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=seed, validationIndicatorCol="_val", validationTol=0.0, maxBins=64, predictionCol="_prediction"
-    ).fit(known)
-    scored = model.transform(known.filter("split = 'val'")).withColumn("_raw", vector_to_array("probability")[1]).drop("probability")
-    calibrator = isotonic(scored)
-    known.unpersist()
+    numbers = [f for f in features if f not in categories]
+    known = split.filter("split IN ('train', 'val') AND churn IS NOT NULL")
+    known = known.withColumns({"_weight": F.when(F.col("churn") == 1, counts[1] / counts[0]).otherwise(1.0), "_val": F.col("split") == "val"})
+    model = boosting.fit(known, numbers, list(categories), "churn", "_weight", "_val", settings)
+    calibrator = isotonic(model.score(known.filter("_val")).select(F.col("churn").cast("double").alias("label"), "_raw"))
     periods = sorted(r["period"] for r in split.filter("split = 'train'").select("period").distinct().collect())
-    out = Artifact(PipelineModel([*stages, model]), calibrator, list(features), list(categories), 0.5, {}, periods)
+    out = Artifact(model, calibrator, list(features), list(categories), 0.5, {}, periods)
     out.threshold = evaluate(out.score(split.filter("split = 'val'")))["threshold"]
     out.metrics = evaluate(out.score(split.filter("split = 'test'")))
     return out
@@ -103,9 +72,7 @@ def train(split: DataFrame, features: list[str], categories: list[str] = (), tre
 
 def gain_importance(artifact: Artifact, top: int = 30) -> list[tuple[str, float, float]]:
     """(feature, gain, percent of what is shown), most first."""
-    names = [f for f in artifact.features if f not in artifact.categories] + list(artifact.categories)
-    gains = artifact.stages.stages[-1].featureImportances.toArray()
-    own = sorted(zip(names, map(float, gains), strict=True), key=lambda x: (-x[1], x[0]))[:top]
+    own = sorted(zip(artifact.model.features, map(float, artifact.model.gains()), strict=True), key=lambda x: (-x[1], x[0]))[:top]
     total = sum(g for _, g in own) or 1.0
     return [(n, g, g * 100 / total) for n, g in own]
 

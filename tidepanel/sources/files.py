@@ -5,11 +5,16 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import weakref
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folders behind tables that ``kept`` has made.
+_KEPT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def _of(spark: SparkSession, path: str):
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
@@ -31,6 +36,22 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return fs.getFileStatus(own).getModificationTime() if fs.exists(own) else None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, own = _of(spark, path)
+    fs.delete(own, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """One step on file systems that have it; what was at ``to`` is replaced."""
+    fs, own = _of(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if not fs.rename(own, target):
+        # most file systems don't rename over a file
+        fs.delete(target, False)
+        if not fs.rename(own, target):
+            raise OSError(f"{path} couldn't be renamed to {to}")
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     if not exists(spark, path):
         raise FileNotFoundError(path)
@@ -76,8 +97,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet (by some columns) and read back: what several queries read is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}/{name}"
+    """``df`` written to the shared folder as Parquet (by some columns) and read back: what several queries read is computed once, until ``release``."""
+    folder = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer.parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.parquet(f"{folder}/{name}")
+    _KEPT[out] = folder
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables made by ``kept`` that nothing reads any more; other DataFrames are left alone."""
+    for t in tables:
+        if folder := _KEPT.pop(t, None):
+            delete(t.sparkSession, folder)
