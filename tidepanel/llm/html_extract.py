@@ -207,7 +207,7 @@ def learn(pages: DataFrame, key: str = "page_id", html: str = "html") -> Model:
     own = frames.column(html)
     tells = own.rlike("(?i)<(article|main)[\\s>]") & (F.octet_length(own) <= SAMPLE_BYTES)
     hashed = pages.filter(tells).select(own.alias("html"), F.xxhash64(frames.column(key), own).alias("hash"))
-    share, drawn = min(1.0, 8 * SAMPLE_PAGES / max(1, pages.count())), []
+    share, drawn = min(1.0, 2 * SAMPLE_PAGES / max(1, pages.count())), []
     while True:
         # a share of all hashes first: each task sends its own candidates to the driver, so these must not grow with the tasks
         within = hashed.filter(F.shiftrightunsigned("hash", 40) < int(share * (1 << 24)))
