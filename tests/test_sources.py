@@ -116,7 +116,7 @@ def test_batches_are_replaced_by_period(spark, tmp_path):
     assert kept.view("summary")["threshold"] == 0.4 and kept.view("importance", 202401) == [{"feature": "f"}] and kept.view("model")["features"] is None
     with pytest.raises(KeyError):
         kept.resolve(202403)
-    (tmp_path / "out" / "202405").mkdir()  # without metadata a batch isn't there yet
+    (tmp_path / "out" / "202405" / "versions" / "1-a").mkdir(parents=True)  # without a commit a batch isn't there
     assert kept.resolve() == 202402 and kept.health(str(tmp_path), str(tmp_path / "out" / "latest.json")) == {"status": "ok", "periods": [202402, 202401], "model": False, "report": True}
     text = spark.createDataFrame([(1, '[{"feature":"a","shap":2.0}]'), (2, "no json"), (3, None)], "id int, factors string")
     kept.write(text, 202406, {})

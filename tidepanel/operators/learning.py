@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import boosting, metrics, promotion
 from tidepanel.sources import files
+from tidepanel.sources.versions import Versions
 
 
 @dataclass
@@ -93,38 +94,54 @@ def challenge(test: DataFrame, candidate: Artifact, champion: Artifact | None, r
 
 
 class Registry:
-    """Champion and releases below a folder on any file system, with a log; promotion copies, rollback promotes an older release."""
+    """Champion and releases below a folder on any file system, with a log; promotion copies, rollback promotes an older release.
+
+    Champion and releases are folders of versions (see ``versions``): the model, ``release.json`` and the log change in one step, so whatever
+    fails before it leaves the old champion. ``registry.json`` repeats the log for other readers.
+    """
 
     def __init__(self, folder: str):
         self.folder = folder
 
-    def _log(self) -> list[dict]:
-        path = f"{self.folder}/registry.json"
+    def _versions(self, name: str) -> Versions:
+        return Versions(SparkSession.active(), f"{self.folder}/{name}")
+
+    def release(self) -> dict | None:
+        """What is known of the champion: version, metrics and ``log``, the entries of all promotions, the last one its own."""
+        at = self._versions("champion").current()
+        return files.read_json(SparkSession.active(), f"{at}/release.json") if at else None
+
+    def _crown(self, artifact: Artifact, version: str, entry: dict) -> None:
         spark = SparkSession.active()
-        return files.read_json(spark, path) if files.exists(spark, path) else []
+        log = [*(self.release() or {"log": []})["log"], {"version": version, **entry}]
+
+        def filled(at: str) -> None:
+            artifact.save(at)
+            files.write_json(spark, f"{at}/release.json", {"version": version, "metrics": artifact.metrics, "log": log})
 
-    def _note(self, entry: dict) -> None:
-        files.write_json(SparkSession.active(), f"{self.folder}/registry.json", [*self._log(), entry])
+        self._versions("champion").write(filled)
+        files.write_json(spark, f"{self.folder}/registry.json", log, files.replace_text)
 
     def promote(self, artifact: Artifact, version: str, decided: dict) -> bool:
         """Writes the decision (JSON and Markdown) in any case, and if it is for promotion the release and the champion."""
         spark, at = SparkSession.active(), f"{self.folder}/decisions/{version}"
-        files.write_json(spark, f"{at}/decision.json", decided)
-        files.write_text(spark, f"{at}/decision.md", promotion.as_markdown(decided, artifact.metrics, decided.get("champion"), version, decided.get("same_test", True)))
+        files.write_json(spark, f"{at}/decision.json", decided, files.replace_text)
+        files.replace_text(spark, f"{at}/decision.md", promotion.as_markdown(decided, artifact.metrics, decided.get("champion"), version, decided.get("same_test", True)))
         if not decided["promote"]:
             return False
-        artifact.save(f"{self.folder}/releases/{version}")
-        artifact.save(f"{self.folder}/champion")
-        files.write_json(spark, f"{self.folder}/champion/release.json", {"version": version, "metrics": artifact.metrics})
-        self._note({"version": version, "metrics": artifact.metrics, "decision": decided})
+        self._versions(f"releases/{version}").write(artifact.save)
+        self._crown(artifact, version, {"metrics": artifact.metrics, "decision": decided})
         return True
 
     def champion(self) -> Artifact | None:
-        return Artifact.load(f"{self.folder}/champion") if self._log() else None
+        at = self._versions("champion").current()
+        return Artifact.load(at) if at else None
 
     def rollback(self, version: str) -> Artifact:
-        own = Artifact.load(f"{self.folder}/releases/{version}")
-        own.save(f"{self.folder}/champion")
-        files.write_json(SparkSession.active(), f"{self.folder}/champion/release.json", {"version": version, "metrics": own.metrics})
-        self._note({"version": version, "rollback": True})
+        """The champion becomes an older release; one that isn't there is an error."""
+        at = self._versions(f"releases/{version}").current()
+        if not at:
+            raise KeyError(version)
+        own = Artifact.load(at)
+        self._crown(own, version, {"rollback": True})
         return own

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +26,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(own)
 
 
-def folders(spark: SparkSession, path: str) -> list[str]:
-    """The names of the folders in a folder; none where it isn't there."""
+def names(spark: SparkSession, path: str, folders: bool = False) -> list[str]:
+    """What a folder holds, or the folders in it alone, in order; nothing where it isn't there."""
     fs, own = _of(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(own) if s.isDirectory()) if fs.exists(own) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(own) if not folders or s.isDirectory()) if fs.exists(own) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Creates an empty file; one that is there is an error."""
+    fs, own = _of(spark, path)
+    fs.create(own, False).close()
 
 
 def modified(spark: SparkSession, path: str) -> int | None:
@@ -41,15 +48,17 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(own, True)
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    """One step on file systems that have it; what was at ``to`` is replaced."""
-    fs, own = _of(spark, path)
-    target = spark._jvm.org.apache.hadoop.fs.Path(to)
-    if not fs.rename(own, target):
-        # most file systems don't rename over a file
-        fs.delete(target, False)
-        if not fs.rename(own, target):
-            raise OSError(f"{path} couldn't be renamed to {to}")
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in place of another of that name, which readers see until it is replaced: written beside it, then renamed over it."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    write_text(spark, beside, text)
+    jvm, context = spark._jvm, spark.sparkContext
+    fs = jvm.org.apache.hadoop.fs
+    old, new = fs.Path(beside), fs.Path(path)
+    over = context._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    over[0] = getattr(fs, "Options$Rename").OVERWRITE
+    conf = spark._jsc.hadoopConfiguration()
+    fs.FileContext.getFileContext(old.getFileSystem(conf).getUri(), conf).rename(old, new, over)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -80,8 +89,8 @@ def read_json(spark: SparkSession, path: str) -> Any:
     return json.loads(read_text(spark, path))
 
 
-def write_json(spark: SparkSession, path: str, data: Any) -> None:
-    write_text(spark, path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
+def write_json(spark: SparkSession, path: str, data: Any, write: Callable[[SparkSession, str, str], None] = write_text) -> None:
+    write(spark, path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
 
 
 def shared_folder(spark: SparkSession) -> str:

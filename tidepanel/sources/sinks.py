@@ -12,20 +12,6 @@ from tidepanel.sources import files
 from tidepanel.spec import MARKETS, MODULES, PLAN_RANK
 
 
-def write_text(spark, path: str, text: str) -> None:
-    """A small file by Spark's file system, so that any store will do."""
-    own = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own, True)
-    try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-
-
-def write_json(df_session, path: str, data: Any) -> None:
-    write_text(df_session, path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
-
-
 def report_rows(frames: dict[str, DataFrame], limit: int = 10_000) -> dict[str, list[dict]]:
     """Small result tables as lists of records; a table above ``limit`` rows is refused rather than cut."""
     out = {}
