@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.operators.panel import period_of
+from tidepanel.sources import quoted_csv
 
 HEX24 = "^[0-9a-fA-F]{24}$"
-#: Names under which an account id is looked for in a companies export, in this order.
+#: Names under which an account id is looked for in a companies export, in this order; those of a product come as a parameter.
 ID_NAMES = ("company_id", "external_id", "id_de_dash", "dash_id", "account_id")
 SAMPLE = 50
 
@@ -40,11 +41,9 @@ def flattened(rows: DataFrame, attributes: dict[str, str]) -> DataFrame:
 def load_tickets(spark: SparkSession, path: str, attributes: dict[str, str] | None = None) -> DataFrame:
     """The export at ``path``: quoted multi-line CSV, a byte order mark in the header allowed; columns that nobody asks for are never parsed.
 
-    Quoted line ends can't be told from the middle of a file, so a file is read by one task: a large export should come in several files.
+    A file is read by as many tasks as it has blocks, see ``quoted_csv``.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
-    return flattened(rows, attributes or {"ID de dash": "explicit_id"})
+    return flattened(quoted_csv.read(spark, path), attributes or {"ID de dash": "explicit_id"})
 
 
 def hex_share(df: DataFrame, names: list[str]) -> DataFrame:
@@ -83,14 +82,15 @@ def guess_id(df: DataFrame, exclude: set[str]) -> str | None:
     return best
 
 
-def load_companies(spark: SparkSession, path: str) -> DataFrame:
-    """company_ref, account_id: found by name or by content; rows without an id go, of repeated references the first in the files stays."""
+def load_companies(spark: SparkSession, path: str, id_names: tuple[str, ...] = ()) -> DataFrame:
+    """company_ref, account_id: found by name (``ID_NAMES``, then ``id_names``; case, blanks and hyphens don't matter) or by content; rows without an id go, of repeated references the first in the files stays."""
     df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.option("header", True).csv(path)
     ref = find_reference(df)
     if ref is None:
         raise ValueError("no column of company references")
-    named = {c.lower().replace(" ", "_").replace("-", "_"): c for c in df.columns}
-    own = next((named[n] for n in ID_NAMES if n in named and named[n] != ref), None) or guess_id(df, {ref})
+    plain = lambda n: n.lower().replace(" ", "_").replace("-", "_")
+    named = {plain(c): c for c in df.columns}
+    own = next((named[n] for n in (*ID_NAMES, *map(plain, id_names)) if n in named and named[n] != ref), None) or guess_id(df, {ref})
     if own is None:
         raise ValueError("no column of account ids")
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
