@@ -81,7 +81,11 @@ def temporal(panel: DataFrame, metrics: list[str], core: list[str] = (), steps:
 
     The slope is that of the least-squares line through t-3..t and null unless all four are there. Columns that exist are not replaced.
     """
-    out = lags(panel, metrics, steps)
+    return from_lags(lags(panel, metrics, steps), metrics, core, steps, window)
+
+
+def from_lags(out: DataFrame, metrics: list[str], core: list[str] = (), steps: tuple[int, ...] = (1, 2, 3), window: int = 3) -> DataFrame:
+    """The features of ``temporal``, from a table that has the structs ``_lag{k}``; these go."""
     at = lambda m, k: F.col(f"_lag{k}.{m}")
     new: dict[str, Column] = {}
     for m in metrics:
@@ -97,7 +101,7 @@ def temporal(panel: DataFrame, metrics: list[str], core: list[str] = (), steps:
             new[f"{m}_delta_3m"] = now - at(m, 3)
             if {1, 2} <= set(steps):
                 new[f"{m}_slope_3m"] = (-1.5 * at(m, 3) - 0.5 * at(m, 2) + 0.5 * at(m, 1) + 1.5 * now) / 5
-    return out.withColumns({k: v for k, v in new.items() if k not in panel.columns}).drop(*[f"_lag{k}" for k in steps])
+    return out.withColumns({k: v for k, v in new.items() if k not in out.columns}).drop(*[f"_lag{k}" for k in steps])
 
 
 def history(panel: DataFrame) -> DataFrame:
