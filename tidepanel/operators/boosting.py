@@ -17,12 +17,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import types as T
 
 from tidepanel.sources import files
 
@@ -37,7 +36,7 @@ GRID = 4096
 
 @dataclass
 class Settings:
-    """``rows`` and ``columns``: the shares drawn for each tree. ``patience``: trees without a better average precision on the validation rows before fitting ends."""
+    """``rows`` and ``columns``: the shares drawn for each tree. ``patience``: trees without a better average precision on the validation rows before fitting ends; one tree stays at least."""
 
     trees: int = 60
     depth: int = 5
@@ -128,15 +127,18 @@ class Boosted:
         return total
 
     def score(self, rows: DataFrame, to: str = "_raw") -> DataFrame:
-        """Adds the probability before calibration."""
+        """Adds the probability before calibration; the columns of ``rows`` go along as one struct."""
         model = rows.sparkSession.sparkContext.broadcast(self)
 
-        @pandas_udf("double")
-        def probability(features: pd.DataFrame) -> pd.Series:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = model.value
-            return pd.Series(_sigmoid(own.margins(own.binned([features[c].to_numpy() for c in features.columns]))))
+            for b in batches:
+                values = [c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_sigmoid(own.margins(own.binned(values))))], ["row", to])
 
-        return rows.withColumn(to, probability(F.struct(*self.columns(rows))))
+        whole = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *self.columns(rows))
+        out = whole.mapInArrow(scored, T.StructType([whole.schema["row"], T.StructField(to, T.DoubleType())]))
+        return out.select("row.*", to)
 
     def gains(self) -> np.ndarray:
         out = np.zeros(len(self.features))
@@ -298,9 +300,9 @@ def fit(rows: DataFrame, numbers: list[str], categories: list[str], label: str,
         while True:
             columns = np.sort(draw.choice(len(model.features), max(1, round(s.columns * len(model.features))), replace=False))
             tree, precision = _grown(held[-1], model.trees, folded, columns, len(model.edges), s)
-            if precision is not None and precision > best[0]:
+            if precision is not None and model.trees and precision > best[0]:
                 best = (precision, len(model.trees))
-            stale = precision is not None and len(model.trees) - best[1] >= s.patience
+            stale = precision is not None and model.trees and len(model.trees) - best[1] >= s.patience
             if tree is None or stale:
                 break
             model.trees.append(tree)
