@@ -364,7 +364,7 @@ def test_own_labels_are_left_out_of_rates(spark):
     rows = [(f"http://h.x{i}/a", f"x{i}", f"h.x{i}", "/", i % 2) for i in range(10)]
     own = spark.createDataFrame(rows, "url string, _last_label string, _last_labels string, _ending string, _blocked int")
     counts = url_filter.suffix_counts(own)
-    overall = url_filter.overall_rate(counts)
+    overall = url_filter.overall_rate(own)
     assert overall == 0.5
     with_own = url_filter.with_suffix_rates(own, counts, overall).select("_blocked", "_one_rate").collect()
     without = url_filter.with_suffix_rates(own, counts, overall, own_label=True).select("_blocked", "_one_rate", "_one_seen", "_end_rate").collect()
@@ -398,7 +398,7 @@ def test_very_long_urls(spark):
 
 
 def test_urls_odd_rows(odd_docs, no_docs, passed_through):
-    passed_through(url_filter.judged(odd_docs, RULES, url="text"), ("host", "path", "rule", "verdict"))
+    passed_through(url_filter.judged(odd_docs, RULES, url="text"), ("host", "path", "rule", "verdict", "score"))
     assert url_filter.judged(no_docs, RULES, url="text").count() == 0
 
 
@@ -409,3 +409,22 @@ def test_urls_nothing_to_learn(spark):
     assert url_filter.judged(pages.limit(0), RULES).count() == 0
     with pytest.raises(Exception):  # noqa: B017
         url_filter.judged(pages.drop("url"), RULES).count()
+
+
+def test_wide_pages_stay_where_they_are(spark, monkeypatch):
+    """No join moves a page: the rates are broadcast, and bounded; scores are the trees' own."""
+    rows = [(i, f"https://h{i % 40}.example.{'net' if i % 2 else 'com'}/p{i}.html", "<p>" * 50) for i in range(600)] + [(9000 + i, f"https://u{i}.example.com/x", "w") for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("block", f"h{i}.example.com/") for i in range(0, 40, 2)] + [("allow", f"h{i}.example.net/") for i in range(1, 40, 2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = url_filter.judged(pages, rules)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+        got = out.collect()
+        assert all((r["score"] is None) == (r["rule"] is not None) for r in got)
+        assert all(0 <= r["score"] <= 1 and (r["score"] > 0.5) == (r["verdict"] == "block") for r in got if r["rule"] is None)
+        monkeypatch.setattr(url_filter, "MOST_SUFFIXES", 3)
+        assert url_filter.judged(pages, rules).count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -32,7 +32,7 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = frames.table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judged(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
