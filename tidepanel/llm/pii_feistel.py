@@ -100,21 +100,43 @@ def _luhn(digits: str, first: int) -> str:
     return f"aggregate(transform(split(reverse({digits}), ''), (c, k) -> CASE WHEN (k + {first}) % 2 = 0 THEN cast(c AS int) ELSE (cast(c AS int) * 2) div 10 + (cast(c AS int) * 2) % 10 END), 0L, (a, x) -> a + x)"
 
 
+#: Groups of digits that are taken together before their results are put to those of the others: what is copied as arrays grow.
+CHUNK = 256
+
+
+def _chunked(name: str, items: str, start: str, fields: tuple[str, ...], out: str, step: str) -> str:
+    """A struct of ``fields`` and ``out`` (an array of arrays) after ``step``, from (z, w) for each of ``items``, which extends ``z.out``; chunk by chunk, so that an array never grows long one by one."""
+    empty = f"cast(array() AS array<{out}>)"
+    carried = ", ".join(f"'{f}', {name}.{f}" for f in fields)
+    inner = f"aggregate(c, named_struct({carried}, 'out', {empty}), (z, w) -> {step})"
+    joined = _let("r", inner, f"named_struct({', '.join(f"'{f}', r.{f}" for f in fields)}, 'out', concat({name}.out, array(r.out)))")
+    chunks = f"transform(sequence(0, (size({items}) - 1) div {CHUNK}), c -> slice({items}, cast(c * {CHUNK} + 1 AS int), {CHUNK}))"
+    return f"aggregate({chunks}, named_struct({start}, 'out', cast(array() AS array<array<{out}>>)), ({name}, c) -> {joined})"
+
+
 def _card(m: str, key: str, back: bool) -> str:
     """A struct of n and text: how many cards a run of groups has, and the run with each of them permuted.
 
     Of the sub-runs that start at a group the longest that passes Luhn counts; from left to right each is a card, or the longest that starts within it.
+    Luhn sums of sub-runs are differences of two running sums over the whole run, with every even digit doubled and with every odd one, so
+    a run of any length takes time in proportion to it.
     """
-    valid = _let("d", "array_join(slice(g, i + 1, x), '')", f"length(d) BETWEEN {LEAST} AND {MOST} AND {_luhn('d', 0)} % 10 = 0")
-    longest = _let("k", f"coalesce(get(filter(sequence(least({MOST}, size(g) - i), 1, -1), x -> {valid}), 0), 0)", "named_struct('k', k, 'n', length(array_join(slice(g, i + 1, k), '')))")
+    doubled, plain = "cast(substr('0246813579', cast(d AS int) + 1, 1) AS int)", "cast(d AS int)"
+    digit = f"named_struct('p', v.p + 1, 'x', v.x + CASE WHEN v.p % 2 = 0 THEN {doubled} ELSE {plain} END, 'y', v.y + CASE WHEN v.p % 2 = 0 THEN {plain} ELSE {doubled} END)"
+    group = f"aggregate(split(w, ''), named_struct('p', z.p, 'x', z.x, 'y', z.y), (v, d) -> {digit})"
+    sums = _chunked("zz", "g", "'p', 0, 'x', 0, 'y', 0", ("p", "x", "y"), "struct<p:int,x:int,y:int>", _let("q", group, "named_struct('p', q.p, 'x', q.x, 'y', q.y, 'out', concat(z.out, array(q)))"))
+    running = f"concat(array(named_struct('p', 0, 'x', 0, 'y', 0)), flatten({sums}.out))"
+    # from group i on, x groups: digits from i to e; the last digit is plain, so what is doubled are those of the other parity
+    between = _let("e", "f[i + x]", f"e.p - f[i].p BETWEEN {LEAST} AND {MOST} AND (CASE WHEN e.p % 2 = 0 THEN e.x - f[i].x ELSE e.y - f[i].y END) % 10 = 0")
+    longest = _let("k", f"coalesce(get(filter(sequence(least({MOST}, size(g) - i), 1, -1), x -> {between}), 0), 0)", "named_struct('k', k, 'n', f[i + k].p - f[i].p)")
     own = _let("d", _digits("u"), _let("q", _number("substr(d, 1, length(d) - 1)", key, "'card'", back), _let("e", f"concat(q, cast((10 - {_luhn('q', 1)} % 10) % 10 AS string))", _in_format("u", "e"))))
     best = "aggregate(sequence(w, w + s[w].k - 1), w, (b, h) -> CASE WHEN s[h].n > s[b].n THEN h ELSE b END)"
     card = _let("u", "array_join(slice(t, j + 1, s[j].k), '')", own)
     taken = _let("j", best, f"named_struct('at', j + s[j].k, 'n', z.n + 1, 'out', concat(z.out, array(array_join(slice(t, z.at + 1, j - z.at), ''), {card})))")
-    start = "named_struct('at', 0, 'n', 0, 'out', cast(array() AS array<string>))"
-    found = f"aggregate(sequence(0, size(g) - 1), {start}, (z, w) -> CASE WHEN w < z.at OR s[w].k = 0 THEN z ELSE {taken} END)"
-    out = _let("r", found, "named_struct('n', r.n, 'text', array_join(concat(r.out, slice(t, r.at + 1, size(t))), ''))")
-    parts = _let("s", f"transform(g, (y, i) -> {longest})", _let("t", f"regexp_extract_all({m}, '[0-9]+[ -]?', 0)", out))
+    found = _chunked("zz", "places", "'at', 0, 'n', 0", ("at", "n"), "string", f"CASE WHEN w < z.at OR s[w].k = 0 THEN z ELSE {taken} END")
+    out = _let("r", _let("places", "sequence(0, size(g) - 1)", found), "named_struct('n', r.n, 'text', array_join(concat(flatten(r.out), slice(t, r.at + 1, size(t))), ''))")
+    some = "CASE WHEN exists(s, o -> o.k > 0) THEN " + out + f" ELSE named_struct('n', 0, 'text', {m}) END"
+    parts = _let("f", running, _let("s", f"transform(g, (y, i) -> {longest})", _let("t", f"regexp_extract_all({m}, '[0-9]+[ -]?', 0)", some)))
     return _let("g", f"split({m}, '[ -]')", parts)
 
 
