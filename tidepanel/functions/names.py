@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 MODULE_PREFIX = "plan_module_"
@@ -24,19 +25,17 @@ def _words(name: str) -> str:
     return text[:1].upper() + text[1:]
 
 
+#: A name in parts: a module's code, or a metric and what is derived from it.
+PARTS = re.compile(rf"{MODULE_PREFIX}(?P<module>.*)|(?P<metric>.*?)(?P<suffix>{'|'.join(SUFFIXES)})?", re.DOTALL)
+
+
 def label(name: str, known: Mapping[str, str] | None = None, modules: Mapping[str, str] | None = None) -> str:
     """What a feature is called: as ``known`` says; a module by its name; with a suffix its metric's label and the suffix in words; else its own words."""
-    known = known or {}
-    if name in known:
-        return known[name]
-    if name.startswith(MODULE_PREFIX):
-        code = name.removeprefix(MODULE_PREFIX)
-        return f"Module {(modules or {}).get(code, code)}"
-    for suffix, said in SUFFIXES.items():
-        if name.endswith(suffix):
-            metric = name.removesuffix(suffix)
-            return f"{known.get(metric, _words(metric))} ({said})"
-    return _words(name)
+    said = known or {}
+    part = PARTS.fullmatch(name).groupdict()
+    module, metric, suffix = part["module"], part["metric"], part["suffix"]
+    own = f"Module {(modules or {}).get(module, module)}" if metric is None else said.get(metric, _words(metric)) + (f" ({SUFFIXES[suffix]})" if suffix else "")
+    return said.get(name, own)
 
 
 def group(name: str) -> str:

@@ -80,15 +80,21 @@ def dense_period_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).groupBy("period", "t").agg(F.count("*").alias("rows"))
 
 
-@register(query(CM, body="SELECT (y * 100 + m)::INTEGER AS period FROM range(1900, 2100) a(y), range(1, 13) b(m) WHERE y * 100 + m BETWEEN (SELECT min(period) FROM cm) AND (SELECT max(period) FROM cm) AND y * 100 + m NOT IN (SELECT period FROM cm)"))
+QUARTERS = (1, 4, 7, 10)
+_MISSING = "SELECT (y * 100 + m)::INTEGER AS period FROM range(1900, 2100) a(y), range(1, 13) b(m) WHERE y * 100 + m BETWEEN (SELECT min(period) FROM own) AND (SELECT max(period) FROM own) AND y * 100 + m NOT IN (SELECT period FROM own)"
+
+
+@register(query(CM, body=f"SELECT * FROM (WITH own AS (SELECT period FROM cm WHERE period % 100 IN {QUARTERS}) {_MISSING})"))
 def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel.missing_periods(adapters.customer_months(spark, sf_dir))
+    """What quarterly snapshots of the customers lack of a monthly panel."""
+    own = adapters.customer_months(spark, sf_dir)
+    return panel.missing_periods(own.filter(panel.month_of(F.col("period")).isin(*QUARTERS)))
 
 
-@register("""SELECT y AS period FROM range(1900, 2100) a(h), range(1, 13) b(m), (SELECT (h * 100 + m)::INTEGER AS y) WHERE y BETWEEN (SELECT min(period) FROM big) AND (SELECT max(period) FROM big) AND y NOT IN (SELECT period FROM big)""".replace("SELECT y AS period", "WITH big AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INTEGER AS period FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') SELECT y AS period", 1))
+@register(f"WITH own AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INTEGER AS period FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND quarter(o_orderdate) < 3) {_MISSING}")
 def missing_periods_of_pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months without any urgent order that is still pending: a panel with real holes."""
-    own = adapters.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
+    """Months without any urgent order of a first half year that is still pending: a panel with holes of half a year."""
+    own = adapters.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND quarter(o_orderdate) < 3")
     return panel.missing_periods(own.select(adapters.month_period(F.col("o_orderdate")).alias("period")))
 
 
@@ -647,7 +653,7 @@ def one_key_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH both_ids AS (SELECT user_id AS explicit_id, CASE WHEN event_type IN ('view', 'click') THEN (user_id * 3)::VARCHAR ELSE user_id::VARCHAR END AS ext FROM events),
-n AS (SELECT *, ext::BIGINT AS n FROM both_ids), r AS (SELECT 'short' AS rule, * FROM n WHERE length(ext) <= 2 UNION ALL
+n AS (SELECT *, ext::BIGINT AS n FROM pair_ids), r AS (SELECT 'short' AS rule, * FROM n WHERE length(ext) <= 2 UNION ALL
   SELECT 'in range', * FROM n WHERE n BETWEEN 1 AND (SELECT max(c_custkey) FROM customer) UNION ALL SELECT 'an account', * FROM n WHERE n IN (SELECT c_custkey FROM customer))
 SELECT rule, count(*) AS tickets, avg((n = explicit_id)::INT) AS agree_share, count(*) FILTER (WHERE n <> explicit_id) AS against FROM r GROUP BY rule""")
 def id_rule_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -668,12 +674,15 @@ def tickets_rescued(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARKET_LIST = "['ar', 'cl', 'co', 'br', 'mx', 'uy', 'int']"
 
 
-@register(f"""WITH item AS (SELECT kind, k, unnest({_MARKET_LIST}) AS m FROM (VALUES ('plan', 'ini'), ('plan', 'st'), ('plan', 'adv'), ('plan', 'fu'), ('module', 'tbl'), ('module', 'dv'), ('module', 'kds')) v(kind, k)),
+@register(query(CM, body=f"""SELECT * FROM (WITH item AS (SELECT kind, k, unnest({_MARKET_LIST}) AS m FROM (VALUES ('plan', 'ini'), ('plan', 'st'), ('plan', 'adv'), ('plan', 'fu'), ('module', 'tbl'), ('module', 'dv'), ('module', 'kds')) v(kind, k)),
 own AS (SELECT *, CASE k || '|' || m WHEN 'ini|ar' THEN 10.0::DOUBLE WHEN 'ini|mx' THEN 12.5::DOUBLE WHEN 'st|ar' THEN 20.0::DOUBLE WHEN 'st|br' THEN 22.25::DOUBLE WHEN 'adv|ar' THEN 31.4::DOUBLE WHEN 'fu|ar' THEN 99.0::DOUBLE
-  WHEN 'tbl|ar' THEN 3.25::DOUBLE WHEN 'tbl|cl' THEN 3.5::DOUBLE WHEN 'dv|ar' THEN 4.1::DOUBLE WHEN 'kds|mx' THEN 5.0::DOUBLE END AS p FROM item)
-SELECT a.kind, a.k AS item, a.m AS market, a.p AS own, coalesce(a.p, b.p) AS price FROM own a LEFT JOIN own b ON b.k = a.k AND b.m = 'ar'""")
+  WHEN 'tbl|ar' THEN 3.25::DOUBLE WHEN 'tbl|cl' THEN 3.5::DOUBLE WHEN 'dv|ar' THEN 4.1::DOUBLE WHEN 'kds|mx' THEN 5.0::DOUBLE END AS p FROM item),
+used AS (SELECT k, count(*) AS n FROM (SELECT unnest(list_distinct(string_split(lower(trim(plan)), '-'))) AS k FROM cm) GROUP BY k)
+SELECT a.kind, a.k AS item, a.m AS market, a.p AS own, coalesce(a.p, b.p) AS price, coalesce(n, 0)::BIGINT AS accounts FROM own a LEFT JOIN own b ON b.k = a.k AND b.m = 'ar' LEFT JOIN used ON used.k = a.k)"""))
 def price_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return BOOK.rows(spark)
+    """The price book with how many customer months have each item in their plan codes."""
+    used = risk.token_counts(adapters.customer_months(spark, sf_dir))
+    return BOOK.rows(spark).join(used.withColumnRenamed("token", "item"), "item", "left").select("kind", "item", "market", "own", "price", F.coalesce("accounts", F.lit(0)).alias("accounts"))
 
 
 @register(query(CM, PLAN, body=f"""SELECT kind, item, market, sum(n)::BIGINT AS accounts FROM (
@@ -740,10 +749,20 @@ def isotonic_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_raw").alias("score"), "accounts", F.round("_calibrated", 8).alias("calibrated"))
 
 
-@register("""SELECT * FROM (VALUES ('pr_auc', 'least', 0.2::DOUBLE, 0.51::DOUBLE, 0.5::DOUBLE, 0.31::DOUBLE, true), ('pr_auc', 'gain', 0.005::DOUBLE, 0.51::DOUBLE, 0.5::DOUBLE, 0.005::DOUBLE, true), ('roc_auc', 'loss', 0.01::DOUBLE, 0.88::DOUBLE, 0.9::DOUBLE, -0.01::DOUBLE, false)) v(metric, kind, "limit", candidate, champion, margin, met)""")
+@register(query(LAB, body=f"""SELECT * FROM (WITH score AS (SELECT 'candidate' AS model, {SCORE} AS score, churn FROM lab WHERE churn IS NOT NULL UNION ALL SELECT 'champion', floor({SCORE} * 10) / 10.0, churn FROM lab WHERE churn IS NOT NULL),
+counted AS (SELECT model, score, count(*) AS n, sum(churn) AS pos FROM score GROUP BY 1, 2),
+run AS (SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS hits, sum(n) OVER (PARTITION BY model) AS total, sum(pos) OVER (PARTITION BY model) AS positives FROM counted WINDOW w AS (PARTITION BY model ORDER BY score DESC)),
+metric AS (SELECT model, sum(pos / positives * hits / seen) AS pr_auc, sum((n - pos) * (hits - pos + pos / 2)) / (max(positives) * (max(total) - max(positives))) AS roc_auc FROM run GROUP BY model),
+pair AS (SELECT a.pr_auc AS ca, a.roc_auc AS cr, b.pr_auc AS ha, b.roc_auc AS hr FROM metric a, metric b WHERE a.model = 'candidate' AND b.model = 'champion'),
+rule AS (SELECT 'pr_auc' AS metric, 'least' AS kind, 0.2::DOUBLE AS "limit", ca AS candidate, ha AS champion, ca - 0.2::DOUBLE AS margin FROM pair
+  UNION ALL SELECT 'pr_auc', 'gain', 0.005::DOUBLE, ca, ha, ca - ha - 0.005::DOUBLE FROM pair UNION ALL SELECT 'roc_auc', 'loss', 0.01::DOUBLE, cr, hr, 0.01::DOUBLE - (hr - cr) FROM pair)
+SELECT metric, kind, "limit", round(candidate, 8) AS candidate, round(champion, 8) AS champion, round(margin, 8) AS margin, margin >= -1e-9 AS met FROM rule)"""))
 def promotion_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = promotion.outcomes(spark, {"pr_auc": 0.51, "roc_auc": 0.88}, {"pr_auc": 0.5, "roc_auc": 0.9})
-    return found.withColumn("margin", F.round("margin", 8))
+    """Whether a score would replace the same score cut to tenths, both evaluated on all labelled rows."""
+    own = _with_labels(spark, sf_dir)
+    candidate, champion = (metrics.evaluation(x).first().asDict() for x in (own, own.withColumn("score", F.floor(F.col("score") * 10) / 10.0)))
+    found = promotion.outcomes(spark, candidate, champion)
+    return found.withColumns({c: F.round(c, 8) for c in ("candidate", "champion", "margin")})
 
 
 BUILD = prepare.Build(sales=SALES, additions=("orders",), delivery=("sales_high", "sales_medium"), salon="sales_urgent", usage=(*SALES, "orders"), ratios=(("high_to_urgent", "sales_high", "sales_urgent"),), core=("orders",))
