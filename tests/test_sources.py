@@ -8,7 +8,7 @@ import yaml
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.operators import panel, prepare, promotion
+from tidepanel.operators import attribution, panel, prepare, promotion
 from tidepanel.sources import files, prices, sinks, snapshots, store, tickets
 from tidepanel.sources.config import layers, load
 from tidepanel.spec import PanelSpec
@@ -204,3 +204,36 @@ def test_stream_upserts(spark, tmp_path):
     run()
     got = {(r["id"], r["period"]): r["v"] for r in spark.read.parquet(str(tmp_path / "out" / "data")).collect()}
     assert got == {(1, 202401): 1, (2, 202401): 5, (1, 202402): 7}
+
+
+def test_headers_of_many_files_take_no_job(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i:03d}.csv").write_text(f'ID,Periodo,"a, b{i % 3}"\n{i},202401,x\n')
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write("\ufeffID,Periodo\n1,202402\n")
+    (tmp_path / "zz.csv").write_text("")
+    paths = snapshots.resolve(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("headers", "")
+    found = snapshots.headers(spark, paths)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("headers")) == 0
+    assert len(found) == 302 and found[paths[1]] == ("csv", ("ID", ""), ("Periodo", ""), ("a, b1", ""))
+    assert found[paths[300]] == ("csv", ("ID", ""), ("Periodo", "")) and found[paths[301]] == ("csv",)
+
+
+def test_rows_without_keys_are_spread(spark):
+    """Nine of ten tickets have no reference: with no help from adaptive plans or broadcasts no task gets more than thrice the median."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        few = F.when(F.col("id") % 10 == 0, F.col("id").cast("string"))
+        rows = spark.range(20_000).select(F.col("id").alias("ticket_id"), F.lit(None).cast("long").alias("explicit_id"), few.alias("company_ref"), few.alias("external_id"))
+        companies = spark.range(0, 20_000, 20).select(F.col("id").cast("string").alias("company_ref"), F.col("id").alias("account_id"))
+        out = attribution.attribute(rows, companies, spark.range(0, 20_000, 30).toDF("id"))
+        sizes = sorted(r["n"] for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.count("source"), F.max("account_id")).collect())
+        assert len(sizes) == 16 and sizes[-1] <= 3 * sizes[8]
+        assert {r["source"]: r["tickets"] for r in attribution.report(out).collect()} == {"company": 1000, "external_id": 333, "unattributed": 18667}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

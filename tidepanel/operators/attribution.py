@@ -17,10 +17,25 @@ def _fill(rows: DataFrame, candidate: Column, name: str) -> DataFrame:
     return rows.withColumns({"source": F.when(F.col("account_id").isNull() & candidate.isNotNull(), F.lit(name)).otherwise(F.col("source")), "account_id": F.coalesce("account_id", candidate)})
 
 
+#: Partitions' worth of rows without a key that a join spreads.
+NULL_SALTS = 1024
+
+
+def _looked_up(rows: DataFrame, key: Column, table: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a value of its column ``name``) for their key.
+
+    Rows without a key match nothing, but would all be sent to one task: a salt, which is 0 for those with a key, spreads them. The other side's
+    0 is computed from its key, as a literal would be taken out of what rows are partitioned by.
+    """
+    salt = F.when(key.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(NULL_SALTS)) + 1).otherwise(F.lit(0)).cast("int")
+    salted, own = rows.withColumns({"_key": key, "_salt": salt}), table.withColumn("_none", F.pmod(F.xxhash64(name), F.lit(1)).cast("int"))
+    return salted.join(own, (F.col("_key") == F.col(name)) & (F.col("_salt") == F.col("_none")), "left").drop("_key", "_salt", "_none", name)
+
+
 def _derived(rows: DataFrame, key: str) -> DataFrame:
-    """key, derived: keys whose resolved tickets all have one account."""
+    """_of, derived: values of ``key`` whose resolved tickets all have one account."""
     own = rows.filter(F.col(key).isNotNull() & F.col("account_id").isNotNull()).groupBy(key).agg(F.min("account_id").alias("derived"), F.max("account_id").alias("_most"))
-    return own.filter("derived = _most").select(key, "derived")
+    return own.filter("derived = _most").select(F.col(key).alias("_of"), "derived")
 
 
 def attribute(tickets: DataFrame, companies: DataFrame | None = None, valid_ids: DataFrame | None = None, order: str | None = None) -> DataFrame:
@@ -35,15 +50,15 @@ def attribute(tickets: DataFrame, companies: DataFrame | None = None, valid_ids:
     if companies is not None:
         place = F.col(order) if order else F.col("account_id")
         first = companies.filter("account_id IS NOT NULL").groupBy(F.trim("company_ref").alias("_ref")).agg(F.min_by("account_id", F.struct(place, "account_id")).alias("_company"))
-        out = _fill(out.join(first, F.trim("company_ref") == F.col("_ref"), "left"), F.col("_company"), "company").drop("_ref", "_company")
+        out = _fill(_looked_up(out, F.trim("company_ref"), first, "_ref"), F.col("_company"), "company").drop("_company")
     own = digits_as_long(F.col("external_id"))
     if valid_ids is not None:
-        known = valid_ids.select(F.col("id").cast("long").alias("_valid")).distinct()
-        out = _fill(out.join(known, own == F.col("_valid"), "left"), F.col("_valid"), "external_id").drop("_valid")
+        known = valid_ids.select(F.col("id").cast("long").alias("_valid")).distinct().withColumn("_known", F.col("_valid"))
+        out = _fill(_looked_up(out, own, known, "_valid"), F.col("_known"), "external_id").drop("_known")
     else:
         out = _fill(out, own, "external_id")
     for key, name in (("external_id", "user_map"), ("company_ref", "company_map")):
-        out = _fill(out.join(_derived(out, key), key, "left"), F.col("derived"), name).drop("derived")
+        out = _fill(_looked_up(out, F.col(key), _derived(out, key), "_of"), F.col("derived"), name).drop("derived")
     return out
 
 

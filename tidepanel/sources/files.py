@@ -67,6 +67,19 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a text file, decompressed if its name says so; empty if there is none. Only its first block is opened."""
+    fs, own = _of(spark, path)
+    jvm = spark._jvm
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration()).getCodec(own)
+    stream = fs.open(own)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Without a checksum beside it: such files are edited by hand, and a local file system would then refuse to read them."""
     fs, own = _of(spark, path)

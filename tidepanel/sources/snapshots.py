@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 import re
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,15 +61,21 @@ def read_one(spark: SparkSession, path: str, schema: T.StructType | None = None)
     return _clean(_reader(spark, [path], schema))
 
 
+#: Files whose first lines are read at a time.
+OPENED = 32
+
+
 def headers(spark: SparkSession, paths: list[str]) -> dict[str, tuple]:
-    """The header of each file: for Parquet its names and types, for a CSV the names in its first line. No more of a file is read."""
-    out: dict[str, tuple] = {}
-    for p in paths:
+    """The header of each file: for Parquet its names and types, for a CSV the names in its first line. No more of a file is read, and no CSV takes a Spark job."""
+
+    def one(p: str) -> tuple:
         if p.endswith(".parquet"):
-            out[p] = ("parquet", *((f.name, f.dataType.simpleString()) for f in spark.read.parquet(p).schema.fields))
-        else:
-            out[p] = ("csv", *((c, "") for c in spark.read.option("header", True).csv(p).columns))
-    return out
+            return ("parquet", *((f.name, f.dataType.simpleString()) for f in spark.read.parquet(p).schema.fields))
+        names = next(csv.reader([files.first_line(spark, p).lstrip("\ufeff")]), [])
+        return ("csv", *((n or f"_c{i}", "") for i, n in enumerate(names)))
+
+    with ThreadPoolExecutor(OPENED) as pool:
+        return dict(zip(paths, pool.map(one, paths), strict=True))
 
 
 def header_drift(found: dict[str, tuple]) -> dict[str, tuple[set[str], set[str]]]:
