@@ -44,6 +44,28 @@ def test_automata_tell_formats_apart():
     assert len(step) < 200 and np.allclose(np.exp(log).sum(axis=1), 1)
 
 
+def test_automata_know_lengths_and_positions():
+    """Few digests of 32 make a chain that knows where they end, and keys that begin alike keep their beginning: one state could do neither."""
+    random.seed(4)
+    draw = lambda alphabet, n: "".join(random.choice(alphabet) for _ in range(n))
+    own = ss.infer([draw("0123456789abcdef", 32) for _ in range(40)])
+    assert len(own[0]) - 1 >= 33
+    right, short, long = (ss.likelihoods([draw("0123456789abcdef", n) for _ in range(50)], own) for n in (32, 27, 40))
+    assert right.mean() > short.max() and right.mean() > long.max() and (right > short.max()).mean() > 0.9
+    step, log = ss.infer(["AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(60)])
+    good = ss.likelihoods(["AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(50)], (step, log))
+    assert good.mean() > ss.likelihoods([draw("0123456789", 4) + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(50)], (step, log)).max()
+    assert len(step) > 10
+    loop = ss.infer([draw("abcdef", 1 + int(random.expovariate(0.1))) for _ in range(400)])
+    assert len(loop[0]) < 8  # where position doesn't matter, states become loops
+
+
+def test_automata_of_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    automata = ss.learn(docs)
+    assert all(len(step) - 1 > 1 for kind, (step, _) in automata.items() if kind != "token")
+
+
 def test_merging_keeps_what_differs():
     # strings of letters of length 3 only, against strings of digits of any length: the start must not merge with what follows a letter
     step, log = ss.infer(["abc"] * 200 + ["1" * n for n in range(1, 60) for _ in range(5)])

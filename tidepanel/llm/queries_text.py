@@ -137,7 +137,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("secrets", lambda s: s["kind"] != "format")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+    likelihood = F.array_max(F.transform("secrets", lambda s: s["score"])).alias("best_likelihood")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.encode(joined(base), "UTF-8"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), likelihood)
 
 
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

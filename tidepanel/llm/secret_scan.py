@@ -2,8 +2,10 @@
 
 The base rules find assignments, access keys and hex digests. Their matches are labelled credentials of three formats; from a bounded
 sample of them a prefix tree of character classes is built for each format, and states whose frequencies of ending and of each class
-are statistically compatible are merged, with their subtrees, into a probabilistic automaton (Hoeffding bounds, in the order that keeps
-the merged part a tree's front). A further automaton is learned from tokens that no rule matched. Candidates are what the base rules match
+are statistically compatible are merged into a probabilistic automaton. Compatible means that one Dirichlet-multinomial explains the counts of both
+better than two do: a test that needs few tokens to tell states apart. States at the same depth are merged first, so that each position has the
+tokens of all paths as evidence; then states of different depths, with all that follows, which makes loops where position doesn't matter and keeps
+a chain, which knows its length, where it does. A further automaton is learned from tokens that no rule matched. Candidates are what the base rules match
 and all other tokens that might be credentials (see ``CANDIDATE``). A candidate's format likelihood is the best log-likelihood per character
 under the credential automata less that of the ordinary tokens. Every candidate is scored; where the likelihood of one that no rule
 matched is high enough, a span of kind ``format`` is added.
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +38,19 @@ SAMPLE = 2_000
 #: Characters of a token that the automata read while learning, so that one long token doesn't make a deep tree: a longer one counts as still
 #: running there, neither ended nor going on. Scoring reads all.
 DEPTH = 64
-#: The confidence of the compatibility test; the score a character, and in all, from which a token is taken for a secret.
-ALPHA = 0.001
+#: The prior count of each outcome at a state, and the log odds against a merger that no pair of states may exceed.
+PRIOR = 0.2
+LEAST_ODDS = -3.0
+#: The score a character, and in all, from which a token is taken for a secret.
 LEAST_SCORE = 0.2
 LEAST_EVIDENCE = 7.0
 
-CLASSES = 5  # upper case, lower case a-f, lower case g-z, digits, others
+#: Classes of characters: A-F, G-Z, a-f, g-z, digits, underscore, hyphen, others.
+CLASSES = 8
 END = CLASSES
-CLASS_OF = np.full(256, 4, dtype=np.int8)
-CLASS_OF[ord("A") : ord("Z") + 1] = 0
-CLASS_OF[ord("a") : ord("f") + 1] = 1
-CLASS_OF[ord("g") : ord("z") + 1] = 2
-CLASS_OF[ord("0") : ord("9") + 1] = 3
+CLASS_OF = np.full(256, 7, dtype=np.int8)
+for _class, _members in enumerate(("ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "abcdef", "ghijklmnopqrstuvwxyz", "0123456789", "_", "-")):
+    CLASS_OF[[ord(c) for c in _members]] = _class
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -65,75 +68,93 @@ def classes_of(token: str) -> list[int]:
     return CLASS_OF[np.frombuffer(token.encode("latin-1", "replace"), dtype=np.uint8)].tolist()
 
 
-@dataclass
-class Node:
-    """A state: how many strings came here, how many of them ended here, how many were cut here, and the next state by class."""
-
-    came: int = 0
-    ended: int = 0
-    cut: int = 0
-    next: dict[int, int] = field(default_factory=dict)
-    took: dict[int, int] = field(default_factory=dict)
-
-    @property
-    def known(self) -> int:
-        """Strings of which it is known what they did here."""
-        return self.came - self.cut
+def _evidence(counts: np.ndarray) -> np.ndarray:
+    """Log-probability of sequences with these counts (last axis) under a Dirichlet-multinomial with ``PRIOR`` for each outcome."""
+    k = counts.shape[-1]
+    gamma = np.vectorize(lgamma, otypes=[float])
+    return gamma(k * PRIOR) - gamma(counts.sum(axis=-1) + k * PRIOR) + (gamma(counts + PRIOR) - gamma(PRIOR)).sum(axis=-1)
 
 
 class Inference:
-    """Merging of compatible states of a prefix tree."""
+    """Merging of compatible states of a prefix tree: ``counts[state]`` by class or END (strings cut there count nowhere), ``next[state]`` by class."""
 
     def __init__(self, strings: list[list[int]], depth: int = DEPTH):
-        self.nodes = [Node()]
-        for s in strings:
-            at = 0
-            self.nodes[0].came += 1
-            for c in s[:depth]:
-                node = self.nodes[at]
-                node.took[c] = node.took.get(c, 0) + 1
-                if c not in node.next:
-                    node.next[c] = len(self.nodes)
-                    self.nodes.append(Node())
-                at = node.next[c]
-                self.nodes[at].came += 1
-            if len(s) > depth:
-                self.nodes[at].cut += 1
-            else:
-                self.nodes[at].ended += 1
+        self.counts: list[np.ndarray] = []
+        self.next: list[dict[int, int]] = []
+        layer = [np.arange(len(strings))]
+        # what each string does at each depth: a class, its end, or nothing known beyond the cut
+        acts = np.full((len(strings), depth + 2), -1, dtype=np.int64)
+        for i, s in enumerate(strings):
+            acts[i, : min(len(s), depth)] = s[:depth]
+            if len(s) <= depth:
+                acts[i, len(s)] = END
+        parents: list[list[tuple[int, int]]] = [[]]
+        for d in range(depth + 1):
+            kept: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]] = []
+            for rows, above in sorted(zip(layer, parents, strict=True), key=lambda x: -len(x[0])):
+                own = np.bincount(acts[rows, d][acts[rows, d] >= 0], minlength=CLASSES + 1)
+                odds = [self.odds(k[1], own) for k in kept]
+                best = int(np.argmax(odds)) if odds else -1
+                if best >= 0 and odds[best] > 0:
+                    kept[best] = (np.concatenate([kept[best][0], rows]), kept[best][1] + own, kept[best][2] + above)
+                else:
+                    kept.append((rows, own, list(above)))
+            layer, parents = [], []
+            for rows, own, above in kept:
+                state = len(self.counts)
+                self.counts.append(own)
+                self.next.append({})
+                for parent, c in above:
+                    self.next[parent][c] = state
+                for c in np.flatnonzero(own[:CLASSES]).tolist():
+                    layer.append(rows[acts[rows, d] == c])
+                    parents.append([(state, c)])
+            if not layer:
+                break
 
     @staticmethod
-    def differ(a: int, n: int, b: int, m: int) -> bool:
-        return abs(a / n - b / m) > np.sqrt(0.5 * np.log(2 / ALPHA)) * (n**-0.5 + m**-0.5)
+    def odds(a: np.ndarray, b: np.ndarray) -> float:
+        """The log odds that both counts are of one state."""
+        return float(_evidence(a + b) - _evidence(a) - _evidence(b))
 
-    def compatible(self, red: int, blue: int) -> bool:
-        todo = [(red, blue)]
+    def folded(self, into: int, of: int) -> dict[int, int] | None:
+        """The states that become one with others if ``of`` becomes ``into``, what follows them included; None if that explains the strings worse."""
+        one: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in one:
+                x = one[x]
+            return x
+
+        counts, following, gained, todo = {}, {}, 0.0, [(into, of)]
         while todo:
-            p, q = (self.nodes[x] for x in todo.pop())
-            if not (p.known and q.known):  # nothing is known against it
+            p, q = (root(x) for x in todo.pop())
+            if p == q:
                 continue
-            if self.differ(p.ended, p.known, q.ended, q.known):
-                return False
-            for c in p.took.keys() | q.took.keys():
-                if self.differ(p.took.get(c, 0), p.known, q.took.get(c, 0), q.known):
-                    return False
-                if c in p.next and c in q.next:
-                    todo.append((p.next[c], q.next[c]))
-        return True
-
-    def fold(self, red: int, blue: int) -> None:
-        """Add the tree below ``blue`` to ``red``."""
-        todo = [(red, blue)]
-        while todo:
-            into, of = todo.pop()
-            p, q = self.nodes[into], self.nodes[of]
-            p.came, p.ended, p.cut = p.came + q.came, p.ended + q.ended, p.cut + q.cut
-            for c, n in q.took.items():
-                p.took[c] = p.took.get(c, 0) + n
-                if c in p.next:
-                    todo.append((p.next[c], q.next[c]))
+            p, q = min(p, q), max(p, q)
+            own = [counts.get(x, self.counts[x]) for x in (p, q)]
+            odds = self.odds(*own)
+            gained += odds
+            if odds < LEAST_ODDS:
+                return None
+            one[q], counts[p] = p, own[0] + own[1]
+            after = dict(following.get(p, self.next[p]))
+            for c, x in following.get(q, self.next[q]).items():
+                if c in after:
+                    todo.append((after[c], x))
                 else:
-                    p.next[c] = q.next[c]
+                    after[c] = x
+            following[p] = after
+        return {x: root(x) for x in one} if gained > 0 else None
+
+    def fold(self, one: dict[int, int]) -> None:
+        for x, r in one.items():
+            self.counts[r] = self.counts[r] + self.counts[x]
+            for c, y in self.next[x].items():
+                self.next[r].setdefault(c, y)
+        for own in self.next:
+            for c, y in own.items():
+                own[c] = one.get(y, y)
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         """``step``[state, class] and ``log``[state, class or END]: the automaton.
@@ -141,30 +162,28 @@ class Inference:
         A state's frequencies are smoothed by three strings that do as all training strings do on the whole; the last state, for what was
         never seen, does so too: what is unlike a format anywhere stays unlikely on unseen ground.
         """
-        every = np.array([*(sum(n.took.get(c, 0) for n in self.nodes) for c in range(CLASSES)), sum(n.ended for n in self.nodes)]) + 0.5
-        every /= every.sum()
-        red, rank = [0], {0: 0}
-        while True:
-            fringe = [(self.nodes[r].came, r, c) for r in red for c, n in self.nodes[r].next.items() if n not in rank]
-            if not fringe:
-                break
-            _, parent, c = max(fringe, key=lambda x: (x[0], -rank[x[1]], -x[2]))
-            blue = self.nodes[parent].next[c]
-            into = next((r for r in red if self.compatible(r, blue)), None)
-            if into is None:
-                rank[blue] = len(red)
+        every = sum(self.counts, np.zeros(CLASSES + 1)) + 0.5
+        every = every / every.sum()
+        red: list[int] = []
+        gone: set[int] = set()
+        for blue in range(len(self.counts)):
+            if blue in gone:
+                continue
+            one = next((found for r in reversed(red) if (found := self.folded(r, blue))), None)
+            if one is None:
                 red.append(blue)
             else:
-                self.nodes[parent].next[c] = into
-                self.fold(into, blue)
+                self.fold(one)
+                gone |= one.keys()
+                red = [r for r in red if r not in gone]
+        rank = {r: i for i, r in enumerate(red)}
         n = len(red)
         step, log = np.full((n + 1, CLASSES), n, dtype=np.int32), np.zeros((n + 1, CLASSES + 1))
         log[n] = np.log(every)
         for i, r in enumerate(red):
-            node = self.nodes[r]
-            for c in range(CLASSES):
-                step[i, c] = rank[node.next[c]] if c in node.next else n
-            counts = np.array([*(node.took.get(c, 0) for c in range(CLASSES)), node.ended]) + 3 * every
+            for c, x in self.next[r].items():
+                step[i, c] = rank[x]
+            counts = self.counts[r] + 3 * every
             log[i] = np.log(counts / counts.sum())
         return step, log
 
