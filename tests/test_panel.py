@@ -190,3 +190,9 @@ def test_report_rates_need_rows(spark):
     assert report.base_series(own).first()["new"] == 0
     got = report.base_scalars(own).first()
     assert abs(got["churn_rate"] - 25) < 1e-9 and abs(got["mean_life"] - 4) < 1e-9 and abs(got["yearly_retention"] - 100 * 0.75**12) < 1e-9
+
+
+def test_holdout_is_the_test_part(spark):
+    own = spark.createDataFrame([(i, 202401 + p, p, int(i % 2), 1 + p) for i in range(6) for p in range(8)], "id int, period int, t int, churn int, months_in_panel int")
+    want = sorted(tuple(r) for r in split.temporal_split(own).filter("split = 'test'").drop("split").collect())
+    assert sorted(tuple(r) for r in split.holdout(own).collect()) == want and len(want) == 12

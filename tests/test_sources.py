@@ -237,3 +237,8 @@ def test_rows_without_keys_are_spread(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_an_evaluation_reads_as_text():
+    text = sinks.evaluation_text({"pr_auc": 0.5, "lift": None}, [{"fraction": 0.05, "n_accounts": 12, "precision": 0.25, "recall": None, "lift": 2.0}])
+    assert text == "pr_auc          0.5000\nlift                 -\ntop  5.0%      12 accounts, precision 0.250, recall 0.000, lift 2.00\n"

@@ -30,6 +30,7 @@ BINS = 64
 #: Relative error of quantiles is 1 / ACCURACY.
 ACCURACY = 2000
 FOLD = 16
+FEW_PARTITIONS = 16
 #: Grid of probabilities on which precision and recall of the validation rows are summed.
 GRID = 4096
 
@@ -333,7 +334,9 @@ def _grown(blocks: RDD, trees: list[Tree], first: int, columns: np.ndarray, numb
     build, siblings = [root], {}
     for depth in range(s.depth):
         slots = {n: i for i, n in enumerate(build)}
-        found, scores = blocks.map(lambda b, t=tree, sl=slots: _level(b, trees, first, t, sl, columns, share, seed)).treeReduce(_added)
+        summed = blocks.map(lambda b, t=tree, sl=slots: _level(b, trees, first, t, sl, columns, share, seed))
+        # a few sums are added up sooner than a further stage starts
+        found, scores = summed.reduce(_added) if blocks.getNumPartitions() <= FEW_PARTITIONS else summed.treeReduce(_added)
         if depth == 0:
             precision = average_precision(scores) if scores[GRID:].any() else None
             if len(trees) >= s.trees:

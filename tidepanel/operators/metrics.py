@@ -53,22 +53,26 @@ def brier(scored: DataFrame, label: str = "churn", score: str = "score") -> Data
 def top_k(scored: DataFrame, label: str = "churn", score: str = "score", fractions: tuple[float, ...] = (0.01, 0.05, 0.10, 0.20), key: tuple[str, ...] = ("id", "t")) -> DataFrame:
     """fraction, n_accounts, hits, precision, recall, lift of the k = max(1, round(n * fraction)) highest scores, ties by key, and last negatives first.
 
-    No row is ranked: whole scores are counted down to the one where k is reached, then, of the rows of that score alone, whole values of
-    the first key, and so on. What the driver holds is a boundary a fraction.
+    No row is ranked: whole scores are counted down to the one where k is reached, once for all fractions, then, of the rows of that score alone,
+    whole values of the first key, and so on. What the driver holds is a boundary a fraction.
     """
     rows = _labelled(scored, label, score, *key)
-    n, positives = rows.agg(F.count("*"), F.sum("y")).first()
     spark = scored.sparkSession
+    counts = ranks.running(_counts(rows, "score"), "score", ["n", "pos"], descending=True)
+    n, positives = counts.agg(F.max("n_all"), F.max("pos_all")).first()
     want = {float(f): max(1, round(n * f)) for f in fractions} if n else {}
     hits, left = dict.fromkeys(want, 0), dict(want)
-    inside = rows.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in want]))) if want else rows.withColumn("fraction", F.lit(0.0))
+    inside = None
     for column in ("score", *key, "y"):
         if not left:
             break
         take = F.element_at(F.create_map(*[F.lit(x) for fk in left.items() for x in fk]), F.col("fraction"))
         order = column if column != "y" else "_y"
-        counts = _counts(inside.withColumn("_y", F.col("y")), "fraction", order)
-        placed = ranks.running(counts, order, ["n", "pos"], ("fraction",), descending=column == "score").withColumn("take", take)
+        if inside is None:
+            placed = counts.withColumn("fraction", F.explode(F.array(*map(F.lit, want))))
+        else:
+            placed = ranks.running(_counts(inside.withColumn("_y", F.col("y")), "fraction", order), order, ["n", "pos"], ("fraction",))
+        placed = placed.withColumn("take", take)
         crossing = (F.col("n_upto") > F.col("take")) & (F.col("n_upto") - F.col("n") < F.col("take"))
         found = placed.groupBy("fraction").agg(F.sum(F.when(F.col("n_upto") <= F.col("take"), F.col("pos"))).alias("hits"), F.max(F.when(crossing, F.struct(F.col(order).alias("at"), (F.col("take") - F.col("n_upto") + F.col("n")).alias("left")))).alias("b")).collect()
         borders = {r["fraction"]: r["b"] for r in found if r["b"]}
@@ -79,9 +83,12 @@ def top_k(scored: DataFrame, label: str = "churn", score: str = "score", fractio
             for f, b in borders.items():
                 hits[f] += b["at"] * b["left"]
         elif borders:
-            kind = inside.schema[column].dataType.simpleString()
-            edge = F.element_at(F.create_map(*[x for f, b in borders.items() for x in (F.lit(f), F.lit(b["at"]).cast(kind))]), F.col("fraction"))
-            inside = inside.filter(F.col(column) == edge)
+            kind = rows.schema[column].dataType.simpleString()
+            edges = F.create_map(*[x for f, b in borders.items() for x in (F.lit(f), F.lit(b["at"]).cast(kind))])
+            if inside is None:
+                some = rows.filter(F.col(column).isin(*{b["at"] for b in borders.values()}))
+                inside = some.withColumn("fraction", F.explode(F.array(*map(F.lit, borders))))
+            inside = inside.filter(F.col(column) == F.element_at(edges, F.col("fraction")))
     out = [(f, k, hits[f], hits[f] / k, hits[f] / positives if positives else None, hits[f] / k / (positives / n) if positives else None) for f, k in want.items()]
     return spark.createDataFrame(out, "fraction double, n_accounts long, hits long, precision double, recall double, lift double")
 

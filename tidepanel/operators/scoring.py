@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions import plan_codes
@@ -20,6 +20,11 @@ COLUMNS = (
 )
 
 
+def _rounded(factor: Column) -> Column:
+    """A factor as it is published: value and Shapley value to four places."""
+    return factor.withField("value", F.round(factor["value"], 4)).withField("shap", F.round(factor["shap"], 4))
+
+
 def score_period(
     features: DataFrame,
     artifact: Artifact,
@@ -43,7 +48,7 @@ def score_period(
     priced = prices.priced(batch.withColumns(lacking) if lacking else batch)
     scored = artifact.score(priced).select(*priced.columns, "probability")
     found = explain.contributions(scored, artifact, known=known).select(*keep, "probability", "revenue", "price_incomplete", F.to_json("items").alias("revenue_items"), "factors")
-    found = explain.with_percentiles(found, batch, artifact.features)
+    found = explain.with_percentiles(found, batch, artifact.features).withColumn("factors", F.transform("factors", _rounded))
     out = risk.assign(found, bands or risk.RiskBands(threshold=artifact.threshold)).join(pauses.causal_flags(features, period, rules), "id", "left")
     out = out.withColumnsRenamed({"n_pauses": "past_pauses", "usual_month": "usual_pause_month"})
     text = explain.narrative(F.col("risk_category"), F.col("churn_probability"), F.col("monthly_revenue"), F.col("factors"), prices.currency)

@@ -33,5 +33,12 @@ def temporal_split(labelled: DataFrame, n_test: int = 2, n_val: int = 2, min_mon
     return out.join(gone, "id", "left").filter(F.col("_gone").isNull() | (F.col("split") == "test")).drop("_gone")
 
 
+def holdout(labelled: DataFrame, n_test: int = 2, n_val: int = 2, min_months: int = 2) -> DataFrame:
+    """The eligible rows of the test periods alone: what an artifact that exists is judged by, the same rows that ``temporal_split`` calls test."""
+    own = eligible(labelled, min_months)
+    test = partition_periods([r["period"] for r in own.select("period").distinct().collect()], n_test, n_val)[2]
+    return own.filter(F.col("period").isin(*test))
+
+
 def summary(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("rows"), F.sum("churn").alias("positives"), F.avg("churn").alias("rate"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))

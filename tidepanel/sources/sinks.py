@@ -23,6 +23,13 @@ def report_rows(frames: dict[str, DataFrame], limit: int = 10_000) -> dict[str,
     return out
 
 
+def evaluation_text(metrics: dict[str, float], top: list[dict] = ()) -> str:
+    """An evaluation for people to read: a line a metric, and one for each fraction of ``metrics.top_k`` (as dictionaries)."""
+    lines = [f"{k:<12}{v:>10.4f}" if v is not None else f"{k:<12}{'-':>10}" for k, v in metrics.items()]
+    lines += [f"top {r['fraction']:>5.1%}{r['n_accounts']:>8} accounts, precision {r['precision']:.3f}, recall {r['recall'] or 0:.3f}, lift {r['lift'] or 0:.2f}" for r in top]
+    return "\n".join(lines) + "\n"
+
+
 def price_template(tokens: DataFrame, path: str, currency: str = "USD") -> dict:
     """A YAML of all base plans and modules by market, null where no price is known; prices in an existing file stay. Returns what was written."""
     spark = tokens.sparkSession
