@@ -173,3 +173,22 @@ def test_artifacts_travel(tmp_path, rows, artifact):
 def test_one_class_is_an_error(rows):
     with pytest.raises(ValueError):
         learning.train(rows.withColumn("churn", F.lit(0)), ["a"])
+
+
+def test_a_kept_model_is_built_anew_when_its_tables_are(spark, monkeypatch):
+    """Unchanged tables: nothing is built or read again. Newer ones: another matrix, and the old one's files are gone; ``forget`` deletes the last."""
+    clock, built = {"t": 1}, []
+    monkeypatch.setattr(catalog, "_MODELS", {})
+    monkeypatch.setattr(catalog, "_model_rows", lambda spark, sf_dir: spark.range(3).withColumn("period", F.lit(202401)))
+    monkeypatch.setattr(catalog.learning, "train", lambda *a: built.append(a) or len(built))
+    monkeypatch.setattr(catalog.split, "temporal_split", lambda rows: rows)
+    monkeypatch.setattr(catalog.files, "modified", lambda spark, path: clock["t"])
+    first, rows = catalog._trained(spark, "/x")
+    assert catalog._trained(spark, "/x")[0] == first == 1 and catalog._trained(spark, "/x")[1] is rows
+    old = rows.inputFiles()[0]
+    clock["t"] = 2
+    again, newer = catalog._trained(spark, "/x")
+    assert again == 2 and newer.count() == 3 and not catalog.files.exists(spark, old)
+    last = newer.inputFiles()[0]
+    catalog.forget()
+    assert not catalog._MODELS and not catalog.files.exists(spark, last)

@@ -778,17 +778,30 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _model_rows(spark, sf_dir)
 
 
-#: The model of a folder of tables and the feature matrix that it was learned from, for as long as the application runs: four queries ask for them.
-_MODELS: dict[tuple[str, str], tuple[learning.Artifact, DataFrame]] = {}
+#: The model of a folder of tables, the feature matrix that it was learned from, and when the tables were written: four queries ask for them.
+_MODELS: dict[tuple[str, str], tuple[learning.Artifact, DataFrame, tuple]] = {}
+#: The tables that customer months are made of.
+MODEL_TABLES = ("customer", "orders", "nation")
+
+
+def forget() -> None:
+    """Deletes the matrices that are kept, once no DataFrame of the model queries is to be read any more."""
+    for _, rows, _ in _MODELS.values():
+        files.release(rows)
+    _MODELS.clear()
 
 
 def _trained(spark: SparkSession, sf_dir: str) -> tuple[learning.Artifact, DataFrame]:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """What is kept for the folder if its tables haven't been written since; else it is built anew, and the old matrix deleted."""
+    key, written = (spark.sparkContext.applicationId, sf_dir), tuple(files.modified(spark, f"{sf_dir}/{t}.parquet") for t in MODEL_TABLES)
+    if key in _MODELS and _MODELS[key][2] != written:
+        files.release(_MODELS.pop(key)[1])
     if key not in _MODELS:
         rows = files.kept(_model_rows(spark, sf_dir), "matrix", "period")
         columns = [c for c in features.feature_columns(rows) if not c.startswith("plan_market") and "_lag_" not in c]
-        _MODELS[key] = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"]), rows
-    return _MODELS[key]
+        artifact = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"])
+        _MODELS[key] = artifact, rows, written
+    return _MODELS[key][:2]
 
 
 @register()
