@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.operators import ranks
+from tidepanel.sources import files
 
 
 def _labelled(scored: DataFrame, label: str, score: str, *keep: str) -> DataFrame:
@@ -54,12 +55,11 @@ def top_k(scored: DataFrame, label: str = "churn", score: str = "score", fractio
     """fraction, n_accounts, hits, precision, recall, lift of the k = max(1, round(n * fraction)) highest scores, ties by key, and last negatives first.
 
     No row is ranked: whole scores are counted down to the one where k is reached, once for all fractions, then, of the rows of that score alone,
-    whole values of the first key, and so on. What the driver holds is a boundary a fraction.
+    whole values of the first key, and so on. What the driver holds is a boundary a fraction. Labels, scores and keys are staged in the shared
+    folder while it counts, so what made them runs once.
     """
-    rows = _labelled(scored, label, score, *key)
-    spark = scored.sparkSession
-    counts = ranks.running(_counts(rows, "score"), "score", ["n", "pos"], descending=True)
-    n, positives = counts.agg(F.max("n_all"), F.max("pos_all")).first()
+    spark, rows = scored.sparkSession, files.kept(_labelled(scored, label, score, *key), "ranked")
+    n, positives = rows.agg(F.count("*"), F.sum("y")).first()
     want = {float(f): max(1, round(n * f)) for f in fractions} if n else {}
     hits, left = dict.fromkeys(want, 0), dict(want)
     inside = None
@@ -69,7 +69,7 @@ def top_k(scored: DataFrame, label: str = "churn", score: str = "score", fractio
         take = F.element_at(F.create_map(*[F.lit(x) for fk in left.items() for x in fk]), F.col("fraction"))
         order = column if column != "y" else "_y"
         if inside is None:
-            placed = counts.withColumn("fraction", F.explode(F.array(*map(F.lit, want))))
+            placed = ranks.running(_counts(rows, "score"), "score", ["n", "pos"], descending=True).withColumn("fraction", F.explode(F.array(*map(F.lit, want))))
         else:
             placed = ranks.running(_counts(inside.withColumn("_y", F.col("y")), "fraction", order), order, ["n", "pos"], ("fraction",))
         placed = placed.withColumn("take", take)
@@ -89,6 +89,7 @@ def top_k(scored: DataFrame, label: str = "churn", score: str = "score", fractio
                 some = rows.filter(F.col(column).isin(*{b["at"] for b in borders.values()}))
                 inside = some.withColumn("fraction", F.explode(F.array(*map(F.lit, borders))))
             inside = inside.filter(F.col(column) == F.element_at(edges, F.col("fraction")))
+    files.release(rows)
     out = [(f, k, hits[f], hits[f] / k, hits[f] / positives if positives else None, hits[f] / k / (positives / n) if positives else None) for f, k in want.items()]
     return spark.createDataFrame(out, "fraction double, n_accounts long, hits long, precision double, recall double, lift double")
 
