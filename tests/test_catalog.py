@@ -45,3 +45,16 @@ def test_scans_are_pruned_and_nothing_crosses(spark):
         assert "CartesianProduct" not in plan
     plan = QUERIES["panel_header"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_comment" not in plan
+
+
+def test_pending_orders_of_every_quarter_count(spark, tmp_path):
+    """Months of a second half year have rows of their own, and end the panel."""
+    rows = [(f"{m}-05 10:00:00", p, s) for m, p, s in (("2000-03", "1-URGENT", "P"), ("2000-05", "1-URGENT", "F"), ("2000-06", "2-HIGH", "P"), ("2000-09", "1-URGENT", "P"), ("2000-12", "1-URGENT", "P"))]
+    orders = spark.createDataFrame(rows, "at string, o_orderpriority string, o_orderstatus string")
+    orders.selectExpr("to_timestamp(at) AS o_orderdate", "o_orderpriority", "o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    name = "missing_periods_of_pending_orders"
+    want = [200004, 200005, 200006, 200007, 200008, 200010, 200011]
+    assert sorted(r["period"] for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(r[0] for r in own.sql(ORACLE_SQL[name]).fetchall()) == want

@@ -91,10 +91,10 @@ def missing_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.missing_periods(own.filter(panel.month_of(F.col("period")).isin(*QUARTERS)))
 
 
-@register(f"WITH own AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INTEGER AS period FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND quarter(o_orderdate) < 3) {_MISSING}")
+@register(f"WITH own AS (SELECT (year(o_orderdate) * 100 + month(o_orderdate))::INTEGER AS period FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P') {_MISSING}")
 def missing_periods_of_pending_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months without any urgent order of a first half year that is still pending: a panel with holes of half a year."""
-    own = adapters.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND quarter(o_orderdate) < 3")
+    """Months without any urgent order that is still pending."""
+    own = adapters.table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'")
     return panel.missing_periods(own.select(adapters.month_period(F.col("o_orderdate")).alias("period")))
 
 
