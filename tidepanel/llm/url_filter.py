@@ -11,6 +11,7 @@ DataFrame functions and the DataFrame-based trees of Spark ML only; no row is se
 from __future__ import annotations
 
 import string
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -26,7 +27,7 @@ SAMPLE_URLS = 20_000
 TREES, DEPTH = 12, 4
 #: URLs that a suffix is taken to have had before any was seen, at the overall rate.
 PRIOR_URLS = 20.0
-#: Suffixes that have a rate of their own, those with the most URLs, and characters of one (no host is longer): what bounds the table that is broadcast.
+#: Suffixes that are broadcast, those with the most URLs, and characters of one (no host is longer). The others' rates come by a join.
 MOST_SUFFIXES, SUFFIX_CHARS = 1 << 16, 255
 SUFFIXES = {"last_label": "one", "last_labels": "two", "ending": "end"}
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "params", "has_fragment", "one_rate", "one_seen", "two_rate", "two_seen", "end_rate", "end_seen"]
@@ -78,11 +79,20 @@ def lexical(pages: DataFrame, url: str) -> DataFrame:
 
 
 def suffix_counts(labelled: DataFrame) -> DataFrame:
-    """kind, suffix, bad, n: blocked and all labelled URLs by suffix, of the ``MOST_SUFFIXES`` with the most URLs; staged."""
+    """kind, suffix, bad, n: blocked and all labelled URLs by suffix, of all suffixes; staged."""
     kinds = F.explode(F.array(*[F.struct(F.lit(v).alias("kind"), F.col(f"_{k}").alias("suffix")) for k, v in SUFFIXES.items()])).alias("_s")
     sums = labelled.select(kinds, "_blocked").groupBy("_s.kind", "_s.suffix").agg(F.sum("_blocked").alias("bad"), F.count("*").alias("n"))
-    kept = sums.filter(F.length("suffix") <= SUFFIX_CHARS).orderBy(F.desc("n"), "kind", "suffix").limit(MOST_SUFFIXES)
-    return frames.staged(kept, "suffixes")
+    return frames.staged(sums, "suffixes")
+
+
+def parted(counts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The ``MOST_SUFFIXES`` short suffixes with the most URLs, to be broadcast, and all others; None if there are none."""
+    short = F.length("suffix") <= SUFFIX_CHARS
+    n, long = counts.agg(F.count("*"), F.count_if(~short)).first()
+    if n <= MOST_SUFFIXES and not long:
+        return counts, None
+    common = frames.staged(counts.filter(short).orderBy(F.desc("n"), "kind", "suffix").limit(MOST_SUFFIXES), "common-suffixes")
+    return common, counts.join(F.broadcast(common.select("kind", "suffix")), ["kind", "suffix"], "left_anti")
 
 
 def overall_rate(labelled: DataFrame) -> float:
@@ -94,18 +104,37 @@ def overall_rate(labelled: DataFrame) -> float:
 def with_suffix_rates(rows: DataFrame, counts: DataFrame, overall: float, own_label: bool = False) -> DataFrame:
     """Adds ``_{kind}_rate``, the share of blocked URLs with the row's suffix, drawn to ``overall``, and ``_{kind}_seen``, ln(1 + such URLs).
 
-    The table of counts is bounded, so it is broadcast and rows stay where they are, however wide. With ``own_label`` the rows are the counted URLs themselves, and each leaves its own label out: a rate that holds the answer would
+    The most common suffixes are broadcast, so rows stay where they are, however wide. Where there are more, rows with another suffix get its counts
+    by their URL (see ``with_rare_counts``), and only these move. With ``own_label`` the rows are the counted URLs themselves, and each leaves its own label out: a rate that holds the answer would
     teach the trees to trust rates of rare suffixes more than the rates of unlabelled URLs deserve.
     """
     less, one = (F.col("_blocked"), F.lit(1)) if own_label else (F.lit(0), F.lit(0))
+    common, rest = parted(counts)
     for name, kind in SUFFIXES.items():
-        own = counts.filter(F.col("kind") == kind).select(F.col("suffix").alias(f"_{name}"), F.col("bad").alias("_bad"), F.col("n").alias("_n"))
-        joined = rows.join(F.broadcast(own), f"_{name}", "left")
-        bad, n = F.coalesce(F.col("_bad") - less, F.lit(0)), F.coalesce(F.col("_n") - one, F.lit(0))
-        rows = joined.withColumns({f"_{kind}_rate": (bad + F.lit(overall * PRIOR_URLS)) / (n + F.lit(PRIOR_URLS)), f"_{kind}_seen": F.log1p(n)}).drop("_bad", "_n")
+        own = common.filter(F.col("kind") == kind).select(F.col("suffix").alias(f"_{name}"), F.struct("bad", "n").alias(f"_{kind}"))
+        rows = rows.join(F.broadcast(own), f"_{name}", "left")
+    if rest is not None:
+        found = reduce(lambda a, kind: a & F.col(f"_{kind}").isNotNull(), SUFFIXES.values(), F.lit(True))
+        rows = rows.filter(found).unionByName(with_rare_counts(rows.filter(~found), rest))
+    for kind in SUFFIXES.values():
+        bad, n = F.coalesce(F.col(f"_{kind}.bad") - less, F.lit(0)), F.coalesce(F.col(f"_{kind}.n") - one, F.lit(0))
+        rows = rows.withColumns({f"_{kind}_rate": (bad + F.lit(overall * PRIOR_URLS)) / (n + F.lit(PRIOR_URLS)), f"_{kind}_seen": F.log1p(n)}).drop(f"_{kind}")
     return rows
 
 
+def with_rare_counts(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """``rows`` with the counts that they lack (``_{kind}`` null) from ``rest``; null where no labelled URL has the suffix.
+
+    Only pairs of URL and suffix are joined to the counts, each pair once; the counts go back to the rows by the URL.
+    """
+    rows = rows.withColumn("_key", F.coalesce("url", F.lit("")))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"_{k}").isNull(), F.struct(F.lit(k).alias("kind"), F.col(f"_{v}").alias("suffix"))) for v, k in SUFFIXES.items()]))
+    pairs = rows.select("_key", F.explode(lacking).alias("_s")).select("_key", "_s.kind", "_s.suffix").distinct()
+    joined = pairs.join(rest, ["kind", "suffix"]).groupBy("_key").agg(*[F.first(F.when(F.col("kind") == k, F.struct("bad", "n")), ignorenulls=True).alias(f"_rare_{k}") for k in SUFFIXES.values()])
+    out = rows.join(joined, "_key", "left").withColumns({f"_{k}": F.coalesce(f"_{k}", f"_rare_{k}") for k in SUFFIXES.values()})
+    return out.drop("_key", *[f"_rare_{k}" for k in SUFFIXES.values()])
+
+
 def fit(labelled: DataFrame, most_urls: int = SAMPLE_URLS) -> GBTClassificationModel | None:
     """Trees from about ``most_urls`` of the labelled rows, chosen by a hash of the URL; None unless both verdicts occur among them."""
     n = labelled.count()
