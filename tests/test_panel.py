@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import plan_codes
-from tidepanel.operators import attribution, drift, features, labels, metrics, panel, pauses, report, risk, serving, split
+from tidepanel.operators import attribution, drift, features, labels, metrics, panel, pauses, prepare, report, risk, serving, split
 
 
 def presence(spark, seen):
@@ -196,3 +196,17 @@ def test_holdout_is_the_test_part(spark):
     own = spark.createDataFrame([(i, 202401 + p, p, int(i % 2), 1 + p) for i in range(6) for p in range(8)], "id int, period int, t int, churn int, months_in_panel int")
     want = sorted(tuple(r) for r in split.temporal_split(own).filter("split = 'test'").drop("split").collect())
     assert sorted(tuple(r) for r in split.holdout(own).collect()) == want and len(want) == 12
+
+
+def test_feature_build_sorts_once_in_bounded_tasks(spark, monkeypatch):
+    """More rows make more tasks, not larger ones; all windows share one sort, made before the rows are wide; features stay the same."""
+    base = spark.range(800).selectExpr("id % 80 AS id", "CAST(id DIV 80 AS INT) AS t", "CAST(202001 + id DIV 80 AS INT) AS period", "CAST(id * 7 % 13 AS DOUBLE) AS v", "element_at(array('ACTIVE', 'BLOCKED', 'PENDING_PAYMENT'), CAST(id * 11 % 3 + 1 AS INT)) AS state", "'adv-tbl-ar' AS plan")
+    build = prepare.Build(sales=("v",))
+    plain = prepare.feature_matrix(labels.label(base), build)
+    monkeypatch.setattr(panel, "TASK_ROWS", 50)
+    assert panel.spread(base, 50) is base
+    own = prepare.feature_matrix(labels.label(panel.spread(base, 800)), build)
+    assert own._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
+    sizes = [r["count"] for r in own.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert own.rdd.getNumPartitions() == 16 and sum(sizes) == 800 and max(sizes) <= 200
+    assert own.columns == plain.columns and sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))

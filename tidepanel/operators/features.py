@@ -61,12 +61,12 @@ def state_features(panel: DataFrame) -> DataFrame:
         {
             "severity_max_3m": F.max("severity").over(w.rowsBetween(-2, 0)),
             "severity_delta_1m": F.coalesce(F.col("severity") - F.lag("severity").over(w), F.lit(0)),
-            "_healthy": F.count_if(F.col("severity") == 0).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_sick": F.count_if(F.col("severity") > 0).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
-    # rows in debt since the last healthy row; that row itself, if there is one, counts in its block
-    streak = F.count_if(F.col("severity") > 0).over(Window.partitionBy("id", "_healthy").orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("debt_streak", streak).drop("_healthy")
+    # rows in debt since the last healthy row: their running count, less what it was at that row; by the same windows, so nothing is sorted again
+    before = F.max(F.when(F.col("severity") == 0, F.col("_sick"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("debt_streak", F.col("_sick") - F.coalesce(before, F.lit(0).cast("long"))).drop("_sick")
 
 
 def lags(panel: DataFrame, metrics: list[str], steps: tuple[int, ...] = (1, 2, 3)) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidepanel.spec import STATE_SEVERITY
 
 
+#: Rows of a task, about, where wide rows are made, sorted and written: what bounds its memory.
+TASK_ROWS = 250_000
+
+
 def next_period(period: Column, months: Column | int = 1) -> Column:
     """The YYYYMM that is ``months`` later."""
     n = F.floor(period / 100) * 12 + period % 100 - 1 + (F.lit(months) if isinstance(months, int) else months)
@@ -29,6 +33,16 @@ def dense_index(panel: DataFrame) -> DataFrame:
     return panel.join(periods(panel), "period")
 
 
+def spread(panel: DataFrame, rows: int) -> DataFrame:
+    """``panel``, which has ``rows`` rows at most, dealt by id to tasks of about ``TASK_ROWS``; as it is, if one task may have them all.
+
+    Steps by id that follow need no other shuffle. Tasks grow in number and not in size: the planner alone sizes them by what it shuffles,
+    which is narrow where the rows that are made of it are wide.
+    """
+    tasks = -(-rows // TASK_ROWS)
+    return panel.repartition(max(tasks, panel.sparkSession.sparkContext.defaultParallelism), "id") if tasks > 1 else panel
+
+
 def missing_periods(panel: DataFrame) -> DataFrame:
     """period: months between the first and the last that no row has."""
     ends = panel.agg(F.min("period").alias("low"), F.max("period").alias("high"))

@@ -769,7 +769,9 @@ BUILD = prepare.Build(sales=SALES, additions=("orders",), delivery=("sales_high"
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.feature_matrix(customers_labelled(spark, sf_dir), BUILD)
+    """The features of customer months; there are no more of these than orders, whose number stands in the files' footers."""
+    own = panel.spread(customers(spark, sf_dir), adapters.table(spark, sf_dir, "orders").count())
+    return prepare.feature_matrix(labels.label(own), BUILD)
 
 
 @register()
