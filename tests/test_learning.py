@@ -192,3 +192,19 @@ def test_a_kept_model_is_built_anew_when_its_tables_are(spark, monkeypatch):
     last = newer.inputFiles()[0]
     catalog.forget()
     assert not catalog._MODELS and not catalog.files.exists(spark, last)
+
+
+def executed(df):
+    """The physical plan as text."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_features_go_to_the_explanation(spark, rows, artifact, monkeypatch, tmp_path):
+    """What neither the model nor the result needs isn't read, however wide the kept matrix is."""
+    rows.withColumns({"period": F.lit(200006), "unused": F.lit("x")}).write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    monkeypatch.setattr(catalog, "_trained", lambda spark, sf_dir: (artifact, wide))
+    out = catalog.tree_shap_topn(spark, "")
+    assert "unused" not in executed(out)
+    want = explain.contributions(wide, artifact).select("id", F.posexplode("factors").alias("p", "f")).select("id", F.col("p") + 1, "f.feature", "f.value", "f.shap", "f.direction")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

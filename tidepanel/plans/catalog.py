@@ -823,7 +823,8 @@ def global_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_shap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, place, feature, value, shap of what weighs most in each account's score."""
     artifact, rows = _trained(spark, sf_dir)
-    found = explain.contributions(rows.filter("period = 200006"), artifact).select("id", F.posexplode("factors").alias("place", "f"))
+    own = rows.filter("period = 200006").select("id", *[c for c in artifact.model.features if c in rows.columns])
+    found = explain.contributions(own, artifact).select("id", F.posexplode("factors").alias("place", "f"))
     return found.select("id", (F.col("place") + 1).alias("place"), "f.feature", "f.value", "f.shap", "f.direction")
 
 
