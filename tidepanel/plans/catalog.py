@@ -799,8 +799,10 @@ def _trained(spark: SparkSession, sf_dir: str) -> tuple[learning.Artifact, DataF
     if key in _MODELS and _MODELS[key][2] != written:
         files.release(_MODELS.pop(key)[1])
     if key not in _MODELS:
-        rows = files.kept(_model_rows(spark, sf_dir), "matrix", "period")
-        columns = [c for c in features.feature_columns(rows) if not c.startswith("plan_market") and "_lag_" not in c]
+        every = _model_rows(spark, sf_dir)
+        # neither the model nor a batch reads the lags themselves
+        rows = files.kept(every.select(*[c for c in every.columns if "_lag_" not in c]), "matrix", "period")
+        columns = [c for c in features.feature_columns(rows) if not c.startswith("plan_market")]
         artifact = learning.train(split.temporal_split(rows), [c for c in columns if c != "plan_base"] + ["plan_base"], ["plan_base"])
         _MODELS[key] = artifact, rows, written
     return _MODELS[key][:2]
