@@ -220,3 +220,15 @@ def test_the_kept_matrix_has_no_lags(spark, monkeypatch):
     columns, rows = catalog._trained(spark, "/x")
     assert set(rows.columns) == {"id", "period", "a", "a_delta_1m"} and {"a", "a_delta_1m"} <= set(columns) and rows.count() == 3
     catalog.forget()
+
+
+def test_only_what_a_batch_tells_goes_through_scoring(spark, rows, artifact, tmp_path):
+    """A column that no feature and no part of a batch is doesn't go through the explanation; the batch is the same."""
+    own = rows.withColumns({"t": F.col("period") - 202401, "plan": F.lit("adv-tbl-ar"), "country": F.lit("x"), "state": F.lit("ACTIVE"), "name": F.lit("n")})
+    own.withColumn("unused", F.lit("y")).write.parquet(f"{tmp_path}/wide")
+    book = PriceBook({"adv": {"ar": 50.0}}, {}, "EUR", "ar")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    got, want = (scoring.score_period(x, artifact, book) for x in (wide, wide.drop("unused")))
+    plan = executed(got)
+    assert plan.count("MapInPandas") and not [line for line in plan.splitlines() if "MapInPandas" in line and "unused" in line]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

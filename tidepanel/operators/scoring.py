@@ -46,7 +46,8 @@ def score_period(
     keep = ("id", "period", "name", "plan", "country", "state")
     lacking = {c: F.lit(None).cast("string") for c in keep if c not in batch.columns}
     priced = prices.priced(batch.withColumns(lacking) if lacking else batch)
-    scored = artifact.score(priced).select(*priced.columns, "probability")
+    told = (*keep, "probability", "revenue", "price_incomplete", "items")
+    scored = artifact.score(priced).select(*told, *[f for f in artifact.model.features if f in priced.columns and f not in told])
     found = explain.contributions(scored, artifact, known=known).select(*keep, "probability", "revenue", "price_incomplete", F.to_json("items").alias("revenue_items"), "factors")
     found = explain.with_percentiles(found, batch, artifact.features).withColumn("factors", F.transform("factors", _rounded))
     out = risk.assign(found, bands or risk.RiskBands(threshold=artifact.threshold)).join(pauses.causal_flags(features, period, rules), "id", "left")
