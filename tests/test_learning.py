@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.functions import names
-from tidepanel.operators import boosting, explain, learning, promotion, risk, scoring
+from tidepanel.operators import boosting, explain, learning, panel, promotion, risk, scoring
 from tidepanel.plans import catalog
 from tidepanel.sources.prices import PriceBook
 
@@ -220,3 +220,16 @@ def test_only_what_a_batch_tells_goes_through_scoring(spark, rows, artifact, tmp
     plan = executed(got)
     assert plan.count("MapInPandas") and not [line for line in plan.splitlines() if "MapInPandas" in line and "unused" in line]
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_model_rows_are_dealt_before_any_step_holds_them(spark, monkeypatch):
+    """Sums, sorts and joins by customer have tasks of a bounded number of rows, not of a size that the planner or the files give; the rows are the same."""
+    sf_dir = "/root/testdata/sf0.001"
+    plain = catalog._model_rows(spark, sf_dir)
+    monkeypatch.setattr(panel, "TASK_ROWS", 100)
+    own = catalog._model_rows(spark, sf_dir)
+    shuffles = [line for line in executed(own).splitlines() if "Exchange hashpartitioning(" in line]
+    by_customer = [line for line in shuffles if "custkey#" in line or "(id#" in line]
+    assert by_customer and all("REPARTITION_BY_NUM" in line for line in by_customer)
+    assert own.rdd.getNumPartitions() == 15 and sum(", 30), REPARTITION_BY_NUM" in line for line in by_customer) >= 3
+    assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect()))

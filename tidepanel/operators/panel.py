@@ -29,18 +29,18 @@ def periods(panel: DataFrame) -> DataFrame:
 
 
 def dense_index(panel: DataFrame) -> DataFrame:
-    """Adds ``t``, the number of the period among those present: a missing month makes its neighbours adjacent. The table of periods is small and AQE broadcasts it."""
-    return panel.join(periods(panel), "period")
+    """Adds ``t``, the number of the period among those present: a missing month makes its neighbours adjacent. The table of periods is small and is broadcast: rows stay in their tasks."""
+    return panel.join(F.broadcast(periods(panel)), "period")
 
 
-def spread(panel: DataFrame, rows: int) -> DataFrame:
-    """``panel``, which has ``rows`` rows at most, dealt by id to tasks of about ``TASK_ROWS``; as it is, if one task may have them all.
+def spread(panel: DataFrame, rows: int, key: str = "id") -> DataFrame:
+    """``panel``, which has ``rows`` rows at most, dealt by ``key`` to tasks of about ``TASK_ROWS``; as it is, if one task may have them all.
 
-    Steps by id that follow need no other shuffle. Tasks grow in number and not in size: the planner alone sizes them by what it shuffles,
+    Steps by the key that follow need no other shuffle. Tasks grow in number and not in size: the planner alone sizes them by what it shuffles,
     which is narrow where the rows that are made of it are wide.
     """
     tasks = -(-rows // TASK_ROWS)
-    return panel.repartition(max(tasks, panel.sparkSession.sparkContext.defaultParallelism), "id") if tasks > 1 else panel
+    return panel.repartition(max(tasks, panel.sparkSession.sparkContext.defaultParallelism), key) if tasks > 1 else panel
 
 
 def missing_periods(panel: DataFrame) -> DataFrame:

@@ -769,8 +769,14 @@ BUILD = prepare.Build(sales=SALES, additions=("orders",), delivery=("sales_high"
 
 
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of customer months; there are no more of these than orders, whose number stands in the files' footers."""
-    own = panel.spread(customers(spark, sf_dir), adapters.table(spark, sf_dir, "orders").count())
+    """The features of customer months; there are no more of these than orders, whose number stands in the files' footers.
+
+    Orders and customers are dealt before anything holds rows, so that every later step has tasks of a bounded number of them. Months are dealt
+    once more, to half as many tasks: were the numbers equal, the planner would leave that out, and the buffers of all steps would add up in a task.
+    """
+    orders = adapters.table(spark, sf_dir, "orders").count()
+    months = adapters.customer_months(spark, sf_dir, lambda rows, key: panel.spread(rows, 2 * orders, key))
+    own = panel.spread(panel.dense_index(months), orders)
     return prepare.feature_matrix(labels.label(own), BUILD)
 
 

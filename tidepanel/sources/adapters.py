@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +30,13 @@ def cents(amount: Column) -> Column:
     return F.round(amount * 100).cast("long")
 
 
-def customer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customer_months(spark: SparkSession, sf_dir: str, dealt: Callable[[DataFrame, str], DataFrame] = lambda rows, key: rows) -> DataFrame:
     """One row a customer and month with orders: channel sales (null without an order there), orders, state, country, plan code, created.
 
-    One shuffle of pre-aggregated orders on (customer, month); the customer attributes come by a join on the customer.
+    One shuffle of pre-aggregated orders on (customer, month); the customer attributes come by a join on the customer. ``dealt`` may deal
+    orders and customers to tasks by their key before anything is summed, sorted or joined: nothing by customer is shuffled after that.
     """
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", cents(F.col("o_totalprice")).alias("cents"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_orderstatus", cents(F.col("o_totalprice")).alias("cents")), "o_custkey")
     months = orders.groupBy(F.col("o_custkey").alias("id"), month_period(F.col("o_orderdate")).alias("period")).agg(
         *[(F.sum(F.when(F.col("o_orderpriority") == p, F.col("cents"))) / 100.0).alias(name) for p, name in CHANNELS.items()],
         F.count("*").alias("orders"),
@@ -41,7 +44,7 @@ def customer_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     created = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderdate").alias("created"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey")
+    customer = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment", "c_nationkey"), "id")
     people = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(created, "id", "left")
     joined = months.join(people, "id", "left")
     state = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])[F.col("status")]
